@@ -39,14 +39,10 @@ def gsg_sizes(m: Column, rate: float, return_mask_rate: float) -> tuple[Column,
     return k.cast("int"), u.cast("int")
 
 
-def draw_positions(doc_id: Column, k: Column, u: Column, seed: int) -> Column:
-    """U seeded draws with replacement from 0..k-1 (empty when u <= 0)."""
-    def one(j: Column) -> Column:
-        key = F.concat_ws("|", doc_id.cast("string"), j.cast("string"), F.lit(str(seed)))
-        h = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-        return F.pmod(h, k.cast("bigint")).cast("int")
-
-    return F.when(u > 0, F.transform(F.sequence(F.lit(1), u), one)).otherwise(F.array().cast("array<int>"))
+def draw_key(doc_id: Column, j: Column, seed: int) -> Column:
+    """The j-th seeded draw of a document as a non-negative 32-bit integer."""
+    key = F.concat_ws("|", doc_id.cast("string"), j.cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
 def sentence_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -96,30 +92,49 @@ def ranked_sentences(docs: DataFrame, opts: Options = DEFAULT, id_col: str = "do
 def gap_sentences(docs: DataFrame, opts: Options = DEFAULT, id_col: str = "doc_id",
                   text_col: str = "text", mode: str | None = None, engine: str = "native",
                   num_partitions: int | None = None) -> DataFrame:
-    """(doc_id, input, labels, m, k, n_masked). Documents without sentences are dropped."""
+    """(doc_id, input, labels, m, k, n_masked). Documents without sentences are dropped.
+
+    No lambda below references a column outside its own element (Spark cannot extract
+    a Python UDF applied later to such an expression), so per-sentence flags are built
+    as rows, collected per document in sentence order and zipped with the sentences."""
     mode = mode or opts.gsg_mode
     if engine == "arrow":
         return gap_sentences_arrow(docs, opts, id_col, text_col, mode)
     base = sentence_base(docs, id_col, text_col, num_partitions)
     ranked = ranked_sentences(docs, opts, id_col, text_col, base=base)
-    # selected sentence ids per document, ascending; arrays are bounded by the document
-    flags = ranked.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("selected"), F.col("sid")))).alias("sel"),
-        F.first("m").alias("m"), F.first("k").alias("k"), F.first("u").alias("u"),
+    by_sid = Window.partitionBy("doc_id").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumn("sel_pos", F.sum(F.col("selected").cast("int")).over(by_sid) - 1)
+    if mode == "all":
+        flagged = ranked.withColumn("masked", F.col("selected"))
+    else:
+        # u draws with replacement among the k selected sentences; one row per draw
+        # computed from the base (m = number of sentences), not from ``ranked``, so the
+        # word-level aggregation is not evaluated a second time
+        k, u = gsg_sizes(F.size("sents"), opts.gsg_rate, opts.return_mask_rate)
+        # (no filter on the base: it would be pushed below the exchange and the
+        # exchange could no longer be reused; explode_outer + a filter on the
+        # generated column keeps the base subtree identical)
+        draw_nos = F.when(u > 0, F.sequence(F.lit(1), u)).otherwise(F.array().cast("array<int>"))
+        draws = (base.select("doc_id", k.alias("k"), F.explode_outer(draw_nos).alias("j"))
+                 .where(F.col("j").isNotNull())
+                 .select("doc_id", F.pmod(draw_key(F.col("doc_id"), F.col("j"), opts.seed),
+                                          F.col("k").cast("bigint")).cast("int").alias("pos"))
+                 .groupBy("doc_id").agg(F.collect_set("pos").alias("drawn")))
+        flagged = (ranked.join(draws.hint("shuffle_hash"), "doc_id", "left")
+                   .withColumn("masked", F.col("selected") &
+                               F.coalesce(F.array_contains(F.col("drawn"), F.col("sel_pos")), F.lit(False))))
+    flags = flagged.groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("sid", "selected", "masked"))).alias("fl"),
+        F.first("m").alias("m"), F.first("k").alias("k"),
+        F.sum(F.col("masked").cast("int")).cast("int").alias("n_masked"),
     )
     # both sides are hash-partitioned on doc_id with the same count: no exchange
     joined = base.join(flags.hint("shuffle_hash"), "doc_id")
-    if mode == "all":
-        masked = F.col("sel")
-    else:
-        draws = draw_positions(F.col("doc_id"), F.col("k"), F.col("u"), opts.seed)
-        masked = F.array_distinct(F.transform(draws, lambda d: F.element_at(F.col("sel"), d + 1)))
-    joined = joined.withColumn("masked", masked)
-    inp = F.array_join(F.transform("sents", lambda s, i: F.when(F.array_contains(F.col("masked"), i),
-                                                                  F.lit(MASK_TOKEN)).otherwise(s)), " ")
-    lab = F.array_join(F.transform("sel", lambda i: F.element_at(F.col("sents"), i + 1)), " ")
+    z = F.arrays_zip(F.col("sents").alias("s"), F.col("fl").alias("f"))
+    inp = F.array_join(F.transform(z, lambda e: F.when(e["f"]["masked"], F.lit(MASK_TOKEN)).otherwise(e["s"])), " ")
+    lab = F.array_join(F.transform(F.filter(z, lambda e: e["f"]["selected"]), lambda e: e["s"]), " ")
     return joined.select(F.col("doc_id").alias(id_col), inp.alias("input"), lab.alias("labels"),
-                         "m", "k", F.size("masked").alias("n_masked"))
+                         "m", "k", "n_masked")
 
 
 # --------------------------------------------------------------------------------

@@ -66,16 +66,16 @@ def assign_shards(df: DataFrame, id_col: str, rows_per_shard: int, mode: str = "
     """shard = floor(idx / rows_per_shard) (contiguous) or idx % ceil(n / rows_per_shard)
     (strided). Without a seed the order is the id order (the reference keeps row order)."""
     if seed is None:
-        indexed = with_index_by_id(df, id_col, idx_col=idx_col, total_col="_total")
+        indexed = with_index_by_id(df, id_col, idx_col=idx_col, total_col="_n_total")
     else:
-        indexed = with_index(df, id_col, seed, idx_col=idx_col, total_col="_total")
+        indexed = with_index(df, id_col, seed, idx_col=idx_col, total_col="_n_total")
     if mode == "contiguous":
         shard = F.floor(F.col(idx_col) / F.lit(rows_per_shard))
     elif mode == "strided":
-        shard = F.pmod(F.col(idx_col), F.ceil(F.col("_total") / F.lit(rows_per_shard)))
+        shard = F.pmod(F.col(idx_col), F.ceil(F.col("_n_total") / F.lit(rows_per_shard)))
     else:
         raise ValueError(mode)
-    return indexed.withColumn("shard", shard.cast("int")).drop("_total")
+    return indexed.withColumn("shard", shard.cast("int")).drop("_n_total")
 
 
 def with_index_by_id(df: DataFrame, id_col: str, buckets: int | None = None,
@@ -89,9 +89,11 @@ def with_index_by_id(df: DataFrame, id_col: str, buckets: int | None = None,
         bounds = df.agg(F.percentile_approx(F.col(id_col), qs, 10000).alias("q")).first()["q"] or []
     else:
         bounds = []
-    lit_bounds = F.array(*[F.lit(v) for v in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
     # bucket = number of bounds strictly below the id (monotone in the id)
-    keyed = df.withColumn("_bucket", F.size(F.filter(lit_bounds, lambda x: x < F.col(id_col))))
+    bucket = F.lit(0)
+    for v in sorted(set(bounds)):
+        bucket = bucket + (F.col(id_col) > F.lit(v)).cast("int")
+    keyed = df.withColumn("_bucket", bucket)
     ranked = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(id_col)))
     counts = ranked.groupBy("_bucket").agg(F.max("_rn").alias("_n"))
     all_b = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

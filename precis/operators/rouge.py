@@ -22,12 +22,14 @@ from ..session import shuffle_partitions
 
 
 def ngrams(tokens: Column, n: int) -> Column:
+    """n-grams as space-joined strings: zip n shifted slices (no index lookups, so no
+    lambda reads an outer column)."""
     if n == 1:
         return tokens
     size = F.size(tokens)
-    grams = F.transform(F.sequence(F.lit(0), size - n),
-                        lambda i: F.concat_ws(" ", *[F.element_at(tokens, i + 1 + j) for j in range(n)]))
-    # sequence(0, -1) would count down: guard short token lists
+    length = F.greatest(size - (n - 1), F.lit(0))
+    parts = [F.slice(tokens, j + 1, length).alias(f"g{j}") for j in range(n)]
+    grams = F.transform(F.arrays_zip(*parts), lambda e: F.concat_ws(" ", *[e[f"g{j}"] for j in range(n)]))
     return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
 
 

@@ -45,13 +45,19 @@ def article_of(c: Column) -> Column:
 
 
 def line_ids(doc_id: Column, text: Column, lang: Column) -> Column:
-    """array<struct<label:string>> aligned with split(text, '\\n')."""
-    def label(_line, i):
-        pos = doc_id + i
+    """array<struct<label:string>> aligned with split(text, '\\n'): NULL when
+    (doc_id + i) % 7 = 0, 'xx' when (doc_id + i) % 5 = 0, else the document language."""
+    lines = F.split(text, "\n", -1)
+    n = F.size(lines)
+    z = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("i"), F.array_repeat(doc_id, n).alias("d"),
+                     F.array_repeat(lang, n).alias("l"))
+
+    def label(e):
+        pos = e["d"] + e["i"]
         return (F.when(F.pmod(pos, F.lit(7)) == 0, F.lit(None).cast("struct<label:string>"))
                  .when(F.pmod(pos, F.lit(5)) == 0, F.struct(F.lit("xx").alias("label")))
-                 .otherwise(F.struct(lang.alias("label"))))
-    return F.transform(F.split(text, "\n", -1), label)
+                 .otherwise(F.struct(e["l"].alias("label"))))
+    return F.transform(z, label)
 
 
 def paragraphs(text: Column) -> Column:
