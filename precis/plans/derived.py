@@ -21,7 +21,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from ..sources.readers import ROW_KEYS, read_table
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", ROW_KEYS.get(name))
 
 
 def news_raw(c_doc_id="doc_id", c_text="text", c_lang="lang", c_source="source") -> Column:
