@@ -16,31 +16,34 @@ from ..options import DEFAULT, Options
 
 
 def extractive_candidates(docs: DataFrame, opts: Options = DEFAULT, id_col: str = "doc_id",
-                          text_col: str = "article", num_candidates: int | None = None) -> DataFrame:
-    """K8: (doc_id, rank, summary) for rank = 1 .. min(num_candidates, sentences)."""
+                          text_col: str = "article", num_candidates: int | None = None,
+                          keep: tuple[str, ...] = ()) -> DataFrame:
+    """K8: (doc_id, rank, summary, keep...) for rank = 1 .. min(num_candidates, sentences).
+    The result stays hash-partitioned on doc_id (``keep`` columns ride along)."""
     n = num_candidates or opts.num_candidates
-    base = sentence_base(docs, id_col, text_col)
+    base = sentence_base(docs, id_col, text_col, keep=keep)
     ranked = ranked_sentences(docs, opts, id_col, text_col, base=base)
     # ranks in sentence order (every sentence has a row), collected per document
     ranks = ranked.groupBy("doc_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("sid", "rank"))), lambda x: x["rank"]).alias("rk"),
         F.first("m").alias("m"))
     joined = base.join(ranks.hint("shuffle_hash"), "doc_id")
-    cands = joined.select("doc_id", "sents", "rk",
+    cands = joined.select("doc_id", "sents", "rk", *keep,
                           F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.col("m")))).alias("rank"))
     # zip the candidate number into every element: lambdas read only their element
     z = F.arrays_zip(F.col("sents").alias("s"), F.col("rk").alias("r"),
                      F.array_repeat(F.col("rank"), F.size("sents")).alias("n"))
     summary = F.array_join(F.transform(F.filter(z, lambda e: e["r"] <= e["n"]), lambda e: e["s"]), " ")
-    return cands.select(F.col("doc_id").alias(id_col), "rank", summary.alias("summary"))
+    return cands.select(F.col("doc_id").alias(id_col), "rank", summary.alias("summary"), *keep)
 
 
-def score_candidates(cands: DataFrame, gold: DataFrame, id_col: str = "doc_id",
-                     gold_col: str = "gold", keep: tuple[str, ...] = ()) -> DataFrame:
-    """K4 over (candidate, gold): one row per candidate with rouge1/2/L."""
-    pairs = (cands.join(gold.select(id_col, gold_col, *keep), id_col)
-                  .withColumn("cand_id", F.concat_ws(":", F.col(id_col).cast("string"), F.col("rank").cast("string"))))
-    return score_pairs(pairs, "cand_id", pred="summary", gold=gold_col, keep=(id_col, "rank", *keep))
+def score_candidates(cands: DataFrame, id_col: str = "doc_id", gold_col: str = "gold",
+                     keep: tuple[str, ...] = ()) -> DataFrame:
+    """K4 over (candidate, gold) where ``cands`` carries the gold column and is
+    hash-partitioned on ``id_col`` (as ``extractive_candidates`` returns it): no
+    exchange. One row per candidate with rouge1/2/L."""
+    scored = score_pairs(cands, [id_col, "rank"], pred="summary", gold=gold_col, keep=keep, prepartitioned=True)
+    return scored.withColumn("cand_id", F.concat_ws(":", F.col(id_col).cast("string"), F.col("rank").cast("string")))
 
 
 def nest_candidates(scored: DataFrame, id_col: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:

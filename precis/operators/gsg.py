@@ -46,10 +46,10 @@ def draw_key(doc_id: Column, j: Column, seed: int) -> Column:
 
 
 def sentence_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  num_partitions: int | None = None) -> DataFrame:
-    """(doc_id, sents) hash-partitioned on doc_id: the one exchange of the GSG plan."""
+                  num_partitions: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, sents, keep...) hash-partitioned on doc_id: the one exchange of the GSG plan."""
     n = num_partitions or shuffle_partitions(docs.sparkSession)
-    return (docs.select(F.col(id_col).alias("doc_id"), split_sentences(F.col(text_col)).alias("sents"))
+    return (docs.select(F.col(id_col).alias("doc_id"), split_sentences(F.col(text_col)).alias("sents"), *keep)
             .repartition(n, "doc_id"))
 
 

@@ -37,31 +37,60 @@ def _f(overlap: Column, total: Column) -> Column:
     return F.when(total > 0, F.lit(2.0) * overlap / total).otherwise(F.lit(0.0))
 
 
-def rouge_n_counts(pairs: DataFrame, n: int, id_col: str = "id", pred: str = "pred", gold: str = "gold",
-                   num_partitions: int | None = None, base: DataFrame | None = None) -> DataFrame:
-    """(id, overlap_n, pred_n, gold_n) for every pair, computed inside a hash
-    partitioning on the id."""
-    nparts = num_partitions or shuffle_partitions(pairs.sparkSession)
-    if base is None:
-        base = pairs.select(id_col, pred, gold).repartition(nparts, id_col)
-    side_p = base.select(F.col(id_col), F.explode_outer(ngrams(rouge_tokens(F.col(pred)), n)).alias("g"),
-                         F.lit(1).alias("sp"), F.lit(0).alias("sg"))
-    side_g = base.select(F.col(id_col), F.explode_outer(ngrams(rouge_tokens(F.col(gold)), n)).alias("g"),
-                         F.lit(0).alias("sp"), F.lit(1).alias("sg"))
-    per_gram = (side_p.unionByName(side_g)
-                .groupBy(id_col, "g")
-                .agg(F.sum(F.when(F.col("g").isNotNull(), F.col("sp")).otherwise(0)).alias("cp"),
-                     F.sum(F.when(F.col("g").isNotNull(), F.col("sg")).otherwise(0)).alias("cg")))
-    return per_gram.groupBy(id_col).agg(
-        F.sum(F.least("cp", "cg")).cast("bigint").alias(f"overlap{n}"),
-        F.sum("cp").cast("bigint").alias(f"pred{n}"),
-        F.sum("cg").cast("bigint").alias(f"gold{n}"),
-    )
+def _gram_items(pred_tokens: Column, gold_tokens: Column, ns, payload_type: str | None) -> Column:
+    """One array with every n-gram of both sides, tagged (n, side); lambdas read only
+    their element (literals are captured from Python)."""
+    def tagger(n: int, side: int):
+        def item(g):
+            fields = [F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("side")]
+            if payload_type:
+                fields.append(F.lit(None).cast(payload_type).alias("payload"))
+            return F.struct(*fields)
+        return item
+
+    parts = [F.transform(ngrams(toks, n), tagger(n, side))
+             for n in ns for side, toks in ((0, pred_tokens), (1, gold_tokens))]
+    return F.concat(*parts)
+
+
+def rouge_counts(pairs: DataFrame, key: list[str], pred: str, gold: str, ns=(1, 2),
+                 keep: tuple[str, ...] = (), prepartitioned: bool = False,
+                 num_partitions: int | None = None) -> DataFrame:
+    """Single pass: key, [pred, gold, keep...], overlap{n}, pred{n}, gold{n} for n in ns.
+
+    Both sides' n-grams are exploded once, counted per (key, n, gram) and the clipped
+    overlap summed per key. The texts (and ``keep``) ride along as one carrier item per
+    pair, so no join back to the pairs is needed. Both aggregates are clustered on
+    ``key``, which the hash partitioning on ``key[0]`` satisfies: one exchange at most
+    (none when ``prepartitioned``), and no part of the input plan runs twice."""
+    if not prepartitioned:
+        pairs = pairs.repartition(num_partitions or shuffle_partitions(pairs.sparkSession), key[0])
+    carry = [pred, gold, *keep]
+    payload = F.struct(*[F.col(c).alias(c) for c in carry])
+    payload_type = pairs.select(payload.alias("p")).schema[0].dataType.simpleString()
+    carrier = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("g"),
+                               F.lit(-1).alias("side"), payload.alias("payload")))
+    items = F.concat(carrier, _gram_items(rouge_tokens(F.col(pred)), rouge_tokens(F.col(gold)), ns, payload_type))
+    ex = pairs.select(*key, F.explode(items).alias("it"))
+    per_gram = ex.groupBy(*key, F.col("it.n").alias("n"), F.col("it.g").alias("g"),
+                          F.col("it.payload").alias("payload")).agg(
+        F.sum((F.col("it.side") == 0).cast("long")).alias("cp"),
+        F.sum((F.col("it.side") == 1).cast("long")).alias("cg"))
+    aggs = [F.collect_list("payload").alias("_pl")]
+    for n in ns:
+        on = F.col("n") == n
+        aggs += [F.sum(F.when(on, F.least("cp", "cg")).otherwise(0)).cast("bigint").alias(f"overlap{n}"),
+                 F.sum(F.when(on, F.col("cp")).otherwise(0)).cast("bigint").alias(f"pred{n}"),
+                 F.sum(F.when(on, F.col("cg")).otherwise(0)).cast("bigint").alias(f"gold{n}")]
+    per_pair = per_gram.groupBy(*key).agg(*aggs)
+    pl = F.element_at("_pl", 1)
+    return per_pair.select(*key, *[pl[c].alias(c) for c in carry],
+                           *[F.col(f"{m}{n}") for n in ns for m in ("overlap", "pred", "gold")])
 
 
 def rouge_n(pairs: DataFrame, n: int, id_col: str = "id", pred: str = "pred", gold: str = "gold",
             num_partitions: int | None = None) -> DataFrame:
-    c = rouge_n_counts(pairs, n, id_col, pred, gold, num_partitions)
+    c = rouge_counts(pairs, [id_col], pred, gold, ns=(n,), num_partitions=num_partitions)
     return c.select(id_col, _f(F.col(f"overlap{n}"), F.col(f"pred{n}") + F.col(f"gold{n}")).alias(f"rouge{n}"))
 
 
@@ -120,18 +149,15 @@ def rouge_l(pred: Column, gold: Column) -> Column:
     return _f(lcs(tp, tg).cast("double"), (F.size(tp) + F.size(tg)).cast("double"))
 
 
-def score_pairs(pairs: DataFrame, id_col: str = "id", pred: str = "pred", gold: str = "gold",
-                keep: tuple[str, ...] = (), num_partitions: int | None = None) -> DataFrame:
-    """K4: id, kept columns, rouge1, rouge2, rougeL. One exchange (on the id) for all
-    three metrics; the pair table is not shuffled again for the join."""
-    nparts = num_partitions or shuffle_partitions(pairs.sparkSession)
-    base = pairs.select(id_col, pred, gold, *keep).repartition(nparts, id_col)
-    r1 = rouge_n_counts(pairs, 1, id_col, pred, gold, base=base)
-    r2 = rouge_n_counts(pairs, 2, id_col, pred, gold, base=base)
+def score_pairs(pairs: DataFrame, id_col: str | list[str] = "id", pred: str = "pred", gold: str = "gold",
+                keep: tuple[str, ...] = (), num_partitions: int | None = None,
+                prepartitioned: bool = False) -> DataFrame:
+    """K4: key, kept columns, pred, gold, rouge1, rouge2, rougeL in one pass (see
+    ``rouge_counts``); ROUGE-L is the row-local LCS UDF on the carried texts."""
+    key = [id_col] if isinstance(id_col, str) else list(id_col)
+    c = rouge_counts(pairs, key, pred, gold, (1, 2), keep, prepartitioned, num_partitions)
     tp, tg = rouge_tokens(F.col(pred)), rouge_tokens(F.col(gold))
-    scored = (base.join(r1, id_col).join(r2, id_col)
-              .select(id_col, *keep, pred, gold,
-                      _f(F.col("overlap1"), F.col("pred1") + F.col("gold1")).alias("rouge1"),
-                      _f(F.col("overlap2"), F.col("pred2") + F.col("gold2")).alias("rouge2"),
-                      _f(lcs(tp, tg).cast("double"), (F.size(tp) + F.size(tg)).cast("double")).alias("rougeL")))
-    return scored
+    return c.select(*key, *keep, pred, gold,
+                    _f(F.col("overlap1"), F.col("pred1") + F.col("gold1")).alias("rouge1"),
+                    _f(F.col("overlap2"), F.col("pred2") + F.col("gold2")).alias("rouge2"),
+                    _f(lcs(tp, tg).cast("double"), (F.size(tp) + F.size(tg)).cast("double")).alias("rougeL"))

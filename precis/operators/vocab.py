@@ -73,7 +73,9 @@ def word_vocab(counts: DataFrame, vocab_size: int) -> DataFrame:
                          + (FIRST_PIECE_ID - 1)).cast("int").alias("id"))
     spark = counts.sparkSession
     specials = spark.createDataFrame(SPECIALS, "piece string, id int")
-    return specials.unionByName(ranked)
+    # the vocabulary is a small model artifact (at most vocab_size rows): materialise it
+    # once in the shared checkpoint folder so that size checks and lookups reuse it
+    return cut_lineage(specials.unionByName(ranked).coalesce(1))
 
 
 def seed_pieces(counts: DataFrame, max_len: int = 8, min_freq: int = 2) -> DataFrame:

@@ -42,8 +42,8 @@ def candidates_extractive(spark, sf):
 
 def scored_candidates(spark, sf):
     ev = eval_set(spark, sf)
-    cands = K.extractive_candidates(ev, num_candidates=NUM_CANDIDATES)
-    return K.score_candidates(cands, ev, gold_col="gold", keep=("corpus", "article"))
+    cands = K.extractive_candidates(ev, num_candidates=NUM_CANDIDATES, keep=("gold", "corpus", "article"))
+    return K.score_candidates(cands, gold_col="gold", keep=("corpus", "article"))
 
 
 _PAIR_SQL = (f"SELECT CAST(c.doc_id AS VARCHAR) || ':' || CAST(c.rank AS VARCHAR) AS cand_id, c.doc_id, c.rank, "
@@ -94,9 +94,7 @@ def rouge_candidates(spark, sf):
 
 @register("candidates_nested")
 def candidates_nested(spark, sf):
-    ev = eval_set(spark, sf)
-    nested = K.nest_candidates(scored_candidates(spark, sf), "doc_id")
-    return ev.select("doc_id", "article", "gold").join(nested, "doc_id")
+    return K.nest_candidates(scored_candidates(spark, sf), "doc_id", extra=("article", "gold"))
 
 
 @register("corpus_means")
