@@ -158,9 +158,9 @@ def split_sentences(c) -> Column:
     text that is blank as a whole: an ``array_remove`` and one check replace a
     per-piece filter."""
     t = _col(c)
-    marked = F.regexp_replace(t, "([.!?])" + PY_WS + "+", "$1\u0001")
-    pieces = F.array_remove(F.split(marked, "\u0001", -1), "")
-    return F.when(t.rlike("^" + PY_WS + "*$"), F.array().cast("array<string>")).otherwise(pieces)
+    marked = F.regexp_replace(F.when(t.rlike("^" + PY_WS + "*$"), F.lit("")).otherwise(t),
+                              "([.!?])" + PY_WS + "+", "$1\u0001")
+    return F.array_remove(F.split(marked, "\u0001", -1), "")
 
 
 def sentence_count(c) -> Column:                                # D2c
