@@ -118,7 +118,14 @@ def clean_text(c, headline_delims: Sequence[str] = (), keep_commas: bool = False
     for d in headline_delims:
         t = remove_headline(t, d)
     t = collapse_ws(remove_digit_dots(strip_punct(empty_parens(t), keep_commas)))
-    return drop_underscores(drop_short_sentences(t, min_piece_chars))
+    return materialized(drop_underscores(drop_short_sentences(t, min_piece_chars)))
+
+
+def materialized(c: Column) -> Column:
+    """Evaluate ``c`` once per row. Wrapping it in a (trivially true) nondeterministic
+    condition stops the optimizer from inlining the expression into pushed-down filters
+    or collapsed projections, where an expensive chain would be evaluated again."""
+    return F.when(F.spark_partition_id() >= 0, c)
 
 
 def clean_preset(c, preset: str = "module", is_news: bool = True) -> Column:
@@ -128,8 +135,15 @@ def clean_preset(c, preset: str = "module", is_news: bool = True) -> Column:
 
 # --- D: counts and truncation ------------------------------------------------
 
+def words(c) -> Column:
+    """``str.split()``: runs of non-whitespace. Splitting on whitespace runs and
+    dropping the empty edge pieces is several times faster in Spark than extracting the
+    runs with a negated Unicode class."""
+    return F.array_remove(F.split(_col(c), PY_WS + "+", -1), "")
+
+
 def word_count(c) -> Column:                                    # D1c: len(x.split())
-    return F.regexp_count(_col(c), F.lit("[^" + PY_WS[1:-1] + "]+")).cast("bigint")
+    return F.size(words(c)).cast("bigint")
 
 
 def dot_piece_count(c) -> Column:                               # D3c: len(x.split('.'))
@@ -143,8 +157,8 @@ def truncate_words(c, n: int = 500, mode: str = "ws") -> Column:
     t = _col(c)
     if mode == "space":
         return F.array_join(F.slice(F.split(t, " ", -1), 1, n), " ")
-    words = F.regexp_extract_all(t, F.lit("[^" + PY_WS[1:-1] + "]+"), 0)
-    return F.when(F.size(words) >= n, F.array_join(F.slice(words, 1, n), " ")).otherwise(t)
+    ws = words(t)
+    return F.when(F.size(ws) >= n, F.array_join(F.slice(ws, 1, n), " ")).otherwise(t)
 
 
 # --- H1: sentences ---------------------------------------------------------------

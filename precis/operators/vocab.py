@@ -31,8 +31,8 @@ CHARS_RE = "(?s)(?<=.)(?=.)"
 
 def word_tokens(text_col) -> "F.Column":
     """Runs of non-whitespace (Python ``str.split()``)."""
-    c = F.col(text_col) if isinstance(text_col, str) else text_col
-    return F.regexp_extract_all(c, F.lit("[^" + PY_WS[1:-1] + "]+"), 0)
+    from ..functions.text import words
+    return words(F.col(text_col) if isinstance(text_col, str) else text_col)
 
 
 def sample_sentences(docs: DataFrame, n: int, seed: int, id_col: str = "doc_id",
