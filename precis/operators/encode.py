@@ -158,3 +158,12 @@ def encode_subword(df: DataFrame, vocab: DataFrame, cols: dict[str, int], mode:
         if with_mask == c:
             out.append(attention_mask(F.size(f"_i_{c}"), w).alias("attention_mask"))
     return staged.select(*out)
+
+
+def prepare_input(df: DataFrame, vocab: DataFrame, max_len: int, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """Module cleaning (news) then encode to ``max_len`` with the attention mask."""
+    from ..functions.text import clean_preset
+    cleaned = df.select(id_col, clean_preset(F.col(text_col), "module", True).alias("_clean"))
+    out = encode_word(cleaned, vocab, {"_clean": max_len}, id_col=id_col, with_mask="_clean")
+    return out.select(id_col, F.col("_clean_ids").alias("input_ids"), "attention_mask")

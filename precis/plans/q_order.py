@@ -153,3 +153,23 @@ def training_table(spark, sf):
     d = _docs(spark, sf)
     corpora = {c: d.where(F.col("lang") == l).select("doc_id") for c, l in _CORPORA.items()}
     return TT(corpora, VAL_SIZE, BATCH, SEED)
+
+
+# --- G1: seeded order of shard files ----------------------------------------------------------------
+
+@register("shuffle_files",
+          "SELECT corpus, shard, md5(corpus || ':' || CAST(shard AS VARCHAR) || '|" + str(SEED) + "') AS file_order FROM ("
+          + " UNION ALL ".join(
+              f"SELECT DISTINCT '{c}' AS corpus, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / {ROWS_PER_SHARD}) AS INTEGER) "
+              f"AS shard FROM documents WHERE lang = '{l}'" for c, l in _CORPORA.items()) + ")")
+def shuffle_files(spark, sf):
+    """G1: the shard files of three corpora (contiguous shards in id order), each with
+    a seeded hash order in place of ``random.shuffle``."""
+    d = _docs(spark, sf)
+    parts = []
+    for c, l in _CORPORA.items():
+        sh = O.assign_shards(d.where(F.col("lang") == l).select("doc_id"), "doc_id", ROWS_PER_SHARD)
+        parts.append(sh.select(F.lit(c).alias("corpus"), "shard").distinct())
+    files = reduce(lambda a, b: a.unionByName(b), parts)
+    files = files.withColumn("name", F.concat_ws(":", "corpus", F.col("shard").cast("string")))
+    return O.shuffle_files(files, "name", SEED).select("corpus", "shard", "file_order")

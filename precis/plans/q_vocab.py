@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 from ..operators import encode as E
 from ..operators import vocab as V
 from ..operators.gsg import gap_sentences
@@ -27,6 +28,13 @@ def _corpus(spark, sf):
     return _docs(spark, sf).select("doc_id", T.clean_preset(F.col("text"), "module", False).alias("text"))
 
 
+def _corpus_saved(spark, sf):
+    """The cleaned corpus feeds both the vocabulary and the encoder: write it once to the
+    shared checkpoint folder (as a pipeline writes its cleaned table) instead of
+    cleaning twice."""
+    return cut_lineage(_corpus(spark, sf))
+
+
 _COUNTS_SQL = f"SELECT w AS word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(t, {_WORDS})) AS w FROM ({_CORPUS_SQL})) GROUP BY w"
 
 
@@ -82,8 +90,9 @@ def _csv(c):
 
 @register("encode_word", _encode_sql(f"SELECT doc_id, t FROM ({_CORPUS_SQL})", "t", WIDTH, True))
 def encode_word(spark, sf):
-    c = _corpus(spark, sf).withColumnRenamed("text", "t")
-    vocab = V.word_vocab(V.word_counts(_corpus(spark, sf)), VOCAB)
+    corpus = _corpus_saved(spark, sf)
+    c = corpus.withColumnRenamed("text", "t")
+    vocab = V.word_vocab(V.word_counts(corpus), VOCAB)
     e = E.encode_word(c, vocab, {"t": WIDTH}, with_mask="t")
     return e.select("doc_id", _csv("t_ids").alias("ids"), _csv("attention_mask").alias("mask"))
 
@@ -91,21 +100,23 @@ def encode_word(spark, sf):
 _GSG_CLEAN = gsg_pairs_sql(f"SELECT doc_id, t FROM ({_CORPUS_SQL})", mode="with_replacement")
 
 
-def _gsg_clean(spark, sf):
-    return gap_sentences(_corpus(spark, sf))
+def _gsg_clean(spark, sf, corpus=None):
+    return gap_sentences(corpus if corpus is not None else _corpus(spark, sf))
 
 
 @register("encode_mask", _encode_sql(f"SELECT doc_id, input FROM ({_GSG_CLEAN})", "input", WIDTH, True))
 def encode_mask(spark, sf):
-    vocab = V.word_vocab(V.word_counts(_corpus(spark, sf)), VOCAB)
-    e = E.encode_word(_gsg_clean(spark, sf), vocab, {"input": WIDTH}, with_mask="input")
+    corpus = _corpus_saved(spark, sf)
+    vocab = V.word_vocab(V.word_counts(corpus), VOCAB)
+    e = E.encode_word(_gsg_clean(spark, sf, corpus), vocab, {"input": WIDTH}, with_mask="input")
     return e.select("doc_id", _csv("input_ids").alias("ids"), _csv("attention_mask").alias("mask"))
 
 
 @register("encode_labels", _encode_sql(f"SELECT doc_id, labels FROM ({_GSG_CLEAN})", "labels", LABEL_WIDTH, False))
 def encode_labels(spark, sf):
-    vocab = V.word_vocab(V.word_counts(_corpus(spark, sf)), VOCAB)
-    e = E.encode_word(_gsg_clean(spark, sf), vocab, {"labels": LABEL_WIDTH})
+    corpus = _corpus_saved(spark, sf)
+    vocab = V.word_vocab(V.word_counts(corpus), VOCAB)
+    e = E.encode_word(_gsg_clean(spark, sf, corpus), vocab, {"labels": LABEL_WIDTH})
     return e.select("doc_id", _csv("labels_ids").alias("ids"))
 
 
@@ -116,8 +127,9 @@ def encode_labels(spark, sf):
           f"(regexp_extract_all(t, {_WORDS}))[1:{WIDTH - 1}] AS tk FROM ({_CORPUS_SQL}))) s "
           f"JOIN ({_VOCAB_SQL}) v ON s.tok = v.piece AND v.id >= 4 GROUP BY s.doc_id) x ON d.doc_id = x.doc_id")
 def decode_word(spark, sf):
-    c = _corpus(spark, sf).withColumnRenamed("text", "t")
-    vocab = V.word_vocab(V.word_counts(_corpus(spark, sf)), VOCAB)
+    corpus = _corpus_saved(spark, sf)
+    c = corpus.withColumnRenamed("text", "t")
+    vocab = V.word_vocab(V.word_counts(corpus), VOCAB)
     e = E.encode_word(c, vocab, {"t": WIDTH})
     return E.decode_word(e, vocab, "t_ids", out_col="text")
 
@@ -136,8 +148,24 @@ def vocab_bpe(spark, sf):
 
 @register("encode_unigram")
 def encode_unigram(spark, sf):
-    vocab = V.train_unigram(V.word_counts(_corpus(spark, sf)), vocab_size=SUB_VOCAB, seed_size=5000, rounds=3)
-    g = _gsg_clean(spark, sf)
+    corpus = _corpus_saved(spark, sf)
+    vocab = V.train_unigram(V.word_counts(corpus), vocab_size=SUB_VOCAB, seed_size=5000, rounds=3)
+    g = _gsg_clean(spark, sf, corpus)
     e = E.encode_subword(g, vocab, {"input": WIDTH, "labels": LABEL_WIDTH}, mode="unigram", with_mask="input")
     return e.select("doc_id", _csv("input_ids").alias("input_ids"), _csv("attention_mask").alias("mask"),
                     _csv("labels_ids").alias("labels"))
+
+
+# --- J7: clean for inference, then encode ----------------------------------------------------------
+
+_NEWS_MODULE = S.chain(f"SELECT doc_id, {S.s_news_raw()} AS t FROM documents", "t", S.preset_steps("module", True))
+
+
+@register("prepare_input", _encode_sql(_NEWS_MODULE, "t", WIDTH, True))
+def prepare_input(spark, sf):
+    from .derived import news_raw
+    corpus = _corpus_saved(spark, sf)
+    vocab = V.word_vocab(V.word_counts(corpus), VOCAB)
+    raw = _docs(spark, sf).select("doc_id", news_raw().alias("text"))
+    e = E.prepare_input(raw, vocab, WIDTH)
+    return e.select("doc_id", _csv("input_ids").alias("ids"), _csv("attention_mask").alias("mask"))

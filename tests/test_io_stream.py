@@ -83,3 +83,18 @@ def test_columns_to_rows_and_union(spark):
     assert [(r.a, r.b) for r in rows] == [(1, 3), (2, 4)]
     u = RD.union_corpora({"x": spark.range(2), "y": spark.range(3)})
     assert u.columns[0] == "corpus" and u.count() == 5
+
+
+def test_read_splits_named_and_select(spark):
+    from precis.plans.corpora import select_splits
+    d = _tmp()
+    for split, n in (("train", 3), ("test", 2)):
+        spark.range(n).selectExpr("cast(id as string) as text").write.json(f"{d}/{split}")
+    u = RD.read_splits(spark, {"train": [f"{d}/train"], "test": [f"{d}/test"]}, "text string")
+    assert {r.split for r in u.collect()} == {"train", "test"} and u.count() == 5
+    assert select_splits(u, ["test"]).count() == 2
+    df = spark.createDataFrame([(1, "id", "train", "a"), (2, "id", "test", "b"), (3, "en", "test", "c")],
+                               "doc_id long, lang string, split string, text string")
+    df.write.partitionBy("lang", "split").parquet(f"{d}/named/oscar")
+    got = RD.read_named(spark, f"{d}/named", "oscar", lang="id", split="test").collect()
+    assert [r.doc_id for r in got] == [2]
