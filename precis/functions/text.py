@@ -59,8 +59,16 @@ def lower_text(c) -> Column:                                    # C1
     return F.lower(_col(c))
 
 
+# Same matches as LINK_RE, faster: a match without the scheme never starts inside a run
+# of [\p{Nd}a-z.-] (the run's first character gives a match as well, and it is tried
+# first), so that branch may require a run start; with the scheme any start is allowed.
+# Matches end where a run ends (the last group's class contains the run class), so the
+# look-behind also holds for every search that follows a match.
+LINK_RE_SPARK = r"(?:(https?://)|(?<![\p{Nd}a-z.-]))([\p{Nd}a-z.-]+)\.([a-z.]{2,6})([/\p{L}\p{N}_.-]*)"
+
+
 def remove_links(c) -> Column:                                  # C2
-    return F.regexp_replace(_col(c), LINK_RE, "")
+    return F.regexp_replace(_col(c), LINK_RE_SPARK, "")
 
 
 def unescape_amp(c) -> Column:                                  # C3
