@@ -97,12 +97,24 @@ def candidates_nested(spark, sf):
     return K.nest_candidates(scored_candidates(spark, sf), "doc_id", extra=("article", "gold"))
 
 
-@register("corpus_means")
+_RANK1_SQL = f"SELECT * FROM ({_PAIR_SQL}) WHERE rank = 1"
+_SCORED_SQL = (f"SELECT p.cand_id, p.doc_id, p.rank, e.corpus, p.article, p.gold, p.pred AS summary, r1.rouge1, r2.rouge2, "
+               f"rl.rougeL FROM ({_RANK1_SQL}) p "
+               f"JOIN ({rouge_n_sql(_RANK1_SQL, 1, key='cand_id')}) r1 ON p.cand_id = r1.cand_id "
+               f"JOIN ({rouge_n_sql(_RANK1_SQL, 2, key='cand_id')}) r2 ON p.cand_id = r2.cand_id "
+               f"JOIN ({S.rouge_l_sql(_RANK1_SQL, 'pred', 'gold', ['cand_id'])}) rl ON p.cand_id = rl.cand_id "
+               f"JOIN ({_EVAL_SQL}) e ON p.doc_id = e.doc_id")
+
+
+@register("corpus_means",
+          "SELECT corpus, count(*) AS n, round(avg(rouge1 * 100.0), 6) AS rouge1_x100, "
+          "round(avg(rouge2 * 100.0), 6) AS rouge2_x100, round(avg(rougeL * 100.0), 6) AS rougeL_x100 "
+          f"FROM ({_SCORED_SQL}) GROUP BY corpus")
 def corpus_means(spark, sf):
     return K.corpus_means(scored_candidates(spark, sf).where(F.col("rank") == 1), "corpus")
 
 
-@register("eval_report")
+@register("eval_report", f"SELECT doc_id, article, gold, summary, rouge1, rouge2, rougeL FROM ({_SCORED_SQL})")
 def eval_report(spark, sf):
     """Article | gold | summary | rouge1 | rouge2 | rougeL for the first candidate."""
     s = scored_candidates(spark, sf).where(F.col("rank") == 1)

@@ -65,17 +65,18 @@ PAIRS_SQL = ("SELECT CAST(u.conv_id AS VARCHAR) || ':' || CAST(u.turn AS VARCHAR
 
 def rouge_n_sql(pairs_sql: str, n: int, key: str = "pair_id", pred: str = "pred", gold: str = "gold",
                 name: str | None = None) -> str:
-    def grams(c):
-        t = S.s_rouge_tokens(c)
+    def grams(t):
         return t if n == 1 else S.s_bigrams(t)
     name = name or f"rouge{n}"
     return f"""WITH p AS ({pairs_sql}),
-tp AS (SELECT {key}, unnest({grams(pred)}) AS g FROM p),
-tg AS (SELECT {key}, unnest({grams(gold)}) AS g FROM p),
+tk AS (SELECT {key}, {S.s_rouge_tokens(pred)} AS tp, {S.s_rouge_tokens(gold)} AS tg FROM p),
+gr AS (SELECT {key}, {grams('tp')} AS gp, {grams('tg')} AS gg FROM tk),
+tp AS (SELECT {key}, unnest(gp) AS g FROM gr),
+tg AS (SELECT {key}, unnest(gg) AS g FROM gr),
 cp AS (SELECT {key}, g, count(*) AS c FROM tp GROUP BY {key}, g),
 cg AS (SELECT {key}, g, count(*) AS c FROM tg GROUP BY {key}, g),
 ov AS (SELECT cp.{key}, sum(least(cp.c, cg.c)) AS o FROM cp JOIN cg ON cp.{key} = cg.{key} AND cp.g = cg.g GROUP BY cp.{key}),
-ln AS (SELECT {key}, len({grams(pred)}) AS np, len({grams(gold)}) AS ng FROM p)
+ln AS (SELECT {key}, len(gp) AS np, len(gg) AS ng FROM gr)
 SELECT ln.{key}, CASE WHEN np + ng > 0 THEN 2.0::DOUBLE * coalesce(ov.o, 0) / (np + ng) ELSE 0.0::DOUBLE END AS {name}
 FROM ln LEFT JOIN ov ON ln.{key} = ov.{key}"""
 
@@ -202,11 +203,15 @@ def q_rouge2(spark, sf):
     return R.rouge_n(_pairs(spark, sf), 2, "pair_id")
 
 
-@register("rougel")   # LCS over whole texts: checked against a DP brute force in tests
+@register("rougel", S.rouge_l_sql(PAIRS_SQL, "pred", "gold", ["pair_id"]))
 def q_rougel(spark, sf):
     return _pairs(spark, sf).select("pair_id", R.rouge_l(F.col("pred"), F.col("gold")).alias("rougeL"))
 
 
-@register("score_pairs")
+@register("score_pairs",
+          f"SELECT p.pair_id, p.conv_id, p.turn, p.pred, p.gold, r1.rouge1, r2.rouge2, rl.rougeL "
+          f"FROM ({PAIRS_SQL}) p JOIN ({rouge_n_sql(PAIRS_SQL, 1)}) r1 ON p.pair_id = r1.pair_id "
+          f"JOIN ({rouge_n_sql(PAIRS_SQL, 2)}) r2 ON p.pair_id = r2.pair_id "
+          f"JOIN ({S.rouge_l_sql(PAIRS_SQL, 'pred', 'gold', ['pair_id'])}) rl ON p.pair_id = rl.pair_id")
 def q_score_pairs(spark, sf):
     return R.score_pairs(_pairs(spark, sf), "pair_id", keep=("conv_id", "turn"))

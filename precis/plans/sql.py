@@ -123,3 +123,22 @@ def s_article_of(c): return f"array_to_string(({s_sentences(c)})[3:], ' ')"
 
 def s_md5_index(key_sql: str, seed: int) -> str:
     return f"md5(CAST({key_sql} AS VARCHAR) || '|{seed}')"
+
+
+def s_lcs(longer: str, shorter: str) -> str:
+    """LCS length of two token-list columns (``longer`` at least as long as ``shorter``):
+    dynamic programme with rows over the longer list and columns over the shorter one."""
+    return (f"list_reduce({longer}, lambda row, x: list_reduce(range(1, len({shorter}) + 1), lambda nr, j: "
+            f"list_append(nr, greatest(nr[j], row[j + 1], CASE WHEN {shorter}[j] = x THEN row[j] + 1 ELSE 0 END)), "
+            f"[0]::BIGINT[]), list_transform(range(len({shorter}) + 1), lambda z: 0::BIGINT))[-1]")
+
+
+def rouge_l_sql(source_sql: str, pred: str, gold: str, keep: list[str], name: str = "rougeL") -> str:
+    """SELECT keep..., rougeL FROM source: tokens and the longer/shorter lists are
+    computed once per row in sub-queries."""
+    ks = ", ".join(keep)
+    toks = f"SELECT {ks}, {s_rouge_tokens(pred)} AS _ta, {s_rouge_tokens(gold)} AS _tb FROM ({source_sql})"
+    ordered = (f"SELECT {ks}, len(_ta) + len(_tb) AS _n, CASE WHEN len(_ta) >= len(_tb) THEN _ta ELSE _tb END AS _lo, "
+               f"CASE WHEN len(_ta) >= len(_tb) THEN _tb ELSE _ta END AS _sh FROM ({toks})")
+    return (f"SELECT {ks}, CASE WHEN _n > 0 THEN 2.0::DOUBLE * CAST({s_lcs('_lo', '_sh')} AS DOUBLE) / CAST(_n AS DOUBLE) "
+            f"ELSE 0.0::DOUBLE END AS {name} FROM ({ordered})")
