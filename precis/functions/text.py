@@ -9,6 +9,7 @@ them the same way: no look-around except in C9, explicit whitespace classes, and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -88,9 +89,13 @@ def drop_marked_lines(c, markers: Sequence[str] = LINE_MARKERS) -> Column:   # C
 
 
 def remove_headline(c, delim: str) -> Column:                   # C6
-    parts = F.split(_col(c), _java_quote(delim), -1)
-    n = F.size(parts)
-    return F.when(n > 1, F.array_join(F.slice(parts, 2, n - 1), " ")).otherwise(parts.getItem(0))
+    """Split on ``delim``; with more than one part drop the first and join the rest with
+    one space. Written with a single reference to the input: delete up to and including
+    the first delimiter, then turn the remaining delimiters into spaces (no delimiter:
+    unchanged). A column referenced several times is evaluated several times when it
+    comes from a nondeterministic UDF, so this matters after the fold."""
+    removed = F.regexp_replace(_col(c), "(?s)^.*?" + _java_quote(delim), "")
+    return F.replace(removed, F.lit(delim), F.lit(" "))
 
 
 def empty_parens(c) -> Column:                                  # C7
@@ -171,18 +176,27 @@ def truncate_words(c, n: int = 500, mode: str = "ws") -> Column:
 
 # --- H1: sentences ---------------------------------------------------------------
 
-def split_sentences(c) -> Column:
+def split_sentences(c, abbreviations: Sequence[str] = ()) -> Column:
     """Break after '.', '!' or '?' followed by whitespace; the whitespace is dropped,
     terminators stay, blank pieces are removed (empty text -> no sentence).
 
     Every piece but the last ends with a terminator, and the last one starts at a
     non-blank character, so the only blank pieces are a trailing empty string or a
     text that is blank as a whole: an ``array_remove`` and one check replace a
-    per-piece filter."""
+    per-piece filter.
+
+    ``abbreviations`` (e.g. ``("mr", "dr", "e.g")``, case-insensitive, without the final
+    dot) are not sentence ends: their dot is hidden before the split and restored."""
     t = _col(c)
+    if abbreviations:
+        alts = "|".join(re.escape(a) for a in abbreviations)
+        t = F.regexp_replace(t, r"(?i)(?<![\p{L}\p{N}_])(" + alts + r")\.(?=" + PY_WS + ")", "$1\u0002")
     marked = F.regexp_replace(F.when(t.rlike("^" + PY_WS + "*$"), F.lit("")).otherwise(t),
                               "([.!?])" + PY_WS + "+", "$1\u0001")
-    return F.array_remove(F.split(marked, "\u0001", -1), "")
+    pieces = F.array_remove(F.split(marked, "\u0001", -1), "")
+    if abbreviations:
+        pieces = F.transform(pieces, lambda p: F.replace(p, F.lit("\u0002"), F.lit(".")))
+    return pieces
 
 
 def sentence_count(c) -> Column:                                # D2c

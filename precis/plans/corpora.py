@@ -44,8 +44,10 @@ def clean_oscar(docs: DataFrame, line_ids_col: str, lang: str = "id", id_col: st
     """L3 first half: keep lines in the target language -> module preset -> truncate to
     ``max_words`` words when longer."""
     kept = N.keep_lines_by_lang(F.col(text_col), F.col(line_ids_col), lang)
-    return docs.select(id_col, T.truncate_words(T.clean_preset(kept, "module", True),
-                                                opts.max_words, "ws").alias("text"))
+    # truncation reads the cleaned column (its own projection: the cleaned text is
+    # evaluated once even though truncation refers to it more than once)
+    cleaned = docs.select(id_col, T.clean_preset(kept, "module", True).alias("text"))
+    return cleaned.select(id_col, T.truncate_words(F.col("text"), opts.max_words, "ws").alias("text"))
 
 
 def prepare_oscar(docs: DataFrame, line_ids_col: str, lang: str = "id", id_col: str = "doc_id",
@@ -63,11 +65,10 @@ def prepare_xlsum(df: DataFrame, id_col: str = "id", text_col: str = "text", sum
                   opts: Options = DEFAULT) -> DataFrame:
     """L4: module preset on text and summary, then the first ``max_words`` pieces of
     ``split(' ')``."""
-    return df.select(
-        id_col,
-        T.truncate_words(T.clean_preset(F.col(text_col), "module", True), opts.max_words, "space").alias("input"),
-        T.truncate_words(T.clean_preset(F.col(summary_col), "module", True), opts.max_words, "space").alias("labels"),
-    )
+    cleaned = df.select(id_col, T.clean_preset(F.col(text_col), "module", True).alias("input"),
+                        T.clean_preset(F.col(summary_col), "module", True).alias("labels"))
+    return cleaned.select(id_col, T.truncate_words(F.col("input"), opts.max_words, "space").alias("input"),
+                          T.truncate_words(F.col("labels"), opts.max_words, "space").alias("labels"))
 
 
 def select_splits(df: DataFrame, splits: Iterable[str] | None, split_col: str = "split") -> DataFrame:
