@@ -46,6 +46,15 @@ def score_candidates(cands: DataFrame, id_col: str = "doc_id", gold_col: str = "
     return scored.withColumn("cand_id", F.concat_ws(":", F.col(id_col).cast("string"), F.col("rank").cast("string")))
 
 
+def score_candidate_table(cands: DataFrame, gold: DataFrame, id_col: str = "doc_id",
+                          gold_col: str = "gold", keep: tuple[str, ...] = ()) -> DataFrame:
+    """K8 (a): candidates given as data, ``cands(id, rank, summary)``, scored against a
+    gold table ``gold(id, gold, keep...)``. The join shuffles both on the id; its output
+    is hash-partitioned on the id, so the scoring adds no further exchange."""
+    joined = cands.join(gold.select(id_col, gold_col, *keep), id_col)
+    return score_candidates(joined, id_col, gold_col, keep)
+
+
 def nest_candidates(scored: DataFrame, id_col: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
     """K5/G0g: per article, the candidates with their scores, ordered by rank. The
     list is bounded by the number of candidates per article."""

@@ -169,3 +169,34 @@ def prepare_input(spark, sf):
     raw = _docs(spark, sf).select("doc_id", news_raw().alias("text"))
     e = E.prepare_input(raw, vocab, WIDTH)
     return e.select("doc_id", _csv("input_ids").alias("ids"), _csv("attention_mask").alias("mask"))
+
+
+# --- B6: crawl corpus -> encoded shard records ---------------------------------------------------
+
+_REC_ROWS = 64
+
+
+def _records_sql() -> str:
+    from .q_gsg import _OSCAR_SQL
+    inp = _encode_sql(f"SELECT doc_id, input FROM ({_OSCAR_SQL})", "input", WIDTH, True)
+    lab = _encode_sql(f"SELECT doc_id, labels FROM ({_OSCAR_SQL})", "labels", LABEL_WIDTH, False)
+    return (f"SELECT i.doc_id, i.ids AS input_ids, i.mask, l.ids AS labels, "
+            f"CAST(floor((row_number() OVER (ORDER BY i.doc_id) - 1) / {_REC_ROWS}) AS INTEGER) AS shard "
+            f"FROM ({inp}) i JOIN ({lab}) l ON i.doc_id = l.doc_id")
+
+
+@register("pretrain_records", _records_sql())
+def pretrain_records(spark, sf):
+    from dataclasses import replace as _replace
+
+    from ..options import DEFAULT
+    from . import corpora as C
+    from . import derived as D
+    corpus = _corpus_saved(spark, sf)
+    vocab = V.word_vocab(V.word_counts(corpus), VOCAB)
+    d = _docs(spark, sf)
+    d = d.withColumn("meta_li", D.line_ids(F.col("doc_id"), F.col("text"), F.col("lang")))
+    opts = _replace(DEFAULT, model_max_length=WIDTH, max_summary_length=LABEL_WIDTH, rows_per_shard=_REC_ROWS)
+    r = C.pretrain_records(d, "meta_li", vocab, lang="en", opts=opts)
+    return r.select("doc_id", _csv("input_ids").alias("input_ids"), _csv("attention_mask").alias("mask"),
+                    _csv("labels").alias("labels"), "shard")

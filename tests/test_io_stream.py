@@ -98,3 +98,29 @@ def test_read_splits_named_and_select(spark):
     df.write.partitionBy("lang", "split").parquet(f"{d}/named/oscar")
     got = RD.read_named(spark, f"{d}/named", "oscar", lang="id", split="test").collect()
     assert [r.doc_id for r in got] == [2]
+
+
+def test_pretrain_records_written_and_read_back(spark):
+    from dataclasses import replace
+
+    from precis.operators import vocab as V
+    from precis.options import DEFAULT
+    from precis.plans import corpora as C
+    from precis.plans import derived as D
+    d = _tmp()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.withColumn("li", D.line_ids(F.col("doc_id"), F.col("text"), F.col("lang")))
+    vocab = V.word_vocab(V.word_counts(docs.select(T.clean_preset(F.col("text"), "module", False).alias("text"))), 500)
+    opts = replace(DEFAULT, model_max_length=32, max_summary_length=16, rows_per_shard=10)
+    rec = C.pretrain_records(docs, "li", vocab, lang="en", opts=opts)
+    SK.write_shards(rec, f"{d}/rec")
+    back = RD.read_encoded(spark, f"{d}/rec", max_len=32, max_label_len=16)
+    assert back.count() == rec.count() > 0
+
+
+def test_score_candidate_table(spark):
+    from precis.operators.candidates import score_candidate_table
+    cands = spark.createDataFrame([(1, 1, "a b c d"), (1, 2, "x"), (2, 1, "")], "doc_id long, rank int, summary string")
+    gold = spark.createDataFrame([(1, "a b d c"), (2, "a")], "doc_id long, gold string")
+    got = {(r.doc_id, r.rank): r for r in score_candidate_table(cands, gold).collect()}
+    assert abs(got[(1, 1)].rouge2 - 1 / 3) < 1e-12 and got[(1, 1)].rougeL == 0.75 and got[(2, 1)].rouge1 == 0.0
