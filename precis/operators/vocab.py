@@ -49,7 +49,9 @@ def sample_sentences(docs: DataFrame, n: int, seed: int, id_col: str = "doc_id",
         return keyed.select("doc_id", "sid", "sentence")
     frac = min(1.0, 1.2 * n / total + 64.0 / total)
     while True:
-        cand = keyed.where(h60 < F.lit(frac)) if frac < 1.0 else keyed
+        # the candidates (about 1.2n rows) are written once to the shared checkpoint
+        # folder: counting and indexing them does not scan the corpus again
+        cand = cut_lineage(keyed.where(h60 < F.lit(frac))) if frac < 1.0 else keyed
         if frac >= 1.0 or cand.count() >= n:
             break
         frac = min(1.0, frac * 2)
