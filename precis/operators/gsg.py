@@ -45,6 +45,10 @@ def draw_key(doc_id: Column, j: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
+def _rank_order():
+    return Window.partitionBy("doc_id").orderBy(F.col("overlap").desc(), F.col("sid").asc())
+
+
 def sentence_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   num_partitions: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, sents, keep...) hash-partitioned on doc_id: the one exchange of the GSG plan."""
@@ -69,7 +73,9 @@ def sentence_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sum(F.least(F.col("n_sent"), F.col("n_doc") - F.col("n_sent"))).alias("overlap"),
         F.sum("n_sent").alias("n_tok"),
     )
-    doc_w = Window.partitionBy("doc_id")
+    # the document totals use the rank ordering with a full frame: ranked_sentences then
+    # evaluates them and the rank in one Window operator over one sort
+    doc_w = _rank_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (per_sent
             .withColumn("n_doc_tok", F.sum("n_tok").over(doc_w))
             .withColumn("m", F.count(F.lit(1)).over(doc_w).cast("int"))
@@ -83,8 +89,7 @@ def ranked_sentences(docs: DataFrame, opts: Options = DEFAULT, id_col: str = "do
     """I4: adds ``rank`` (overlap desc, sid asc), ``k``, ``u`` and ``selected``."""
     sc = sentence_scores(docs, id_col, text_col, num_partitions, base)
     k, u = gsg_sizes(F.col("m"), opts.gsg_rate, opts.return_mask_rate)
-    w = Window.partitionBy("doc_id").orderBy(F.col("overlap").desc(), F.col("sid").asc())
-    return (sc.withColumn("rank", F.row_number().over(w))
+    return (sc.withColumn("rank", F.row_number().over(_rank_order()))
               .withColumn("k", k).withColumn("u", u)
               .withColumn("selected", F.col("rank") <= F.col("k")))
 
