@@ -40,10 +40,12 @@ def candidates_extractive(spark, sf):
     return K.extractive_candidates(eval_set(spark, sf), num_candidates=NUM_CANDIDATES)
 
 
-def scored_candidates(spark, sf):
+def scored_candidates(spark, sf, keep=("corpus", "article")):
+    """Candidates scored against the gold summary; ``keep`` lists the columns the caller
+    needs (the article is only carried along when asked for)."""
     ev = eval_set(spark, sf)
-    cands = K.extractive_candidates(ev, num_candidates=NUM_CANDIDATES, keep=("gold", "corpus", "article"))
-    return K.score_candidates(cands, gold_col="gold", keep=("corpus", "article"))
+    cands = K.extractive_candidates(ev, num_candidates=NUM_CANDIDATES, keep=("gold", *keep))
+    return K.score_candidates(cands, gold_col="gold", keep=tuple(keep))
 
 
 _PAIR_SQL = (f"SELECT CAST(c.doc_id AS VARCHAR) || ':' || CAST(c.rank AS VARCHAR) AS cand_id, c.doc_id, c.rank, "
@@ -89,7 +91,7 @@ def candidates_over(spark, sf):
           f"JOIN ({rouge_n_sql(_PAIR_SQL, 1, key='cand_id')}) r1 ON p.cand_id = r1.cand_id "
           f"JOIN ({rouge_n_sql(_PAIR_SQL, 2, key='cand_id')}) r2 ON p.cand_id = r2.cand_id")
 def rouge_candidates(spark, sf):
-    return scored_candidates(spark, sf).select("cand_id", "doc_id", "rank", "rouge1", "rouge2")
+    return scored_candidates(spark, sf, keep=()).select("cand_id", "doc_id", "rank", "rouge1", "rouge2")
 
 
 @register("candidates_nested")
@@ -111,7 +113,7 @@ _SCORED_SQL = (f"SELECT p.cand_id, p.doc_id, p.rank, e.corpus, p.article, p.gold
           "round(avg(rouge2 * 100.0), 6) AS rouge2_x100, round(avg(rougeL * 100.0), 6) AS rougeL_x100 "
           f"FROM ({_SCORED_SQL}) GROUP BY corpus")
 def corpus_means(spark, sf):
-    return K.corpus_means(scored_candidates(spark, sf).where(F.col("rank") == 1), "corpus")
+    return K.corpus_means(scored_candidates(spark, sf, keep=("corpus",)).where(F.col("rank") == 1), "corpus")
 
 
 @register("eval_report", f"SELECT doc_id, article, gold, summary, rouge1, rouge2, rougeL FROM ({_SCORED_SQL})")
