@@ -124,3 +124,21 @@ def test_score_candidate_table(spark):
     gold = spark.createDataFrame([(1, "a b d c"), (2, "a")], "doc_id long, gold string")
     got = {(r.doc_id, r.rank): r for r in score_candidate_table(cands, gold).collect()}
     assert abs(got[(1, 1)].rouge2 - 1 / 3) < 1e-12 and got[(1, 1)].rougeL == 0.75 and got[(2, 1)].rouge1 == 0.0
+
+
+def test_remaining_sinks_and_text_source(spark):
+    from precis.plans.corpora import prepare_liputan6
+    d = _tmp()
+    df = spark.createDataFrame([(1, "train", "JAKARTA - Harga beras naik tajam sekali hari ini.", "Harga naik tajam sekali."),
+                                (2, "test", "Kota - Warga antre panjang sekali di pasar.", "Warga antre panjang.")],
+                               "id long, split string, clean_article string, clean_summary string")
+    out = prepare_liputan6(df, splits=["test"]).collect()
+    assert [r.id for r in out] == [2] and out[0].labels.startswith(" ")
+    SK.write_parquet(df, f"{d}/b2", codec="gzip")
+    SK.write_parquet(df, f"{d}/b2")                      # overwrite
+    assert spark.read.parquet(f"{d}/b2").count() == 2
+    rep = spark.createDataFrame([("block one\nline",), ("block two",)], "report string")
+    SK.write_text_report(rep, f"{d}/b9")
+    assert spark.read.text(f"{d}/b9").count() == 3
+    txt = RD.read_docs(spark, f"{d}/b9", fmt="text")
+    assert txt.count() == 3 and txt.columns == ["doc_id", "text"]
