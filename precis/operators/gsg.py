@@ -50,10 +50,12 @@ def _rank_order():
 
 
 def sentence_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  num_partitions: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+                  num_partitions: int | None = None, keep: tuple[str, ...] = (),
+                  abbreviations: tuple = ()) -> DataFrame:
     """(doc_id, sents, keep...) hash-partitioned on doc_id: the one exchange of the GSG plan."""
     n = num_partitions or shuffle_partitions(docs.sparkSession)
-    return (docs.select(F.col(id_col).alias("doc_id"), split_sentences(F.col(text_col)).alias("sents"), *keep)
+    sents = split_sentences(F.col(text_col), abbreviations)
+    return (docs.select(F.col(id_col).alias("doc_id"), sents.alias("sents"), *keep)
             .repartition(n, "doc_id"))
 
 
@@ -105,7 +107,7 @@ def gap_sentences(docs: DataFrame, opts: Options = DEFAULT, id_col: str = "doc_i
     mode = mode or opts.gsg_mode
     if engine == "arrow":
         return gap_sentences_arrow(docs, opts, id_col, text_col, mode)
-    base = sentence_base(docs, id_col, text_col, num_partitions)
+    base = sentence_base(docs, id_col, text_col, num_partitions, abbreviations=opts.abbreviations)
     ranked = ranked_sentences(docs, opts, id_col, text_col, base=base)
     by_sid = Window.partitionBy("doc_id").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ranked.withColumn("sel_pos", F.sum(F.col("selected").cast("int")).over(by_sid) - 1)
@@ -150,12 +152,17 @@ _NON_ALNUM = re.compile(r"[^a-zA-Z0-9]+")
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
-def py_sentences(text: str) -> list[str]:
-    return [p for p in _SPLIT.sub("\\1\x01", text).split("\x01") if not _BLANK.match(p)]
+def py_sentences(text: str, abbreviations: tuple = ()) -> list[str]:
+    if abbreviations:
+        alts = "|".join(re.escape(a) for a in abbreviations)
+        text = re.sub(r"(?<!\w)(" + alts + r")\.(?=[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])",
+                      "\\1\x02", text, flags=re.IGNORECASE)
+    out = [p for p in _SPLIT.sub("\\1\x01", text).split("\x01") if not _BLANK.match(p)]
+    return [p.replace("\x02", ".") for p in out] if abbreviations else out
 
 
 def py_gsg(doc_id: int, text: str, opts: Options = DEFAULT, mode: str = "with_replacement"):
-    sents = py_sentences(text)
+    sents = py_sentences(text, opts.abbreviations)
     m = len(sents)
     if m == 0:
         return None

@@ -23,6 +23,7 @@ class Options:
     return_mask_rate: float = 0.2
     gsg_mode: str = "with_replacement"  # or "all"
     seed: int = 42
+    abbreviations: tuple = ()      # words whose trailing dot does not end a sentence
     # encoding
     model_max_length: int = 512
     max_summary_length: int = 128

@@ -71,3 +71,13 @@ def test_ranked_matches_python(spark):
         assert expect is None or expect[2] >= 1
     ranked = ranked_sentences(docs).where(F.col("selected")).groupBy("doc_id").count().collect()
     assert all(x["count"] >= 1 for x in ranked)
+
+
+def test_abbreviations_in_both_engines(spark):
+    from dataclasses import replace
+    opts = replace(Options(), abbreviations=("dr", "e.g"))
+    text = "Dr. Smith came home late. He said e.g. this. It is pure white . it names the model ."
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    a = gap_sentences(df, opts).first()
+    b = gap_sentences(df, opts, engine="arrow").first()
+    assert tuple(a) == tuple(b) and a.m == 4
