@@ -1,4 +1,4 @@
 """All queries of the subpackage."""
 
-from . import q_chat, q_packing, q_simhash  # noqa: F401  (registration side effects)
+from . import q_chat, q_packing, q_sharding, q_simhash, q_toxicity  # noqa: F401  (registration side effects)
 from .registry import ORACLE, QUERIES  # noqa: F401
