@@ -1,4 +1,4 @@
 """All queries of the subpackage."""
 
-from . import q_chat, q_decontaminate, q_packing, q_sharding, q_simhash, q_suffix, q_toxicity  # noqa: F401  (registration side effects)
+from . import q_chat, q_decontaminate, q_licenses, q_lm, q_packing, q_sharding, q_simhash, q_suffix, q_topk, q_toxicity  # noqa: F401  (registration side effects)
 from .registry import ORACLE, QUERIES  # noqa: F401
