@@ -36,7 +36,7 @@ class WordIds:
     Travels to the workers as a broadcast variable (the tokenizer's JSON text); the memory of words is rebuilt
     there, and started anew beyond ``max_words`` so that it stays bounded."""
 
-    def __init__(self, tokenizer_json: str, max_words: int = 1_000_000):
+    def __init__(self, tokenizer_json: str, max_words: int = 300_000):
         self.json, self.max_words, self.tok = tokenizer_json, max_words, None
 
     def __getstate__(self):
@@ -48,28 +48,26 @@ class WordIds:
             self.tok = Tokenizer.from_str(self.json)
             self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.index: dict[bytes, int] = {}
-        self.bodies: dict[bytes, list[int]] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _body(self, word: bytes) -> list[int]:
-        ids = self.bodies.get(word)
-        if ids is None:
-            text = word.decode("utf-8", "replace")
-            if text.isalpha() and max(text) < "ɐ" and text == text.lower() and unicodedata.is_normalized("NFC", text):
-                piece = text if text.isascii() else word.decode("latin-1").translate(_BYTE_CHARS)
-                ids = [t.id for t in self.tok.model.tokenize(piece)]
-            else:
-                ids = self.tok.encode(text, add_special_tokens=False).ids
-            self.bodies[word] = ids
-        return ids
+    def _ids(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "ɐ" and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            piece = text if text.isascii() else word.decode("latin-1").translate(_BYTE_CHARS)
+            return [t.id for t in self.tok.model.tokenize(piece)]
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _known(self, word: bytes) -> np.ndarray:
+        k = self.index[word] if word in self.index else self._add(word)
+        return self.flat[self.at[k]:self.at[k] + self.size[k]]
 
     def _add(self, word: bytes) -> int:
         body = word.rstrip(_TRAIL)
         if body != word and body[-1:].isalnum():  # an ASCII letter or digit before ASCII punctuation ends a piece
-            ids = self._body(body) + self._body(word[len(body):])
+            ids = np.concatenate((self._known(body), self._known(word[len(body):])))
         else:
-            ids = self._body(word)
+            ids = self._ids(word)
         k, n = len(self.index), len(ids)
         if k == len(self.at):
             self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))

@@ -26,7 +26,7 @@ from .common import ragged, settle, texts
 
 ANCHOR = 160
 _SLICE = 8 << 20  # bytes of text looked at once; positions take 24 bits
-SHARE = 4 << 20  # bytes of regions for one suffix array
+SHARE = 2 << 20  # bytes of regions for one suffix array
 _GAP = b"\xff"  # between regions; never part of UTF-8
 
 

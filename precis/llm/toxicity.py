@@ -54,7 +54,7 @@ def subwords(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tuple[
         owner.append(of)
     owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(rows).astype(np.int64)[order], np.bincount(owner, minlength=len(words))
+    return np.concatenate(rows).astype(np.int32)[order], np.bincount(owner, minlength=len(words))
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -104,8 +104,11 @@ def train(docs: list[bytes], labels: np.ndarray, dim: int = 8, buckets: int = 1
         cut = [n for n in passages(len(w), passage) if n]
         shares += cut
         owner += [i] * len(cut)
-    tokens, shares, owner = (np.array(x, np.int64) for x in (tokens, shares, owner))
-    rows, per_word = subwords(list(index), sizes, buckets)
+    tokens, shares, owner = (np.array(x, np.int32) for x in (tokens, shares, owner))
+    distinct = list(index)
+    parts = [subwords(distinct[i:i + 50_000], sizes, buckets) for i in range(0, len(distinct), 50_000)]
+    rows, per_word = (np.concatenate(x) for x in zip(*parts))
+    del index, distinct, parts
     in_doc = np.bincount(owner, minlength=len(y))
     firsts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     class_weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
@@ -122,7 +125,7 @@ def train(docs: list[bytes], labels: np.ndarray, dim: int = 8, buckets: int = 1
             g = np.where(worst, (1 / (1 + np.exp(-z)) - y[owner]) * class_weight[owner], 0)
             g /= np.bincount(owner, worst, len(y))[owner]
         per_token = np.repeat(g / shares, shares)
-        on_word = np.bincount(tokens, per_token, len(index)) / per_word
+        on_word = np.bincount(tokens, per_token, len(per_word)) / per_word
         on_row = np.bincount(rows, np.repeat(on_word, per_word), buckets)
         d_slope = table.T @ on_row
         grads = (np.outer(on_row, slope) + decay * table, np.stack((-d_slope, d_slope), 1) + decay * weights,
@@ -135,7 +138,7 @@ def train(docs: list[bytes], labels: np.ndarray, dim: int = 8, buckets: int = 1
 
 
 def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", per_class: int = 2000, **settings) -> Model:
+        label_col: str = "toxic", per_class: int = 1500, **settings) -> Model:
     """Train on a sample of the labelled rows that ``trains`` (over ``id_col``) selects: ``per_class`` documents of each
     label at most, those whose hashed id is smallest. The sample (2 * per_class texts) goes to the driver."""
     known = (labels.where(trains & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -148,9 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_i
     sample = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
               .join(F.broadcast(chosen), "_id")  # 2 * per_class rows
               .select("_text", "_y", "_order"))
-    rows = sample.toArrow().sort_by([("_order", "ascending"), ("_text", "ascending")])
-    return train(list(texts(rows["_text"].combine_chunks())) if rows.num_rows else [],
-                 rows["_y"].to_numpy() if rows.num_rows else np.zeros(0), **settings)
+    rows = sorted((r["_order"], r["_text"] or "", r["_y"]) for r in sample.toLocalIterator())
+    return train([t.encode() for _, t, _ in rows], np.array([y for _, _, y in rows]), **settings)
 
 
 def _scorer(m: Model, max_words: int):
@@ -163,8 +165,8 @@ def _scorer(m: Model, max_words: int):
         if len(memory) + len(new) > max_words:
             memory.clear()
             new = list(dict.fromkeys(words))
-        for at in range(0, len(new), 100_000):
-            part = new[at:at + 100_000]
+        for at in range(0, len(new), 50_000):
+            part = new[at:at + 50_000]
             memory.update(zip(part, m.word_logits(part).tolist()))
         values = np.fromiter(map(memory.__getitem__, words), float, len(words))
         n = np.fromiter(map(len, held), np.int64, len(held))
