@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import cut_lineage, shuffle_partitions
 
 _TWO_60 = float(2 ** 60)
 
@@ -78,22 +78,39 @@ def assign_shards(df: DataFrame, id_col: str, rows_per_shard: int, mode: str = "
     return indexed.withColumn("shard", shard.cast("int")).drop("_n_total")
 
 
+def _id_bounds(df: DataFrame, id_col: str, buckets: int, each: int = 32) -> list:
+    """At most ``buckets - 1`` ascending ids that cut the table into even ranges, from the ``each * buckets`` distinct ids
+    with the smallest hash (a bounded sample; any cut gives the same index). Ids of any orderable type."""
+    sample = df.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col)
+    ids = sorted(r[0] for r in sample.limit(each * buckets).collect())
+    return sorted(set(ids[len(ids) * i // buckets] for i in range(1, buckets))) if ids else []
+
+
+def _range_bucket(id_col: str, bounds: list) -> Column:
+    """How many of the sorted bounds lie below the id, by binary search: one expression for any number of bounds."""
+    if not bounds:
+        return F.lit(0)
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+
+    def halve(s, _):
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = (s["lo"] < s["hi"]) & (F.get(s["bounds"], middle) < s["id"])
+        return F.struct(s["bounds"].alias("bounds"), s["id"].alias("id"), F.when(below, middle + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(below, s["hi"]).otherwise(F.least(middle, s["hi"])).alias("hi"))
+
+    begin = F.struct(F.lit(bounds).alias("bounds"), F.col(id_col).alias("id"), F.lit(0).alias("lo"),
+                     F.lit(len(bounds)).alias("hi"))
+    return F.when(F.col(id_col).isNull(), 0).otherwise(F.aggregate(steps, begin, halve, lambda s: s["lo"]))
+
+
 def with_index_by_id(df: DataFrame, id_col: str, buckets: int | None = None,
                      idx_col: str = "idx", total_col: str | None = None) -> DataFrame:
-    """Position in ascending id order. Range buckets come from B-1 approximate
-    quantiles of the id (a bounded sketch; B-1 numbers reach the driver); ranks
-    inside the buckets are exact, so the index is exact."""
+    """Position in ascending id order (nulls first). The input is written once to the shared checkpoint folder, so that
+    choosing the ranges does not run its plan a second time; the ranges come from a bounded sample of ids, the
+    ranks inside them are exact, so the index is exact."""
     b = buckets or shuffle_partitions(df.sparkSession)
-    if b > 1:
-        qs = [i / b for i in range(1, b)]
-        bounds = df.agg(F.percentile_approx(F.col(id_col), qs, 10000).alias("q")).first()["q"] or []
-    else:
-        bounds = []
-    # bucket = number of bounds strictly below the id (monotone in the id)
-    bucket = F.lit(0)
-    for v in sorted(set(bounds)):
-        bucket = bucket + (F.col(id_col) > F.lit(v)).cast("int")
-    keyed = df.withColumn("_bucket", bucket)
+    df = cut_lineage(df)
+    keyed = df.withColumn("_bucket", _range_bucket(id_col, _id_bounds(df, id_col, b) if b > 1 else []))
     ranked = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(id_col)))
     counts = ranked.groupBy("_bucket").agg(F.max("_rn").alias("_n"))
     all_b = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

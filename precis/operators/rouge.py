@@ -65,6 +65,9 @@ def rouge_counts(pairs: DataFrame, key: list[str], pred: str, gold: str, ns=(1,
     (none when ``prepartitioned``), and no part of the input plan runs twice."""
     if not prepartitioned:
         pairs = pairs.repartition(num_partitions or shuffle_partitions(pairs.sparkSession), key[0])
+    # a row number of this task's share keeps pairs that repeat a key apart
+    pairs = pairs.withColumn("_pair", F.monotonically_increasing_id())
+    asked, key = key, [*key, "_pair"]
     carry = [pred, gold, *keep]
     payload = F.struct(*[F.col(c).alias(c) for c in carry])
     payload_type = pairs.select(payload.alias("p")).schema[0].dataType.simpleString()
@@ -84,7 +87,7 @@ def rouge_counts(pairs: DataFrame, key: list[str], pred: str, gold: str, ns=(1,
                  F.sum(F.when(on, F.col("cg")).otherwise(0)).cast("bigint").alias(f"gold{n}")]
     per_pair = per_gram.groupBy(*key).agg(*aggs)
     pl = F.element_at("_pl", 1)
-    return per_pair.select(*key, *[pl[c].alias(c) for c in carry],
+    return per_pair.select(*asked, *[pl[c].alias(c) for c in carry],
                            *[F.col(f"{m}{n}") for n in ns for m in ("overlap", "pred", "gold")])
 
 

@@ -191,11 +191,17 @@ def train_unigram(counts: DataFrame, vocab_size: int = 16_000, seed_size: int =
     seeds = seeds.orderBy(F.col("freq").desc(), F.col("piece")).limit(seed_size)
     cur = chars.unionByName(seeds).groupBy("piece").agg(F.max("freq").alias("freq"))
     cur_pd = cur.toPandas()     # bounded by seed_size + alphabet (checked above)
-    target = max(vocab_size - FIRST_PIECE_ID, 1)
+    target = vocab_size - FIRST_PIECE_ID
     char_set = set(p for p in cur_pd["piece"] if len(p) == 1)
-    for _ in range(rounds):
+    if target < len(char_set):
+        raise ValueError(f"vocab_size {vocab_size} does not hold the {len(char_set)} characters of the corpus")
+    done = 0
+    # at least ``rounds`` rounds, and as many as it takes to shrink to the target; the last round re-estimates only
+    while True:
+        done += 1
+        last = len(cur_pd) <= target and done >= rounds
         total = float(cur_pd["freq"].sum())
-        logp = {p: math.log(f / total) for p, f in zip(cur_pd["piece"], cur_pd["freq"]) if f > 0}
+        logp = {p: math.log(max(f, 1e-12) / total) for p, f in zip(cur_pd["piece"], cur_pd["freq"])}
         bc = spark.sparkContext.broadcast(logp)
 
         def e_step(batches, bc=bc):
@@ -209,25 +215,27 @@ def train_unigram(counts: DataFrame, vocab_size: int = 16_000, seed_size: int =
 
         expected = (marked.mapInPandas(e_step, "piece string, freq double")
                           .groupBy("piece").agg(F.sum("freq").alias("freq")))
-        cur_pd = expected.toPandas()   # one row per live piece: bounded by the broadcast size
+        found = expected.toPandas()   # one row per live piece: bounded by the broadcast size
         bc.unpersist()
+        # a character stays even where no best path uses it any more
+        unused = sorted(char_set - set(found["piece"]))
+        cur_pd = pd.concat([found, pd.DataFrame({"piece": unused, "freq": [1e-6] * len(unused)})], ignore_index=True)
+        if last:
+            break
         keep_n = max(target, int(len(cur_pd) * shrink))
         cur_pd["is_char"] = cur_pd["piece"].isin(char_set)
         cur_pd = cur_pd.sort_values(["is_char", "freq", "piece"], ascending=[False, False, True])
-        cur_pd = cur_pd.head(max(keep_n, int(cur_pd["is_char"].sum()))).drop(columns="is_char")
-        if len(cur_pd) <= target:
-            break
-    cur_pd = cur_pd.sort_values(["freq", "piece"], ascending=[False, True]).head(target)
+        cur_pd = cur_pd.head(max(keep_n, len(char_set))).drop(columns="is_char")
+    cur_pd = cur_pd.sort_values(["freq", "piece"], ascending=[False, True])
     total = float(cur_pd["freq"].sum())
-    cur_pd["logp"] = [math.log(f / total) for f in cur_pd["freq"]]
+    cur_pd["logp"] = [math.log(max(f, 1e-12) / total) for f in cur_pd["freq"]]
     cur_pd["id"] = range(FIRST_PIECE_ID, FIRST_PIECE_ID + len(cur_pd))
     pieces = spark.createDataFrame(cur_pd[["piece", "id", "logp"]])
     specials = spark.createDataFrame([(p, i, 0.0) for p, i in SPECIALS], "piece string, id int, logp double")
     return specials.unionByName(pieces.select("piece", F.col("id").cast("int"), "logp"))
 
 
-def train_bpe(counts: DataFrame, vocab_size: int = 16_000, merges_per_round: int = 64,
-              max_rounds: int = 1000) -> DataFrame:
+def train_bpe(counts: DataFrame, vocab_size: int = 16_000, merges_per_round: int = 64) -> DataFrame:
     """BPE: each round counts adjacent symbol pairs over the distinct-word table
     (``groupBy(pair).sum``), takes the most frequent pairs that share no symbol, and
     merges them in every word. The word table is checkpointed each round.
@@ -238,9 +246,9 @@ def train_bpe(counts: DataFrame, vocab_size: int = 16_000, merges_per_round: int
     alphabet = [r["s"] for r in words.select(F.explode("sym").alias("s")).distinct().orderBy("s").collect()]
     merges: list[tuple[str, str]] = []
     target = vocab_size - FIRST_PIECE_ID - len(alphabet)
-    rounds = 0
-    while len(merges) < target and rounds < max_rounds:
-        rounds += 1
+    if target < 0:
+        raise ValueError(f"vocab_size {vocab_size} does not hold the {len(alphabet)} characters of the corpus")
+    while len(merges) < target:
         n = F.size("sym")
         z = F.arrays_zip(F.slice("sym", 1, F.greatest(n - 1, F.lit(0))).alias("a"),
                          F.slice("sym", 2, F.greatest(n - 1, F.lit(0))).alias("b"))

@@ -30,14 +30,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by ``spark.checkpoint.dir``; only when the session
-    leaves it unset (local tests) create a private one."""
+    """Use the shared folder named by ``spark.checkpoint.dir``. A local session that leaves it unset gets a
+    private one; on a cluster that is an error, as executors do not share local folders."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="precis-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     os.makedirs(path, exist_ok=True) if "://" not in path else None

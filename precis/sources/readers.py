@@ -16,43 +16,6 @@ from pyspark.sql.types import StructType
 from ..schemas import RAW_JSON_TEXT
 
 
-# unique row key of each driver table: spreading on it cannot create a hot partition
-ROW_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn"),
-            "benchmark": ("item_id",), "labels": ("doc_id",)}
-
-
-def _row_groups(files: list[str]) -> int | None:
-    """Row groups of local Parquet files (footers only); None when not countable."""
-    try:
-        import pyarrow.parquet as pq
-        total = 0
-        for f in files:
-            path = f[len("file:"):] if f.startswith("file:") else f
-            if "://" in path:
-                return None
-            total += pq.ParquetFile(path).metadata.num_row_groups
-        return total
-    except Exception:  # noqa: BLE001
-        return None
-
-
-def read_table(spark: SparkSession, path: str, key: tuple[str, ...] | None = None) -> DataFrame:
-    """Parquet scan that keeps all cores busy: a Parquet row group is the smallest
-    split, so an input with fewer row groups than task slots (a small single-file table)
-    is hash-spread on its unique row key. Large inputs (at least one file per slot)
-    are returned as scanned, with no extra exchange."""
-    df = spark.read.parquet(path)
-    slots = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= slots:
-        return df
-    groups = _row_groups(files)
-    if groups is None or groups >= slots:
-        return df
-    n = max(slots, int(spark.conf.get("spark.sql.shuffle.partitions", str(slots))))
-    return df.repartition(n, *key) if key else df.repartition(n)
-
-
 def read_docs(spark: SparkSession, path: str | list[str], fmt: str = "parquet", text_col: str = "text",
               id_col: str | None = None, schema: StructType | str | None = None,
               options: dict | None = None) -> DataFrame:

@@ -38,6 +38,6 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for t in ["documents", "pages", "conversations", "benchmark", "labels"]:
+    for t in ["documents", "pages", "conversations", "benchmark", "labels", "embeddings"]:
         con.execute(f"create view {t} as select * from read_parquet('{SF01}/{t}.parquet')")
     return con

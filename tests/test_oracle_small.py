@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages conversations benchmark labels".split()
+TABLES = "documents pages conversations benchmark labels embeddings".split()
 
 
 def _norm(v):

@@ -41,3 +41,15 @@ def test_shards(spark):
     assert all(r.shard == r.doc_id // 64 for r in c)
     s = O.assign_shards(_ids(spark, 1000), "doc_id", 64, "strided").collect()
     assert all(r.shard == r.doc_id % 16 for r in s)
+
+
+def test_index_by_id_with_many_buckets(spark):
+    got = O.with_index_by_id(_ids(spark, 3000).repartition(5), "doc_id", buckets=5000).collect()
+    assert all(r.idx == r.doc_id for r in got) and len(got) == 3000
+
+
+def test_index_by_string_id(spark):
+    ids = [f"id-{i}" for i in range(300)] + ["a", "z", "z"]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id string")
+    got = sorted((r.idx, r.doc_id) for r in O.with_index_by_id(df, "doc_id", buckets=16).collect())
+    assert [i for _, i in got] == sorted(ids) and [n for n, _ in got] == list(range(len(ids)))

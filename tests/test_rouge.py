@@ -44,3 +44,9 @@ def test_long_text_lcs_is_whole():
     a = [rng.choice("abcdefgh") for _ in range(3000)]
     b = [rng.choice("abcdefgh") for _ in range(2500)]
     assert lcs_length(a, b) == lcs_dp(a, b)
+
+
+def test_pairs_that_repeat_a_key_stay_apart(spark):
+    from precis.operators.rouge import score_pairs
+    df = spark.createDataFrame([(1, "a b", "a b"), (1, "c d", "x y")], "id long, pred string, gold string")
+    assert sorted(r.rouge1 for r in score_pairs(df).collect()) == [0.0, 1.0]
