@@ -34,9 +34,9 @@ class WordIds:
     are those of its words one after the other; each distinct word is tokenised once for each worker.
 
     Travels to the workers as a broadcast variable (the tokenizer's JSON text); the memory of words is rebuilt
-    there, and started anew beyond ``max_words`` so that it stays bounded."""
+    there. Beyond ``max_words`` it forgets the words met once, so that it stays bounded."""
 
-    def __init__(self, tokenizer_json: str, max_words: int = 300_000):
+    def __init__(self, tokenizer_json: str, max_words: int = 500_000):
         self.json, self.max_words, self.tok = tokenizer_json, max_words, None
 
     def __getstate__(self):
@@ -49,13 +49,29 @@ class WordIds:
             self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.index: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.at, self.size, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _forget(self):
+        n = len(self.index)
+        kept = np.flatnonzero(self.uses[:n] > 1)
+        if len(kept) > self.max_words // 2:
+            kept = kept[:0]  # nearly all are frequent: start anew
+        words = list(self.index)
+        size, uses = self.size[kept], self.uses[kept] // 2
+        flat = self.flat[ragged(self.at[kept], size)]
+        self._start()
+        room = max(1 << 14, 1 << int(len(kept)).bit_length())
+        self.at, self.size, self.uses = (np.zeros(room, np.int64) for _ in range(3))
+        self.flat, self.used = np.concatenate((flat, np.zeros(1 << 16, np.uint32))), len(flat)
+        self.at[:len(kept)], self.size[:len(kept)], self.uses[:len(kept)] = np.cumsum(size) - size, size, uses
+        self.index = {words[i]: j for j, i in enumerate(kept.tolist())}
 
     def _ids(self, word: bytes) -> list[int]:
+        if word.isalpha() and word.islower():  # ASCII letters only
+            return [t.id for t in self.tok.model.tokenize(word.decode())]
         text = word.decode("utf-8", "replace")
         if text.isalpha() and max(text) < "ɐ" and text == text.lower() and unicodedata.is_normalized("NFC", text):
-            piece = text if text.isascii() else word.decode("latin-1").translate(_BYTE_CHARS)
-            return [t.id for t in self.tok.model.tokenize(piece)]
+            return [t.id for t in self.tok.model.tokenize(word.decode("latin-1").translate(_BYTE_CHARS))]
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def _known(self, word: bytes) -> np.ndarray:
@@ -70,7 +86,7 @@ class WordIds:
             ids = self._ids(word)
         k, n = len(self.index), len(ids)
         if k == len(self.at):
-            self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
+            self.at, self.size, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size, self.uses))
         while self.used + n > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.flat[self.used:self.used + n] = ids
@@ -81,13 +97,16 @@ class WordIds:
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each word."""
-        if self.tok is None or len(self.index) > self.max_words:
+        if self.tok is None:
             self._start()
+        elif len(self.index) > self.max_words:
+            self._forget()
         k = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(k < 0).tolist()
         for i in missing:
             w = words[i]
             k[i] = self.index[w] if w in self.index else self._add(w)
+        self.uses[:len(self.index)] += np.bincount(k, minlength=len(self.index))
         size = self.size[k]
         return self.flat[ragged(self.at[k], size)], size
 

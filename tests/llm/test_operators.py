@@ -143,7 +143,8 @@ def test_word_ids_on_odd_words():
     texts = [" ".join(rng.choices(words, k=8)) for _ in range(200)]
     with open(tokenizer_path(), encoding="utf-8") as f:
         own = packing.WordIds(f.read(), max_words=20)
-    assert [x.tolist() for x in own.encode(t.encode() for t in texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [x.tolist() for i in range(0, 200, 10) for x in own.encode(t.encode() for t in texts[i:i + 10])]  # forgets between
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packing_is_gapless_and_tight(docs, nothing):
