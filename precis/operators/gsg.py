@@ -6,10 +6,10 @@ count in the document and N the document's token count,
     overlap_i = sum_w min(c_i(w), C(w) - c_i(w)),   F1_i = 2 * overlap_i / N.
 N is constant per document, so the ranking only needs the integer overlap.
 
-Native plan: one hash exchange on ``doc_id``; every later key set contains ``doc_id``
-so the word counts, the window over (doc, word), the per-sentence sums, the ranking and
-the final per-document assembly all run inside the partitions that exchange produced.
-A document is one input row, so no group is bigger than the largest document.
+A document is one input row, so nothing is shuffled: sentences, sizes, draws and the final
+texts are array expressions, and one Arrow kernel counts and ranks the sentences of many
+documents at once (codes for the words, counts per (sentence, word) and (document, word)).
+Rows that share an id stay apart, and ids may have any type.
 
 The masked subset follows the reference: ``u`` draws *with replacement* among the ``k``
 selected sentences (mode ``with_replacement``), or all ``k`` (mode ``all``). The draws
@@ -23,13 +23,17 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import MASK_TOKEN, gsg_tokens, split_sentences
+from ..functions.text import MASK_TOKEN, PY_WS, split_sentences
 from ..options import DEFAULT, Options
-from ..session import shuffle_partitions
+from .batches import in_parts, token_codes
 
 
 def gsg_sizes(m: Column, rate: float, return_mask_rate: float) -> tuple[Column, Column]:
@@ -45,109 +49,106 @@ def draw_key(doc_id: Column, j: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
-def _rank_order():
-    return Window.partitionBy("doc_id").orderBy(F.col("overlap").desc(), F.col("sid").asc())
-
-
-def sentence_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  num_partitions: int | None = None, keep: tuple[str, ...] = (),
-                  abbreviations: tuple = ()) -> DataFrame:
-    """(doc_id, sents, keep...) hash-partitioned on doc_id: the one exchange of the GSG plan."""
-    n = num_partitions or shuffle_partitions(docs.sparkSession)
-    sents = split_sentences(F.col(text_col), abbreviations)
-    return (docs.select(F.col(id_col).alias("doc_id"), sents.alias("sents"), *keep)
-            .repartition(n, "doc_id"))
+def _rank_batch(sents: pa.Array, k: pa.Array, drawn: pa.Array) -> pa.Array:
+    """Per document a list of (overlap, n_tok, rank, selected, masked), one for each sentence."""
+    size = pc.list_value_length(sents).to_numpy()
+    start = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(size)), size)
+    flat = sents.flatten()
+    words, owner, n_words = token_codes(pc.ascii_lower(pc.replace_substring_regex(flat, "[^a-zA-Z0-9]+", " ")))
+    pair, count = np.unique(owner * n_words + words, return_counts=True)
+    sentence, word = pair // n_words, pair % n_words
+    _, group = np.unique(row[sentence] * n_words + word, return_inverse=True)
+    in_doc = np.bincount(group, count)
+    overlap = np.bincount(sentence, np.minimum(count, in_doc[group] - count), len(flat)).astype(np.int64)
+    order = np.lexsort((-overlap, row))  # stable: ties by sentence number
+    rank = np.empty(len(flat), np.int32)
+    rank[order] = np.arange(len(flat)) - start[row] + 1
+    selected = rank <= k.to_numpy()[row]
+    masked = selected
+    if drawn.null_count < len(drawn):
+        masked = np.zeros(len(flat), bool)
+        chosen = np.flatnonzero(selected)
+        first = np.searchsorted(row[chosen], np.arange(len(size)))
+        of = np.repeat(np.arange(len(size)), pc.list_value_length(drawn).to_numpy())
+        at = first[of] + drawn.flatten().to_numpy()
+        masked[chosen[at[size[of] > 0]]] = True
+    facts = pa.StructArray.from_arrays(
+        [pa.array(overlap), pa.array(np.bincount(owner, minlength=len(flat)).astype(np.int64)), pa.array(rank),
+         pa.array(selected), pa.array(masked)], names=_FACTS.fieldNames())
+    return pa.ListArray.from_arrays(pa.array(np.append(start, len(flat)).astype(np.int32)), facts)
+
+
+_FACTS = T.StructType([T.StructField("overlap", T.LongType()), T.StructField("n_tok", T.LongType()),
+                       T.StructField("rank", T.IntegerType()), T.StructField("selected", T.BooleanType()),
+                       T.StructField("masked", T.BooleanType())])
+# nondeterministic: a deterministic UDF would run again for a filter pushed below it
+_RANK_UDF = F.arrow_udf(in_parts(_rank_batch), T.ArrayType(_FACTS)).asNondeterministic()
+
+
+def ranked_documents(docs: DataFrame, opts: Options = DEFAULT, id_col: str = "doc_id", text_col: str = "text",
+                     mode: str = "all", keep: tuple[str, ...] = ()) -> DataFrame:
+    """I1-I5 row by row: doc_id, sents, facts (one per sentence), m, k, u, keep... for every document that has
+    sentences. No exchange."""
+    sents = F.coalesce(split_sentences(F.col(text_col), opts.abbreviations), F.array().cast("array<string>"))
+    base = docs.select(F.col(id_col).alias("doc_id"), sents.alias("sents"), *keep)
+    k, u = gsg_sizes(F.size("sents"), opts.gsg_rate, opts.return_mask_rate)
+    sized = base.select("*", F.size("sents").alias("m"), k.alias("k"), u.alias("u"))
+    drawn = F.lit(None).cast("array<int>")
+    if mode != "all":
+        # the draw's document and range are zipped in: a lambda that reads another column breaks UDF extraction
+        some = F.when(F.col("u") > 0, F.sequence(F.lit(1), F.col("u"))).otherwise(F.array().cast("array<int>"))
+        zipped = F.arrays_zip(some.alias("j"), F.array_repeat("doc_id", F.col("u")).alias("d"),
+                              F.array_repeat("k", F.col("u")).alias("k"))
+        drawn = F.transform(zipped, lambda e: F.pmod(draw_key(e["d"], e["j"], opts.seed), e["k"].cast("bigint")).cast("int"))
+    return (sized.withColumn("facts", _RANK_UDF(F.col("sents"), F.col("k"), drawn))
+            .where(F.size("sents") > 0))
 
 
 def sentence_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    num_partitions: int | None = None, base: DataFrame | None = None) -> DataFrame:
-    """H1 + I2 + I3: one row per sentence: doc_id, sid, overlap, n_tok, n_doc_tok, m, f1.
-    Internally partitioned by ``doc_id`` (one exchange)."""
-    base = base if base is not None else sentence_base(docs, id_col, text_col, num_partitions)
-    # posexplode_outer: an inner explode would make the optimizer infer a filter on the
-    # base, and the base's exchange could then not be reused by the final join.
-    sents = (base.select("doc_id", F.posexplode_outer("sents").alias("sid", "sentence"))
-             .where(F.col("sid").isNotNull()))
-    words = sents.select("doc_id", "sid", F.explode_outer(gsg_tokens(F.col("sentence"))).alias("w"))
-    per_word = words.groupBy("doc_id", "sid", "w").agg(F.count("w").alias("n_sent"))
-    per_word = per_word.withColumn("n_doc", F.sum("n_sent").over(Window.partitionBy("doc_id", "w")))
-    per_sent = per_word.groupBy("doc_id", "sid").agg(
-        F.sum(F.least(F.col("n_sent"), F.col("n_doc") - F.col("n_sent"))).alias("overlap"),
-        F.sum("n_sent").alias("n_tok"),
-    )
-    # the document totals use the rank ordering with a full frame: ranked_sentences then
-    # evaluates them and the rank in one Window operator over one sort
-    doc_w = _rank_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (per_sent
-            .withColumn("n_doc_tok", F.sum("n_tok").over(doc_w))
-            .withColumn("m", F.count(F.lit(1)).over(doc_w).cast("int"))
-            .withColumn("f1", F.when(F.col("n_doc_tok") > 0,
-                                     F.lit(2.0) * F.col("overlap") / F.col("n_doc_tok")).otherwise(F.lit(0.0))))
+                    opts: Options = DEFAULT) -> DataFrame:
+    """H1 + I2 + I3: one row per sentence: doc_id, sid, overlap, n_tok, n_doc_tok, m, f1, k, u, rank, selected."""
+    tokens = F.aggregate("facts", F.lit(0).cast("bigint"), lambda s, x: s + x["n_tok"])
+    rows = ranked_documents(docs, opts, id_col, text_col).select(
+        "doc_id", "m", "k", "u", tokens.alias("n_doc_tok"), F.posexplode("facts").alias("sid", "f"))
+    f1 = F.when(F.col("n_doc_tok") > 0, F.lit(2.0) * F.col("f.overlap") / F.col("n_doc_tok")).otherwise(F.lit(0.0))
+    return rows.select("doc_id", "sid", "f.overlap", "f.n_tok", "n_doc_tok", "m", f1.alias("f1"), "k", "u", "f.rank",
+                       "f.selected")
 
 
 def ranked_sentences(docs: DataFrame, opts: Options = DEFAULT, id_col: str = "doc_id",
-                     text_col: str = "text", num_partitions: int | None = None,
-                     base: DataFrame | None = None) -> DataFrame:
-    """I4: adds ``rank`` (overlap desc, sid asc), ``k``, ``u`` and ``selected``."""
-    sc = sentence_scores(docs, id_col, text_col, num_partitions, base)
-    k, u = gsg_sizes(F.col("m"), opts.gsg_rate, opts.return_mask_rate)
-    return (sc.withColumn("rank", F.row_number().over(_rank_order()))
-              .withColumn("k", k).withColumn("u", u)
-              .withColumn("selected", F.col("rank") <= F.col("k")))
+                     text_col: str = "text") -> DataFrame:
+    """I4: the sentences with ``rank`` (overlap desc, sid asc), ``k``, ``u`` and ``selected``."""
+    return sentence_scores(docs, id_col, text_col, opts)
 
 
 def gap_sentences(docs: DataFrame, opts: Options = DEFAULT, id_col: str = "doc_id",
-                  text_col: str = "text", mode: str | None = None, engine: str = "native",
-                  num_partitions: int | None = None) -> DataFrame:
-    """(doc_id, input, labels, m, k, n_masked). Documents without sentences are dropped.
-
-    No lambda below references a column outside its own element (Spark cannot extract
-    a Python UDF applied later to such an expression), so per-sentence flags are built
-    as rows, collected per document in sentence order and zipped with the sentences."""
+                  text_col: str = "text", mode: str | None = None, engine: str = "native") -> DataFrame:
+    """(doc_id, input, labels, m, k, n_masked), one row per input row. Documents without sentences are
+    dropped (``count_without_sentences`` counts them)."""
     mode = mode or opts.gsg_mode
     if engine == "arrow":
         return gap_sentences_arrow(docs, opts, id_col, text_col, mode)
-    base = sentence_base(docs, id_col, text_col, num_partitions, abbreviations=opts.abbreviations)
-    ranked = ranked_sentences(docs, opts, id_col, text_col, base=base)
-    by_sid = Window.partitionBy("doc_id").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranked.withColumn("sel_pos", F.sum(F.col("selected").cast("int")).over(by_sid) - 1)
-    if mode == "all":
-        flagged = ranked.withColumn("masked", F.col("selected"))
-    else:
-        # u draws with replacement among the k selected sentences; one row per draw
-        # computed from the base (m = number of sentences), not from ``ranked``, so the
-        # word-level aggregation is not evaluated a second time
-        k, u = gsg_sizes(F.size("sents"), opts.gsg_rate, opts.return_mask_rate)
-        # (no filter on the base: it would be pushed below the exchange and the
-        # exchange could no longer be reused; explode_outer + a filter on the
-        # generated column keeps the base subtree identical)
-        draw_nos = F.when(u > 0, F.sequence(F.lit(1), u)).otherwise(F.array().cast("array<int>"))
-        draws = (base.select("doc_id", k.alias("k"), F.explode_outer(draw_nos).alias("j"))
-                 .where(F.col("j").isNotNull())
-                 .select("doc_id", F.pmod(draw_key(F.col("doc_id"), F.col("j"), opts.seed),
-                                          F.col("k").cast("bigint")).cast("int").alias("pos"))
-                 .groupBy("doc_id").agg(F.collect_set("pos").alias("drawn")))
-        flagged = (ranked.join(draws.hint("shuffle_hash"), "doc_id", "left")
-                   .withColumn("masked", F.col("selected") &
-                               F.coalesce(F.array_contains(F.col("drawn"), F.col("sel_pos")), F.lit(False))))
-    flags = flagged.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("sid", "selected", "masked"))).alias("fl"),
-        F.first("m").alias("m"), F.first("k").alias("k"),
-        F.sum(F.col("masked").cast("int")).cast("int").alias("n_masked"),
-    )
-    # both sides are hash-partitioned on doc_id with the same count: no exchange
-    joined = base.join(flags.hint("shuffle_hash"), "doc_id")
-    z = F.arrays_zip(F.col("sents").alias("s"), F.col("fl").alias("f"))
+    rows = ranked_documents(docs, opts, id_col, text_col, mode)
+    z = F.arrays_zip(F.col("sents").alias("s"), F.col("facts").alias("f"))
     inp = F.array_join(F.transform(z, lambda e: F.when(e["f"]["masked"], F.lit(MASK_TOKEN)).otherwise(e["s"])), " ")
     lab = F.array_join(F.transform(F.filter(z, lambda e: e["f"]["selected"]), lambda e: e["s"]), " ")
-    return joined.select(F.col("doc_id").alias(id_col), inp.alias("input"), lab.alias("labels"),
-                         "m", "k", "n_masked")
+    masked = F.size(F.filter("facts", lambda f: f["masked"]))
+    return rows.select(F.col("doc_id").alias(id_col), inp.alias("input"), lab.alias("labels"), "m", "k",
+                       masked.alias("n_masked"))
+
+
+def count_without_sentences(docs: DataFrame, text_col: str = "text", opts: Options = DEFAULT) -> DataFrame:
+    """I8: (n_docs, n_empty): documents, and those that ``gap_sentences`` drops (no sentence, or no text)."""
+    n = F.coalesce(F.size(split_sentences(F.col(text_col), opts.abbreviations)), F.lit(0))
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(n <= 0).alias("n_empty"))
 
 
 # --------------------------------------------------------------------------------
 # Row-local twin (no shuffle). Same definitions, written out per document in Python.
-_SPLIT = re.compile(r"([.!?])[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_BLANK = re.compile(r"^[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*$")
+_WS = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), PY_WS)  # the class as Python writes it
+_SPLIT = re.compile("([.!?])" + _WS + "+")
+_BLANK = re.compile("^" + _WS + "*$")
 _NON_ALNUM = re.compile(r"[^a-zA-Z0-9]+")
 _TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -155,13 +156,13 @@ _TOKEN = re.compile(r"[a-z0-9]+")
 def py_sentences(text: str, abbreviations: tuple = ()) -> list[str]:
     if abbreviations:
         alts = "|".join(re.escape(a) for a in abbreviations)
-        text = re.sub(r"(?<!\w)(" + alts + r")\.(?=[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])",
+        text = re.sub(r"(?<!\w)(" + alts + r")\.(?=" + _WS + ")",
                       "\\1\x02", text, flags=re.IGNORECASE)
     out = [p for p in _SPLIT.sub("\\1\x01", text).split("\x01") if not _BLANK.match(p)]
     return [p.replace("\x02", ".") for p in out] if abbreviations else out
 
 
-def py_gsg(doc_id: int, text: str, opts: Options = DEFAULT, mode: str = "with_replacement"):
+def py_gsg(doc_id, text: str, opts: Options = DEFAULT, mode: str = "with_replacement"):
     sents = py_sentences(text, opts.abbreviations)
     m = len(sents)
     if m == 0:
@@ -190,17 +191,17 @@ def py_gsg(doc_id: int, text: str, opts: Options = DEFAULT, mode: str = "with_re
 
 def gap_sentences_arrow(docs: DataFrame, opts: Options = DEFAULT, id_col: str = "doc_id",
                         text_col: str = "text", mode: str = "with_replacement") -> DataFrame:
-    schema = f"{id_col} bigint, input string, labels string, m int, k int, n_masked int"
+    id_type = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, id_type)]).simpleString()[len("struct<"):-1].replace(":", " ")
+    schema += ", input string, labels string, m int, k int, n_masked int"
 
     def run(batches):
         for pdf in batches:
             out = []
             for did, txt in zip(pdf[id_col], pdf[text_col]):
-                if txt is None:
-                    continue
-                r = py_gsg(int(did), txt, opts, mode)
+                r = py_gsg(did, txt, opts, mode) if txt is not None else None
                 if r is not None:
-                    out.append((int(did),) + r)
+                    out.append((did,) + r)
             yield pd.DataFrame(out, columns=[id_col, "input", "labels", "m", "k", "n_masked"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInPandas(run, schema)
+    return docs.select(id_col, text_col).mapInPandas(run, schema)

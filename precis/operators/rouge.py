@@ -4,99 +4,27 @@ Tokenisation follows the scorer's defaults without stemming: lowercase, runs of
 [a-z0-9]. F = 2*overlap / (grams(pred) + grams(gold)) (0 when that is 0), which is the
 harmonic mean of precision and recall written without the two divisions.
 
-ROUGE-1/2 are a Spark aggregate: the pairs are hash-partitioned once on the id, both
-sides' n-grams are exploded and counted per (id, gram) and the clipped overlap summed
-per id -- all inside that one exchange. ROUGE-L needs an LCS over whole texts; it is a
-row-local Arrow UDF with the bit-parallel LCS (O(|a|*|b|/64) word operations).
+Prediction and gold text stand in one row, so nothing is shuffled and pairs that repeat a key
+stay apart: an Arrow kernel codes the tokens of a batch of pairs, counts its n-grams per
+pair and side, and takes the bit-parallel LCS (O(|a|*|b|/64) word operations) for ROUGE-L.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.text import rouge_tokens
-from ..session import shuffle_partitions
-
-
-def ngrams(tokens: Column, n: int) -> Column:
-    """n-grams as space-joined strings: zip n shifted slices (no index lookups, so no
-    lambda reads an outer column)."""
-    if n == 1:
-        return tokens
-    size = F.size(tokens)
-    length = F.greatest(size - (n - 1), F.lit(0))
-    parts = [F.slice(tokens, j + 1, length).alias(f"g{j}") for j in range(n)]
-    grams = F.transform(F.arrays_zip(*parts), lambda e: F.concat_ws(" ", *[e[f"g{j}"] for j in range(n)]))
-    return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+from .batches import in_parts, token_codes
 
 
 def _f(overlap: Column, total: Column) -> Column:
     return F.when(total > 0, F.lit(2.0) * overlap / total).otherwise(F.lit(0.0))
 
 
-def _gram_items(pred_tokens: Column, gold_tokens: Column, ns, payload_type: str | None) -> Column:
-    """One array with every n-gram of both sides, tagged (n, side); lambdas read only
-    their element (literals are captured from Python)."""
-    def tagger(n: int, side: int):
-        def item(g):
-            fields = [F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("side")]
-            if payload_type:
-                fields.append(F.lit(None).cast(payload_type).alias("payload"))
-            return F.struct(*fields)
-        return item
-
-    parts = [F.transform(ngrams(toks, n), tagger(n, side))
-             for n in ns for side, toks in ((0, pred_tokens), (1, gold_tokens))]
-    return F.concat(*parts)
-
-
-def rouge_counts(pairs: DataFrame, key: list[str], pred: str, gold: str, ns=(1, 2),
-                 keep: tuple[str, ...] = (), prepartitioned: bool = False,
-                 num_partitions: int | None = None) -> DataFrame:
-    """Single pass: key, [pred, gold, keep...], overlap{n}, pred{n}, gold{n} for n in ns.
-
-    Both sides' n-grams are exploded once, counted per (key, n, gram) and the clipped
-    overlap summed per key. The texts (and ``keep``) ride along as one carrier item per
-    pair, so no join back to the pairs is needed. Both aggregates are clustered on
-    ``key``, which the hash partitioning on ``key[0]`` satisfies: one exchange at most
-    (none when ``prepartitioned``), and no part of the input plan runs twice."""
-    if not prepartitioned:
-        pairs = pairs.repartition(num_partitions or shuffle_partitions(pairs.sparkSession), key[0])
-    # a row number of this task's share keeps pairs that repeat a key apart
-    pairs = pairs.withColumn("_pair", F.monotonically_increasing_id())
-    asked, key = key, [*key, "_pair"]
-    carry = [pred, gold, *keep]
-    payload = F.struct(*[F.col(c).alias(c) for c in carry])
-    payload_type = pairs.select(payload.alias("p")).schema[0].dataType.simpleString()
-    carrier = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("g"),
-                               F.lit(-1).alias("side"), payload.alias("payload")))
-    items = F.concat(carrier, _gram_items(rouge_tokens(F.col(pred)), rouge_tokens(F.col(gold)), ns, payload_type))
-    ex = pairs.select(*key, F.explode(items).alias("it"))
-    per_gram = ex.groupBy(*key, F.col("it.n").alias("n"), F.col("it.g").alias("g"),
-                          F.col("it.payload").alias("payload")).agg(
-        F.sum((F.col("it.side") == 0).cast("long")).alias("cp"),
-        F.sum((F.col("it.side") == 1).cast("long")).alias("cg"))
-    aggs = [F.collect_list("payload").alias("_pl")]
-    for n in ns:
-        on = F.col("n") == n
-        aggs += [F.sum(F.when(on, F.least("cp", "cg")).otherwise(0)).cast("bigint").alias(f"overlap{n}"),
-                 F.sum(F.when(on, F.col("cp")).otherwise(0)).cast("bigint").alias(f"pred{n}"),
-                 F.sum(F.when(on, F.col("cg")).otherwise(0)).cast("bigint").alias(f"gold{n}")]
-    per_pair = per_gram.groupBy(*key).agg(*aggs)
-    pl = F.element_at("_pl", 1)
-    return per_pair.select(*asked, *[pl[c].alias(c) for c in carry],
-                           *[F.col(f"{m}{n}") for n in ns for m in ("overlap", "pred", "gold")])
-
-
-def rouge_n(pairs: DataFrame, n: int, id_col: str = "id", pred: str = "pred", gold: str = "gold",
-            num_partitions: int | None = None) -> DataFrame:
-    c = rouge_counts(pairs, [id_col], pred, gold, ns=(n,), num_partitions=num_partitions)
-    return c.select(id_col, _f(F.col(f"overlap{n}"), F.col(f"pred{n}") + F.col(f"gold{n}")).alias(f"rouge{n}"))
-
-
 # ---------------------------------------------------------------------------------
 # LCS
 
@@ -133,34 +61,74 @@ def lcs_dp(a: list, b: list) -> int:
     return prev[-1]
 
 
-def _lcs_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        out.append(None if x is None or y is None else lcs_length(x, y))
-    return pa.array(out, pa.int64())
+# ---------------------------------------------------------------------------------
+# Batch kernel
+
+def _bigrams(codes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Codes of the pairs of neighbours within a text."""
+    inside = owner[1:] == owner[:-1]
+    pair, coded = np.unique((codes[:-1] * n + codes[1:])[inside], return_inverse=True)
+    return coded, owner[1:][inside], max(1, len(pair))
+
+
+def _shared(codes: np.ndarray, owner: np.ndarray, n: int, rows: int) -> np.ndarray:
+    """Common grams (with repeats) of texts i and rows + i, for every i."""
+    gram, group = np.unique(owner % rows * n + codes, return_inverse=True)
+    first = np.bincount(group[owner < rows], minlength=len(gram))
+    second = np.bincount(group[owner >= rows], minlength=len(gram))
+    return np.bincount(gram // n, np.minimum(first, second), rows).astype(np.int64)
+
+
+def _measure(with_lcs: bool):
+    fields = [f"{m}{n}" for n in (1, 2) for m in ("overlap", "pred", "gold")] + ["lcs"] * with_lcs
+
+    def kernel(pred: pa.Array, gold: pa.Array) -> pa.Array:
+        rows = len(pred)
+        both = pa.concat_arrays([pred, gold])
+        grams = token_codes(pc.replace_substring_regex(pc.fill_null(both, ""), "[^a-z0-9]+", " "))
+        codes, owner, _ = grams
+        out = []
+        for _ in (1, 2):
+            size = np.bincount(grams[1], minlength=2 * rows).astype(np.int64)
+            out += [_shared(*grams, rows) if rows else size, size[:rows], size[rows:]]
+            grams = _bigrams(*grams)
+        if with_lcs:
+            cuts = np.searchsorted(owner, np.arange(2 * rows + 1))
+            part = [codes[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+            out.append(np.fromiter(map(lcs_length, part[:rows], part[rows:]), np.int64, rows))
+        return pa.StructArray.from_arrays([pa.array(x) for x in out], names=fields)
+
+    # nondeterministic: evaluated once, however many of its fields are read
+    return F.arrow_udf(in_parts(kernel), StructType([StructField(f, LongType()) for f in fields])).asNondeterministic()
+
+
+_COUNTS, _COUNTS_LCS = _measure(False), _measure(True)
+
+
+def rouge_counts(pairs: DataFrame, pred: str, gold: str, with_lcs: bool = False) -> DataFrame:
+    """``pairs`` with ``_m``: overlap, pred and gold counts of 1- and 2-grams (and lcs). A null text is empty."""
+    udf = _COUNTS_LCS if with_lcs else _COUNTS
+    return pairs.withColumn("_m", udf(F.lower(F.col(pred)), F.lower(F.col(gold))))
 
 
-_LCS_UDF = F.arrow_udf(_lcs_arrow, LongType())
+def _rouge(n: int | str) -> Column:
+    if n == "L":
+        return _f(F.col("_m.lcs"), F.col("_m.pred1") + F.col("_m.gold1")).alias("rougeL")
+    return _f(F.col(f"_m.overlap{n}"), F.col(f"_m.pred{n}") + F.col(f"_m.gold{n}")).alias(f"rouge{n}")
 
 
-def lcs(tokens_a: Column, tokens_b: Column) -> Column:
-    return _LCS_UDF(tokens_a, tokens_b)
+def rouge_n(pairs: DataFrame, n: int, id_col: str = "id", pred: str = "pred", gold: str = "gold") -> DataFrame:
+    """K1 (n = 1), K2 (n = 2): id, rouge{n} of every row."""
+    return rouge_counts(pairs, pred, gold).select(id_col, _rouge(n))
 
 
-def rouge_l(pred: Column, gold: Column) -> Column:
-    tp, tg = rouge_tokens(pred), rouge_tokens(gold)
-    return _f(lcs(tp, tg).cast("double"), (F.size(tp) + F.size(tg)).cast("double"))
+def rouge_l(pairs: DataFrame, id_col: str = "id", pred: str = "pred", gold: str = "gold") -> DataFrame:
+    """K3: id, rougeL of every row."""
+    return rouge_counts(pairs, pred, gold, with_lcs=True).select(id_col, _rouge("L"))
 
 
 def score_pairs(pairs: DataFrame, id_col: str | list[str] = "id", pred: str = "pred", gold: str = "gold",
-                keep: tuple[str, ...] = (), num_partitions: int | None = None,
-                prepartitioned: bool = False) -> DataFrame:
-    """K4: key, kept columns, pred, gold, rouge1, rouge2, rougeL in one pass (see
-    ``rouge_counts``); ROUGE-L is the row-local LCS UDF on the carried texts."""
+                keep: tuple[str, ...] = ()) -> DataFrame:
+    """K4: key, kept columns, pred, gold, rouge1, rouge2, rougeL of every row. No exchange."""
     key = [id_col] if isinstance(id_col, str) else list(id_col)
-    c = rouge_counts(pairs, key, pred, gold, (1, 2), keep, prepartitioned, num_partitions)
-    tp, tg = rouge_tokens(F.col(pred)), rouge_tokens(F.col(gold))
-    return c.select(*key, *keep, pred, gold,
-                    _f(F.col("overlap1"), F.col("pred1") + F.col("gold1")).alias("rouge1"),
-                    _f(F.col("overlap2"), F.col("pred2") + F.col("gold2")).alias("rouge2"),
-                    _f(lcs(tp, tg).cast("double"), (F.size(tp) + F.size(tg)).cast("double")).alias("rougeL"))
+    return rouge_counts(pairs, pred, gold, with_lcs=True).select(*key, *keep, pred, gold, *map(_rouge, (1, 2, "L")))

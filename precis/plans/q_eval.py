@@ -57,12 +57,6 @@ def _score_fmt_sql(x: str) -> str:
     return f"CAST({v} // 1000000 AS VARCHAR) || '.' || lpad(CAST({v} % 1000000 AS VARCHAR), 6, '0')"
 
 
-def _score_fmt(c):
-    v = F.floor(c * 1000000 + 0.5).cast("bigint")
-    return F.concat(F.floor(v / 1000000).cast("bigint").cast("string"), F.lit("."),
-                    F.lpad(F.pmod(v, F.lit(1000000)).cast("string"), 6, "0"))
-
-
 _OVER_SQL = (
     f"WITH s AS (SELECT p.*, r.rouge1 FROM ({_PAIR_SQL}) p JOIN ({rouge_n_sql(_PAIR_SQL, 1, key='cand_id')}) r "
     f"ON p.cand_id = r.cand_id WHERE r.rouge1 > {THRESHOLD}) "
@@ -74,16 +68,7 @@ _OVER_SQL = (
 
 @register("candidates_over", _OVER_SQL)
 def candidates_over(spark, sf):
-    scored = scored_candidates(spark, sf)
-    hits = scored.where(F.col("rouge1") > THRESHOLD)
-    line = F.concat(F.lit("summary: "), F.col("summary"), F.lit("\nrouge1: "), _score_fmt(F.col("rouge1")))
-    per_doc = hits.groupBy("doc_id", "article", "gold").agg(
-        F.count(F.lit(1)).alias("n_hits"),
-        F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))).alias("_h"))
-    head = F.concat(F.lit("================================\nindex: "), F.col("doc_id").cast("string"),
-                    F.lit("\narticle: "), F.col("article"), F.lit("\ngold: "), F.col("gold"), F.lit("\n--------\n"))
-    return per_doc.select("doc_id", "n_hits",
-                          F.concat(head, F.array_join(F.transform("_h", lambda x: x["l"]), "\n")).alias("report"))
+    return K.candidate_report(scored_candidates(spark, sf), THRESHOLD)
 
 
 @register("rouge_candidates",
@@ -94,9 +79,21 @@ def rouge_candidates(spark, sf):
     return scored_candidates(spark, sf, keep=()).select("cand_id", "doc_id", "rank", "rouge1", "rouge2")
 
 
-@register("candidates_nested")
+_ALL_SCORED_SQL = (f"SELECT p.*, r1.rouge1, r2.rouge2, rl.rougeL FROM ({_PAIR_SQL}) p "
+                   f"JOIN ({rouge_n_sql(_PAIR_SQL, 1, key='cand_id')}) r1 ON p.cand_id = r1.cand_id "
+                   f"JOIN ({rouge_n_sql(_PAIR_SQL, 2, key='cand_id')}) r2 ON p.cand_id = r2.cand_id "
+                   f"JOIN ({S.rouge_l_sql(_PAIR_SQL, 'pred', 'gold', ['cand_id'])}) rl ON p.cand_id = rl.cand_id")
+_NESTED_SQL = ("SELECT doc_id, any_value(article) AS article, any_value(gold) AS gold, string_agg(pred || ' | ' || "
+               + " || ' | ' || ".join(_score_fmt_sql(m) for m in ("rouge1", "rouge2", "rougeL"))
+               + f", chr(10) ORDER BY rank) AS result FROM ({_ALL_SCORED_SQL}) GROUP BY doc_id")
+
+
+@register("candidates_nested", _NESTED_SQL)
 def candidates_nested(spark, sf):
-    return K.nest_candidates(scored_candidates(spark, sf), "doc_id", extra=("article", "gold"))
+    """K5: the nested list, its items written as text."""
+    nested = K.nest_candidates(scored_candidates(spark, sf), "doc_id", extra=("article", "gold"))
+    return nested.withColumn("result", F.array_join(F.transform("result", lambda x: F.concat_ws(
+        " | ", x["summary"], *[K.six_places(x[m]) for m in ("rouge1", "rouge2", "rougeL")])), "\n"))
 
 
 _RANK1_SQL = f"SELECT * FROM ({_PAIR_SQL}) WHERE rank = 1"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import rouge as R
-from ..operators.gsg import gap_sentences, ranked_sentences, sentence_scores
+from ..operators.gsg import count_without_sentences, gap_sentences, ranked_documents, ranked_sentences, sentence_scores
 from ..options import DEFAULT, Options
 from . import corpora as C
 from . import derived as D
@@ -94,8 +94,13 @@ def q_split_sentences(spark, sf):
 
 @register("gsg_sizes", f"WITH {gsg_ranked_sql(DOCS)} SELECT DISTINCT doc_id, m, k, u FROM r3")
 def q_gsg_sizes(spark, sf):
-    r = ranked_sentences(_docs(spark, sf))
-    return r.select("doc_id", "m", "k", "u").dropDuplicates(["doc_id"])
+    return ranked_documents(_docs(spark, sf)).select("doc_id", "m", "k", "u")
+
+
+@register("gsg_empty", f"SELECT count(*) AS n_docs, count(*) FILTER (WHERE coalesce(len({S.s_sentences('text')}), 0) = 0) AS n_empty "
+          "FROM documents")
+def q_gsg_empty(spark, sf):
+    return count_without_sentences(_docs(spark, sf))
 
 
 @register("gsg_scores",
@@ -205,7 +210,7 @@ def q_rouge2(spark, sf):
 
 @register("rougel", S.rouge_l_sql(PAIRS_SQL, "pred", "gold", ["pair_id"]))
 def q_rougel(spark, sf):
-    return _pairs(spark, sf).select("pair_id", R.rouge_l(F.col("pred"), F.col("gold")).alias("rougeL"))
+    return R.rouge_l(_pairs(spark, sf), "pair_id")
 
 
 @register("score_pairs",
