@@ -1,14 +1,7 @@
-"""Encoding and decoding.
+"""Encoding and decoding (J2-J7), row by row: nothing is shuffled, so a very common word is no hot key.
 
-``word`` mode is native: truncate the token list to the width, explode it, look the
-tokens up with a broadcast hash join against the vocabulary (its size is checked
-against ``max_broadcast_rows`` first; above it a shuffled join is used), and collect
-the ids back per document in position order. The exchange on the document id moves only
-the truncated token lists, never the whole text.
-
-``unigram`` / ``bpe`` modes segment words into subword pieces; that is a per-word
-dynamic programme, done in an Arrow UDF against a broadcast vocabulary (bounded by the
-vocabulary size).
+The vocabulary (``vocab_size`` rows, bounded by its trainer) is broadcast to the tasks. ``word`` mode looks whole
+words up. ``unigram`` and ``bpe`` segment words into subword pieces; a task remembers the words it has segmented.
 
 Output widths are fixed: ids truncated to ``width - 1``, then end-of-sequence, then
 padding (id 0) up to ``width``; the attention mask is 1 for real tokens.
@@ -16,18 +9,17 @@ padding (id 0) up to ``width``; the attention mask is 1 for real tokens.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from ..session import shuffle_partitions
+from ..functions.text import MASK_TOKEN
 from .vocab import EOS, FIRST_PIECE_ID, MASK, PAD, UNK, WORD_BOUNDARY, _viterbi, word_tokens
 
-
-def _checked_broadcast(vocab: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    n = vocab.count()
-    return (F.broadcast(vocab), True) if n <= max_rows else (vocab, False)
+REMEMBERED = 200_000  # segmented words a task keeps; then it starts anew
 
 
 def pad_ids(ids: Column, width: int) -> Column:
@@ -43,116 +35,82 @@ def attention_mask(ids_len: Column, width: int) -> Column:
     return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(width) - n)).cast("array<int>")
 
 
-def encode_word(df: DataFrame, vocab: DataFrame, cols: dict[str, int], id_col: str = "doc_id",
-                max_broadcast_rows: int = 2_000_000, with_mask: str | None = None) -> DataFrame:
-    """J3/J5 in word mode. ``cols`` maps text column -> width; output has
-    ``<col>_ids`` per column (and ``attention_mask`` for ``with_mask``)."""
-    spark = df.sparkSession
-    v, _ = _checked_broadcast(vocab.select(F.col("piece").alias("tok"), F.col("id").alias("tid")), max_broadcast_rows)
-    names = list(cols)
-    trimmed = df.select(id_col, *[F.slice(word_tokens(c), 1, w - 1).alias(f"_t{i}") for i, (c, w) in enumerate(cols.items())])
-    trimmed = trimmed.repartition(shuffle_partitions(spark), id_col)
-    parts = []
-    for i in range(len(names)):
-        parts.append(trimmed.select(id_col, F.lit(i).alias("side"),
-                                    F.posexplode_outer(f"_t{i}").alias("pos", "tok")))
-    exploded = parts[0]
-    for p in parts[1:]:
-        exploded = exploded.unionByName(p)
-    looked = exploded.join(v, "tok", "left").select(
-        id_col, "side", "pos", F.when(F.col("tok").isNull(), F.lit(None)).otherwise(
-            F.coalesce(F.col("tid"), F.lit(UNK))).alias("tid"))
-    aggs = []
-    for i in range(len(names)):
-        item = F.when((F.col("side") == i) & F.col("tid").isNotNull(), F.struct("pos", "tid"))
-        aggs.append(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["tid"]).alias(f"_i{i}"))
-    grouped = looked.groupBy(id_col).agg(*aggs)
-    out = [F.col(id_col)]
-    for i, (c, w) in enumerate(cols.items()):
-        out.append(pad_ids(F.col(f"_i{i}"), w).alias(f"{c}_ids"))
-        if with_mask == c:
-            out.append(attention_mask(F.size(f"_i{i}"), w).alias("attention_mask"))
-    return grouped.select(*out)
-
-
-def decode_word(df: DataFrame, vocab: DataFrame, ids_col: str, id_col: str = "doc_id",
-                out_col: str = "text", max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Ids -> pieces joined by spaces, special ids skipped. One exchange (of the id
-    arrays, on the document id); the vocabulary side is broadcast when small enough."""
-    spark = df.sparkSession
-    v, _ = _checked_broadcast(vocab.select(F.col("piece").alias("tok"), F.col("id").alias("tid")), max_broadcast_rows)
-    base = df.select(id_col, ids_col).repartition(shuffle_partitions(spark), id_col)
-    ex = base.select(id_col, F.posexplode_outer(ids_col).alias("pos", "tid"))
-    looked = ex.join(v, "tid", "left")
-    item = F.when(F.col("tid") >= FIRST_PIECE_ID, F.struct("pos", "tok"))
-    return looked.groupBy(id_col).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["tok"]), " ").alias(out_col))
-
-
-# ---------------------------------------------------------------------------------------------
-# Subword modes
-
-def _subword_udf(pieces: dict, max_len: int, mode: str, ranks: dict | None):
-    def encode_word_pieces(word: str) -> list[int]:
-        w = WORD_BOUNDARY + word
-        if mode == "unigram":
-            segs = _viterbi(w, pieces_logp, max_len)
-        else:
-            segs = list(w)
-            while len(segs) > 1:
-                best, bi = None, -1
-                for i in range(len(segs) - 1):
-                    r = ranks.get(segs[i] + segs[i + 1])
-                    if r is not None and (best is None or r < best):
-                        best, bi = r, i
-                if bi < 0:
-                    break
-                segs[bi:bi + 2] = [segs[bi] + segs[bi + 1]]
-        return [pieces.get(s, UNK) for s in segs]
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
+
+
+def _word_udf(shared):
+    def run(tokens: pa.Array) -> pa.Array:
+        pieces, ids = shared.value
+        flat = tokens.flatten()
+        at = pc.index_in(flat, value_set=pa.array(pieces, flat.type))
+        found = pc.fill_null(pc.take(pa.array(ids, pa.int32()), at), UNK)
+        return _lists(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(), found)
+
+    return F.arrow_udf(run, ArrayType(IntegerType())).asNondeterministic()
+
+
+def _bpe(word: str, ranks: dict) -> list[str]:
+    pieces = list(word)
+    while len(pieces) > 1:
+        known = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(pieces, pieces[1:])) if a + b in ranks]
+        if not known:
+            break
+        at = min(known)[1]
+        pieces[at:at + 2] = [pieces[at] + pieces[at + 1]]
+    return pieces
+
+
+def _subword_udf(shared, mode: str, max_len: int, width: int):
+    memory: dict[str, list[int]] = {MASK_TOKEN: [MASK]}
 
-    pieces_logp = {p: lp for p, (i, lp) in pieces.items()} if mode == "unigram" else None
-    ids = {p: i for p, (i, _) in pieces.items()}
-    pieces = ids
+    def ids_of(word: str) -> list[int]:
+        ids, scores = shared.value
+        marked = WORD_BOUNDARY + word
+        pieces = _viterbi(marked, scores, max_len) if mode == "unigram" else _bpe(marked, scores)
+        return [ids.get(x, UNK) for x in pieces]
 
-    def run(texts: pa.Array, widths: pa.Array) -> pa.Array:
+    def run(tokens: pa.Array) -> pa.Array:
         out = []
-        for t, width in zip(texts.to_pylist(), widths.to_pylist()):
-            if t is None:
-                out.append(None)
-                continue
-            res: list[int] = []
-            for tok in t.split():
-                if tok == "<mask_1>":
-                    res.append(MASK)
-                else:
-                    res.extend(encode_word_pieces(tok))
-                if len(res) >= width - 1:
+        for words in tokens.to_pylist():
+            ids: list[int] = []
+            for w in words or ():
+                if w not in memory:
+                    if len(memory) >= REMEMBERED:
+                        memory.clear()
+                        memory[MASK_TOKEN] = [MASK]
+                    memory[w] = ids_of(w)
+                ids += memory[w]
+                if len(ids) >= width - 1:
                     break
-            out.append(res[: width - 1])
+            out.append(ids[:width - 1])
         return pa.array(out, pa.list_(pa.int32()))
 
-    return F.arrow_udf(run, ArrayType(IntegerType()))
-
-
-def encode_subword(df: DataFrame, vocab: DataFrame, cols: dict[str, int], mode: str = "unigram",
-                   id_col: str = "doc_id", max_len: int = 16, with_mask: str | None = None,
-                   max_vocab_rows: int = 2_000_000) -> DataFrame:
-    """J3/J5 for unigram / bpe vocabularies (row-local, no shuffle). The vocabulary is
-    collected once (its size is checked) and shipped to the tasks with the UDF."""
-    n = vocab.count()
-    if n > max_vocab_rows:
-        raise ValueError(f"vocabulary of {n} rows exceeds {max_vocab_rows}")
-    rows = vocab.collect()
-    if mode == "unigram":
-        pieces = {r["piece"]: (r["id"], r["logp"]) for r in rows if r["id"] >= FIRST_PIECE_ID}
-        ranks = None
+    return F.arrow_udf(run, ArrayType(IntegerType())).asNondeterministic()
+
+
+def encode(df: DataFrame, vocab: DataFrame, cols: dict[str, int], mode: str = "word", id_col: str = "doc_id",
+           with_mask: str | None = None, max_len: int = 16) -> DataFrame:
+    """``cols`` maps text column -> width; the result has ``id_col``, ``<col>_ids`` per column (and
+    ``attention_mask`` of ``with_mask``), one row per row. ``mode`` names the vocabulary's model (word, unigram,
+    bpe). Null and empty texts are an end of sequence and padding; words or characters that the vocabulary
+    lacks are the unknown id."""
+    rows = vocab.collect()  # vocab_size rows
+    sc = df.sparkSession.sparkContext
+    if mode == "word":
+        shared = sc.broadcast(([r["piece"] for r in rows], [r["id"] for r in rows]))
+        udfs = {w: _word_udf(shared) for w in cols.values()}
+    elif mode in ("unigram", "bpe"):
+        rows = [r for r in rows if r["id"] >= FIRST_PIECE_ID]
+        scores = ({r["piece"]: r["logp"] for r in rows} if mode == "unigram" else
+                  {r["piece"]: r["rank"] for r in rows if r["rank"] is not None and r["rank"] >= 0})
+        shared = sc.broadcast(({r["piece"]: r["id"] for r in rows}, scores))
+        udfs = {w: _subword_udf(shared, mode, max_len, w) for w in cols.values()}
     else:
-        pieces = {r["piece"]: (r["id"], 0.0) for r in rows if r["id"] >= FIRST_PIECE_ID}
-        ranks = {r["piece"]: r["rank"] for r in rows if r["rank"] is not None and r["rank"] >= 0}
-    udf = _subword_udf(pieces, max_len, mode, ranks)
+        raise ValueError(f"unknown model {mode!r}")
+    # a word has one piece at least: width - 1 words fill the width
+    staged = df.select(id_col, *[udfs[w](F.slice(word_tokens(c), 1, w - 1)).alias(f"_i_{c}") for c, w in cols.items()])
     out = [F.col(id_col)]
-    ids = {c: udf(F.col(c), F.lit(w)) for c, w in cols.items()}
-    staged = df.select(id_col, *[ids[c].alias(f"_i_{c}") for c in cols])
     for c, w in cols.items():
         out.append(pad_ids(F.col(f"_i_{c}"), w).alias(f"{c}_ids"))
         if with_mask == c:
@@ -160,10 +118,47 @@ def encode_subword(df: DataFrame, vocab: DataFrame, cols: dict[str, int], mode:
     return staged.select(*out)
 
 
-def prepare_input(df: DataFrame, vocab: DataFrame, max_len: int, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+def encode_word(df: DataFrame, vocab: DataFrame, cols: dict[str, int], id_col: str = "doc_id",
+                with_mask: str | None = None) -> DataFrame:
+    """J3/J5 with a word vocabulary."""
+    return encode(df, vocab, cols, "word", id_col, with_mask)
+
+
+def encode_subword(df: DataFrame, vocab: DataFrame, cols: dict[str, int], mode: str = "unigram",
+                   id_col: str = "doc_id", max_len: int = 16, with_mask: str | None = None) -> DataFrame:
+    """J3/J5 with a unigram or bpe vocabulary."""
+    return encode(df, vocab, cols, mode, id_col, with_mask, max_len)
+
+
+def decode(df: DataFrame, vocab: DataFrame, ids_col: str, mode: str = "word", id_col: str = "doc_id",
+           out_col: str = "text") -> DataFrame:
+    """Ids back to text; special ids are skipped. Words are joined by spaces; subword pieces are joined as
+    they are and their word marks become the spaces between words."""
+    rows = [r for r in vocab.collect() if r["id"] >= FIRST_PIECE_ID]  # vocab_size rows
+    shared = df.sparkSession.sparkContext.broadcast(([r["id"] for r in rows], [r["piece"] for r in rows]))
+
+    def run(ids: pa.Array) -> pa.Array:
+        numbers, pieces = shared.value
+        at = pc.index_in(ids.flatten(), value_set=pa.array(numbers, ids.type.value_type))
+        return _lists(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(), pc.take(pa.array(pieces, pa.string()), at))
+
+    words = F.arrow_udf(run, ArrayType(StringType())).asNondeterministic()(F.col(ids_col))
+    if mode == "word":
+        text = F.array_join(words, " ")  # nulls, the special ids, are left out
+    else:
+        text = F.ltrim(F.replace(F.array_join(words, ""), F.lit(WORD_BOUNDARY), F.lit(" ")))
+    return df.select(id_col, text.alias(out_col))
+
+
+def decode_word(df: DataFrame, vocab: DataFrame, ids_col: str, id_col: str = "doc_id", out_col: str = "text") -> DataFrame:
+    """J6 with a word vocabulary."""
+    return decode(df, vocab, ids_col, "word", id_col, out_col)
+
+
+def prepare_input(df: DataFrame, vocab: DataFrame, max_len: int, id_col: str = "doc_id", text_col: str = "text",
+                  mode: str = "word") -> DataFrame:
     """Module cleaning (news) then encode to ``max_len`` with the attention mask."""
     from ..functions.text import clean_preset
     cleaned = df.select(id_col, clean_preset(F.col(text_col), "module", True).alias("_clean"))
-    out = encode_word(cleaned, vocab, {"_clean": max_len}, id_col=id_col, with_mask="_clean")
+    out = encode(cleaned, vocab, {"_clean": max_len}, mode, id_col, "_clean")
     return out.select(id_col, F.col("_clean_ids").alias("input_ids"), "attention_mask")

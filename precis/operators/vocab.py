@@ -293,3 +293,12 @@ def train_bpe(counts: DataFrame, vocab_size: int = 16_000, merges_per_round: int
     rows += [(a + b, FIRST_PIECE_ID + len(alphabet) + i, i) for i, (a, b) in enumerate(merges)]
     specials = [(p, i, -1) for p, i in SPECIALS]
     return spark.createDataFrame(specials + rows, "piece string, id int, rank int")
+
+
+def train_vocab(corpus: DataFrame, model_type: str = "unigram", vocab_size: int = 16_000, text_col: str = "text",
+                **settings) -> DataFrame:
+    """The vocabulary (piece, id, and logp or rank) of the texts for ``model_type`` word, unigram or bpe."""
+    trainers = {"word": word_vocab, "unigram": train_unigram, "bpe": train_bpe}
+    if model_type not in trainers:
+        raise ValueError(f"unknown model {model_type!r}")
+    return trainers[model_type](word_counts(corpus, text_col), vocab_size, **settings)

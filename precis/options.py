@@ -39,7 +39,6 @@ class Options:
     num_candidates: int = 4
     # physical knobs
     index_buckets: int = 0          # 0 -> spark.sql.shuffle.partitions
-    broadcast_max_rows: int = 2_000_000
     extra: dict = field(default_factory=dict)
 
 

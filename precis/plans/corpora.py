@@ -103,13 +103,13 @@ def prepare_indosum(df: DataFrame, id_col: str = "id", paragraphs_col: str = "pa
 
 def pretrain_records(docs: DataFrame, line_ids_col: str, vocab: DataFrame, lang: str = "id",
                      id_col: str = "doc_id", text_col: str = "text", opts: Options = DEFAULT,
-                     mode: str = "contiguous") -> DataFrame:
-    """Crawl corpus -> L3 pairs -> encoded fixed-width ids -> shard ids (in id
-    order; ``mode`` contiguous or strided). Write with ``sinks.write_shards``."""
-    from ..operators.encode import encode_word
+                     mode: str = "contiguous", model: str = "word") -> DataFrame:
+    """Crawl corpus -> L3 pairs -> encoded fixed-width ids (``model``: the vocabulary's, word, unigram or
+    bpe) -> shard ids (in id order; ``mode`` contiguous or strided). Write with ``sinks.write_shards``."""
+    from ..operators.encode import encode
     from ..operators.order import assign_shards
     pairs = prepare_oscar(docs, line_ids_col, lang, id_col, text_col, opts)
-    enc = encode_word(pairs, vocab, {"input": opts.model_max_length, "labels": opts.max_summary_length},
-                      id_col=id_col, with_mask="input")
+    enc = encode(pairs, vocab, {"input": opts.model_max_length, "labels": opts.max_summary_length}, model,
+                 id_col, "input")
     enc = enc.select(id_col, F.col("input_ids"), "attention_mask", F.col("labels_ids").alias("labels"))
     return assign_shards(enc, id_col, opts.rows_per_shard, mode)

@@ -156,6 +156,17 @@ def encode_unigram(spark, sf):
                     _csv("labels_ids").alias("labels"))
 
 
+@register("decode_unigram",
+          f"SELECT doc_id, array_to_string(regexp_extract_all(t, {_WORDS}), ' ') AS text FROM ({_CORPUS_SQL})")
+def decode_unigram(spark, sf):
+    """J6 on subwords: whole texts (the width is the longest one's) come back as their words joined by spaces."""
+    corpus = _corpus_saved(spark, sf)
+    vocab = V.train_vocab(corpus, "unigram", SUB_VOCAB, seed_size=5000, rounds=3)
+    width = (corpus.agg(F.max(F.length("text"))).first()[0] or 0) * 2 + 2
+    ids = E.encode(corpus, vocab, {"text": width}, "unigram")
+    return E.decode(ids, vocab, "text_ids", "unigram")
+
+
 # --- J7: clean for inference, then encode ----------------------------------------------------------
 
 _NEWS_MODULE = S.chain(f"SELECT doc_id, {S.s_news_raw()} AS t FROM documents", "t", S.preset_steps("module", True))

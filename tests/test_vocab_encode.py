@@ -53,3 +53,22 @@ def test_bpe_invariants(spark):
     assert len(rows) <= 30
     enc = E.encode_subword(c, vocab, {"text": 24}, mode="bpe").collect()
     assert all(len(r.text_ids) == 24 and 3 not in r.text_ids for r in enc)
+
+
+def test_subword_round_trip_and_no_exchange(spark):
+    c = _corpus(spark)
+    for model in ("unigram", "bpe"):
+        vocab = V.train_vocab(c, model, 30)
+        enc = E.encode(c, vocab, {"text": 64}, model, with_mask="text")
+        assert "Exchange" not in enc._jdf.queryExecution().executedPlan().toString()
+        back = {r.doc_id: r.text for r in E.decode(enc, vocab, "text_ids", model).collect()}
+        assert back == {r.doc_id: r.text for r in c.collect()}, model
+
+
+def test_encoding_of_odd_rows(spark):
+    c = _corpus(spark)
+    vocab = V.train_vocab(c, "word", 12)
+    odd = spark.createDataFrame([("a", None), ("a", ""), (None, "the zebra")], "doc_id string, t string")
+    got = E.encode(odd, vocab, {"t": 4}, with_mask="t").collect()
+    assert sorted((r.doc_id or "", r.attention_mask) for r in got) == [("", [1, 1, 1, 0]), ("a", [1, 0, 0, 0]), ("a", [1, 0, 0, 0])]
+    assert E.encode(odd.limit(0), vocab, {"t": 4}).collect() == []
