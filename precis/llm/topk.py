@@ -27,8 +27,8 @@ TOGETHER = 16  # query blocks that meet a data block in one task
 
 
 def integers(df: DataFrame, id_col: str, vector_col: str, scale: int, k: int) -> DataFrame:
-    """(_key, _ids): floor(scale * x) of each distinct valid vector, as little-endian int64, with its k + 1 smallest ids
-    of this batch."""
+    """(_key, _ids): floor(scale * x) of each distinct valid vector, as little-endian int64, with its k + 1 smallest
+    distinct ids of this batch."""
     schema = T.StructType([T.StructField("_key", T.BinaryType()), T.StructField("_ids", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -41,7 +41,7 @@ def integers(df: DataFrame, id_col: str, vector_col: str, scale: int, k: int) ->
                 if np.isfinite(x).all():
                     rows.setdefault(np.floor(scale * x).astype("<i8").tobytes(), []).append(i)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(rows), pa.binary()), pa.array([sorted(v)[:k + 1] for v in rows.values()],
+                [pa.array(list(rows), pa.binary()), pa.array([sorted(set(v))[:k + 1] for v in rows.values()],
                                                              pa.list_(pa.int64()))], names=schema.names)
 
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), vector_col).mapInArrow(run, schema)

@@ -362,6 +362,13 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_with_rows_that_repeat_an_id(spark):
+    rows = [(1, [1.0, 2.0])] * 6 + [(2, [1.0, 2.0]), (3, [1.0, 2.0])] + [(i, [0.5, 0.5]) for i in (50, 50, 60, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = rows_of(topk.top_k(df, F.col("vec_id") == 50))
+    assert sorted(got) == [(50, 1, 1, 98304), (50, 2, 2, 98304), (50, 3, 3, 98304), (50, 4, 60, 32768)]
+
+
 def test_cover_tree_covers():
     x = np.concatenate((np.random.default_rng(1).normal(size=(400, 3)), np.zeros((30, 3))))
     tree = topk.Tree(x, [[i] for i in range(len(x))])
