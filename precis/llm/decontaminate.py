@@ -1,7 +1,9 @@
 """Benchmark decontamination with spaced seeds, in DataFrame functions only.
 
-A mask reads some words of a window and ignores the others, so a substituted word at an ignored place leaves the
-window's hash as it is. The hashes of all windows of all items and all documents under every mask are joined; around each
+A seed reads some words of a window and ignores the others, so a substituted word at an ignored place leaves the
+window's hash as it is. SEEDS lose nothing: wherever words are substituted, a stretch of LEAST matches net of substitutions
+holds a whole window with one of them (``tests/llm`` walks through all patterns), so no overlap goes without a hit. The
+hashes of all windows of all items and all documents under every seed are joined; around each
 hit the item and the document are laid side by side and scored word by word (a match adds one, a substitution takes one
 away); the best stretch counts as the overlap. Whole texts are read, and nothing is shuffled but the verified hits.
 
@@ -17,7 +19,9 @@ from pyspark.sql import functions as F
 from .common import settle
 
 SPAN = 10
-MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 5, 6, 8, 9))  # words read of a window of SPAN
+MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 5, 6, 8, 9))  # words that the SQL reads of a window of SPAN
+# words read here: the first two are parts of MASKS, so hits of MASKS are among the hits
+SEEDS = ((0, 1, 3, 7), (0, 5, 6, 9), (0, 2, 7, 9), (0, 1, 3, 6), (0, 3, 4, 5))
 AROUND = 32  # words laid side by side on each side of a hit
 LEAST = 10  # matches less substitutions that make an overlap
 BLOCK = 500_000  # item seeds broadcast at once
@@ -34,18 +38,18 @@ def _hashes(text: Column) -> Column:
 
 
 def _seeds(hashes: str) -> Column:
-    """Hashes of every window under every mask, mask by mask."""
+    """Hashes of every window under every seed, seed by seed."""
     last = F.size(hashes) - SPAN
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
-    def under(k: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(at, lambda i: F.xxhash64(F.lit(k), *[F.get(hashes, i + o) for o in mask]))
+    def under(k: int, seed: tuple[int, ...]) -> Column:
+        return F.transform(at, lambda i: F.xxhash64(F.lit(k), *[F.get(hashes, i + o) for o in seed]))
 
-    return F.concat(*[under(k, mask) for k, mask in enumerate(MASKS)])
+    return F.concat(*[under(k, seed) for k, seed in enumerate(SEEDS)])
 
 
 def _windows(df: DataFrame, keep: list[str], at: str) -> DataFrame:
-    """One row per window and mask: ``keep``, _h, ``at`` (first word) and seed."""
+    """One row per window and seed: ``keep``, _h, ``at`` (first word) and seed."""
     rows = df.select(*keep, "_h", F.posexplode(_seeds("_h")).alias("_pos", "seed"))
     return rows.withColumn(at, F.pmod(F.col("_pos"), F.size("_h") - SPAN + 1)).drop("_pos")
 
@@ -70,12 +74,12 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     overlap (then the smallest id) and how many items overlap. _digest is a hash of the text, so that rows that
     repeat an id are told apart.
 
-    An overlap is LEAST matches net of substitutions in a row of word pairs. Items and texts under SPAN words have no
-    windows and never match; null texts are empty; repeated items and rows count once; empty tables give no rows."""
+    An overlap is LEAST matches net of substitutions in a row of word pairs, of which AROUND on each side of a hit are
+    looked at. Items and texts under SPAN words have no windows and never match, nor could they reach LEAST; null texts are empty; repeated items and rows count once; empty tables give no rows."""
     item_rows = settle(items.select(F.col(item_col).alias("item_id"), _hashes(F.col(item_text)).alias("_h"))
                        .where(F.size("_h") >= SPAN).distinct()
                        .withColumn("_n", F.xxhash64("item_id", "_h")))
-    n_seeds = item_rows.agg(F.sum((F.size("_h") - SPAN + 1) * len(MASKS))).first()[0] or 0
+    n_seeds = item_rows.agg(F.sum((F.size("_h") - SPAN + 1) * len(SEEDS))).first()[0] or 0
     blocks = max(1, -(-2 * n_seeds // BLOCK))  # hashing may fill a block unevenly
     doc_rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"),
                            _hashes(F.col(text_col)).alias("_h"))

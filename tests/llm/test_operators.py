@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from precis.llm import chat, lm, packing, sharding, simhash, suffix, topk, toxicity
+from precis.llm import chat, decontaminate, lm, packing, sharding, simhash, suffix, topk, toxicity
 from precis.llm.components import components
 from precis.llm.decontaminate import contamination, drop_contaminated
 
@@ -344,6 +344,49 @@ def test_decontamination_tolerates_substitutions(spark, nothing):
     assert not any(r.contaminated for r in contamination(df, items_df.limit(0)).collect())
 
 
+def test_seeds_miss_no_pattern_of_substitutions():
+    """All matches and substitutions, word by word: the last SPAN pairs and the score so far are all that counts."""
+    span = decontaminate.SPAN
+    seeds = [sum(1 << (span - 1 - o) for o in s) for s in decontaminate.SEEDS]
+    seen, todo = {(0, 0)}, [(0, 0)]
+    while todo:
+        window, score = todo.pop()
+        for match in (0, 1):
+            state = (window << 1 | match) & ((1 << span) - 1), score + (1 if match else -1)
+            if state[1] > 0 and state not in seen and not any(state[0] & s == s for s in seeds):
+                assert state[1] < decontaminate.LEAST
+                seen.add(state)
+                todo.append(state)
+    assert all(any(set(s) <= set(m) for s in decontaminate.SEEDS) for m in decontaminate.MASKS)
+
+
+def test_decontamination_against_scores_alone(spark):
+    rng = random.Random(12)
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (20, 30, 42)]
+    rows = []
+    for item in items:
+        for phase in range(5):  # every fifth word
+            rows.append([f"x{i}" if i % 5 == phase else w for i, w in enumerate(item)])
+        for _ in range(60):
+            rate = rng.choice((0.2, 0.3, 0.4))
+            rows.append([f"x{i}" if rng.random() < rate else w for i, w in enumerate(item)])
+    want = {}
+    for i, text in enumerate(rows):
+        for k, item in enumerate(items):
+            best = 0
+            for shift in range(-len(item), len(text)):  # every way to lay one beside the other
+                now = 0
+                for j, w in enumerate(item):
+                    now = max(0, now + (1 if 0 <= j + shift < len(text) and text[j + shift] == w else -1))
+                    best = max(best, now)
+            if best >= decontaminate.LEAST:
+                want[i] = (k, best)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.overlap) for r in contamination(docs, df).collect() if r.contaminated}
+    assert got == want and 100 < len(want) < len(rows)
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(300, 8))
