@@ -4,7 +4,9 @@ Spark brings together what may repeat. Every window of ``length`` bytes has an a
 (the leftmost of equals), which depends on the window's bytes alone, so equal windows have equal anchors at equal
 places. Consecutive windows of one anchor are a run; its region is the bytes they cover. Runs whose anchor occurs
 once hold nothing repeated. Equal regions of an anchor are one class, with a count; classes of anchors that have several
-are dealt out by anchor, and each task builds the suffix array of its share.
+are dealt out by anchor, and each task builds the suffix array of its share. An anchor with more than SHARE bytes of
+classes (a short notice between ever other text) is dealt on by its windows instead: by the bytes that STEP windows
+next to each other have in common, and where those are found twice, by whole windows.
 
 The suffix array is sorted in two stages: only suffixes smaller than their successors are sorted directly (to
 ``length`` bytes, by groups of 8 bytes, skipping what a whole group shares), the rest are induced by one scan over the
@@ -14,6 +16,7 @@ task, so a very long text or a large group of copies is spread like anything els
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,7 @@ from .common import ragged, settle, texts
 ANCHOR = 160
 _SLICE = 8 << 20  # bytes of text looked at once; positions take 24 bits
 SHARE = 2 << 20  # bytes of regions for one suffix array
+STEP = 16  # windows of a region that are first dealt together
 _GAP = b"\xff"  # between regions; never part of UTF-8
 
 
@@ -291,6 +295,69 @@ def _cut_regions(joined: DataFrame, length: int, shares: int) -> DataFrame:
     return joined.select("_z", "parts").mapInArrow(run, schema)
 
 
+def _steps(length: int, gram: int) -> list[tuple[int, int]]:
+    """First and last place of the anchor in the windows dealt together, 60 steps at most."""
+    width = length - gram
+    step = max(STEP, -(-(width + 1) // 60))
+    return [(a, min(a + step - 1, width)) for a in range(0, width + 1, step)]
+
+
+def _deal_windows(joined: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
+    """(_z, parts) -> (anchor, region, at, hash): for each step of a region a hash of what its windows have in common (at:
+    the step); ``whole``: for each window of the steps of ``parts.steps`` its own (at: its start in the region)."""
+    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("region", T.LongType()),
+                           T.StructField("at", T.IntegerType()), T.StructField("hash", T.BinaryType())])
+    steps = _steps(length, gram)
+
+    def table_of(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+            names=schema.names)
+
+    def run(batches):
+        for b in batches:
+            for z, parts in zip(b.column(0), b.column(1)):
+                t, rows = _unpacked(z.as_py()), []
+                for part in (p.as_py() for p in parts.values):
+                    r = t[part["first"]:part["last"] + length]
+                    at = int(_anchors(np.frombuffer(r[:length], np.uint8), length, gram)[1][0])  # of all its windows
+                    last = part["last"] - part["first"]
+                    for k, (a, e) in enumerate(steps):
+                        low, high = max(0, at - e), min(last, at - a)  # starts of the windows of the step
+                        if low > high or not part["steps"] >> k & 1:
+                            continue
+                        cuts = [(i, r[i:i + length]) for i in range(low, high + 1)] if whole else [
+                            (k, k.to_bytes(1, "little") + r[at - a:at - e + length])]
+                        rows += [(part["anchor"], part["region"], i, xxhash.xxh3_128_digest(c)) for i, c in cuts]
+                    if len(rows) > 1 << 16:
+                        yield table_of(rows)
+                        rows = []
+                if rows:
+                    yield table_of(rows)
+
+    dealt = settle(joined.select("_z", "parts").mapInArrow(run, schema).distinct())  # copies in several tasks
+    often = dealt.groupBy(F.col("hash").alias("_h")).agg(F.count("*").alias("n")).where("n > 1").select("_h")
+    return dealt.join(often, F.col("hash") == F.col("_h")).drop("_h")
+
+
+def _found_by_windows(packed: DataFrame, parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Spans as in ``repeated_spans``'s ``found`` for the classes of ``parts`` (key, part), in tasks of any size."""
+    def joined(rows, steps):
+        by_key = rows.groupBy("key").agg(F.collect_list(F.struct("part.*", steps.alias("steps"))).alias("parts"))
+        return packed.join(by_key, F.col("_key") == F.col("key"))
+
+    steps = _deal_windows(joined(parts, F.lit(-1).cast("bigint")), length, gram, whole=False)
+    steps = steps.groupBy(F.col("anchor").alias("_a"), F.col("region").alias("_r")).agg(
+        F.expr("bit_or(shiftleft(1L, at))").alias("_steps"))
+    left = settle(parts.join(steps, (F.col("part.anchor") == F.col("_a")) & (F.col("part.region") == F.col("_r")))
+                  .select("key", "part", "_steps"))
+    windows = _deal_windows(joined(left, F.col("_steps")), length, gram, whole=True)
+    # windows of a region hold its anchor, so repeated ones leave no gap between them
+    return windows.groupBy("anchor", "region").agg(
+        F.array(F.min("at").cast("bigint")).alias("starts"),
+        F.array(F.max("at").cast("bigint") + length).alias("ends"))
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, gram: int = ANCHOR) -> DataFrame:
     """``docs`` (_key binary: the same for equal texts only, _text) -> (key, starts, ends): for each text with any, the
     maximal byte spans covered by strings of ``length`` bytes that start at another place, too, in any row."""
@@ -300,32 +367,41 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = ANCHOR) -> Da
     every = settle(every.join(often, F.col("anchor") == F.col("_a")).drop("_a"))
     classes = settle(every.groupBy("anchor", "region").agg(
         F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("at")))
-    several = classes.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("n_classes")).where("n_classes > 1")
-    mixed = classes.join(several, F.col("anchor") == F.col("_a")).select(
-        F.col("at.key").alias("key"), F.struct("anchor", "region", "at.first", "at.last").alias("part"))
-    parts = settle(mixed.groupBy("key").agg(F.collect_list("part").alias("parts")))  # at most one for each text byte
-    total = parts.agg(F.sum(F.expr(f"aggregate(parts, 0L, (s, x) -> s + x.last - x.first + {length})"))).first()[0]
+    several = classes.groupBy(F.col("anchor").alias("_a")).agg(
+        F.count("*").alias("n_classes"), F.sum(F.col("at.last") - F.col("at.first") + length).alias("size")
+    ).where("n_classes > 1").select("_a", "size")
+    mixed = settle(classes.join(several, F.col("anchor") == F.col("_a")).select(
+        F.col("at.key").alias("key"), F.struct("anchor", "region", "at.first", "at.last").alias("part"), "size"))
+    total, most = mixed.agg(F.sum(F.when(F.col("size") <= SHARE, F.col("part.last") - F.col("part.first") + length)),
+                            F.max("size")).first()
+    packed = _packed_texts(docs.select("_key", "_text"), once=True)
     found = empty
     if total:
         shares = -(-total // SHARE)
-        packed = _packed_texts(docs.select("_key", "_text"), once=True)
+        parts = mixed.where(F.col("size") <= SHARE).groupBy("key").agg(
+            F.collect_list("part").alias("parts"))  # at most one for each text byte
         cut = _cut_regions(packed.join(parts, F.col("_key") == F.col("key")), length, shares)
 
-        def search(group: pa.Table) -> pa.Table:
-            rows = {}  # copies in other tasks brought a class more than once
-            for a, r, t in zip(group["anchor"].to_pylist(), group["region"].to_pylist(), group["bytes"].to_pylist()):
-                rows[a, r] = t
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = {}  # copies in other tasks bring a class more than once
+            for b in batches:
+                for a, r, t in zip(b["anchor"].to_pylist(), b["region"].to_pylist(), b["bytes"]):
+                    if (a, r) not in rows:
+                        rows[a, r] = t.as_py()
             out = []
             for (a, r), w in zip(rows, repeated_windows(list(rows.values()), length)):
                 if len(w):
                     s, e = _merged(w, w + length)
                     out.append((a, r, s.tolist(), e.tolist()))
-            return pa.Table.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out) if out else ([],) * 4,
                                                 (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
                 names=_SPANS.names)
 
         found = cut.groupBy("share").applyInArrow(search, _SPANS)
+    if most and most > SHARE:
+        found = found.unionAll(_found_by_windows(packed, mixed.where(F.col("size") > SHARE).select("key", "part"),
+                                                 length, gram))
     single = classes.where("n = 1").select(F.col("anchor").alias("_a"), F.col("region").alias("_r"))
     found = found.join(single, (F.col("anchor") == F.col("_a")) & (F.col("region") == F.col("_r"))).select(*_SPANS.names)
     copies = classes.where("n > 1").select(  # equal regions: repeated from end to end

@@ -252,6 +252,35 @@ def test_anchors_of_long_texts(spark, monkeypatch):
     assert got == {i: int(c.sum()) for (i, _), c in zip(rows, brute_spans(data, 400))}
 
 
+def test_repeats_of_one_anchor_in_bounded_groups(spark, docs, monkeypatch):
+    """A notice shorter than a window, each time between other text, some of that twice; also all fixtures."""
+    rng = random.Random(10)
+    rows, data = [], rows_of(docs.select("text"))
+    for size in (200, 399):
+        notice = prose(rng, 200)[:size]
+        for i in range(60):
+            before, after = prose(rng, 120)[-300:], prose(rng, 120)[:300]
+            rows.append(before + notice + after)
+            if i % 10 == 0:  # the notice with some more bytes, on one side or both
+                rows.append(prose(rng, 50) + before[-90:] + notice + after[:150] + prose(rng, 50))
+                rows.append(prose(rng, 50) + before[-(400 - size):] + notice + prose(rng, 50))
+    rows += [t for t, in data] + rows[:3]
+    whole = suffix.repeated_windows
+
+    def bounded(regions, length):
+        assert sum(map(len, regions)) < 40000
+        return whole(regions, length)
+
+    monkeypatch.setattr(suffix, "SHARE", 4000)
+    monkeypatch.setattr(suffix, "repeated_windows", bounded)
+    raw = [(t or "").encode() for t in rows]
+    want = [(i, int(c.sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~c])).hexdigest())
+            for i, (t, c) in enumerate(zip(raw, brute_spans(raw, 400)))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = suffix.removal_report(df).select("doc_id", "n_removed", "kept_sha256")
+    assert sorted(rows_of(got)) == want
+
+
 # ---- Katz backoff -------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("chunk", [2000, 1 << 24])
