@@ -5,10 +5,12 @@ are kept, packed into 8 longs, and bands of whole minima (six at 0.8) give the c
 similarity of a candidate by counting equal two-bit lanes, corrected for the lanes that are equal by chance; what may
 reach the threshold (six standard deviations below it at least) is confirmed on the full sets.
 
-Work stays far below all pairs of a band's documents. Equal sets collapse to one node first. Each band bucket then
+Candidates stay far below all pairs of a band's documents. Equal sets collapse to one node first. Each band bucket then
 offers only the pairs of its hub (the member with most band mates) with the others. After their links are followed, a
-bucket whose members are all connected has nothing to add; in the others the pairs that are not yet connected are
-compared by signature inside the join, and only those that pass come out. So no link between unconnected texts is lost."""
+hub whose mates are all connected has nothing to add. The mates of the others carry their exact difference from the
+hub's set, from which the similarity of two mates follows without their whole sets; those that are not connected yet
+are compared inside the join, by signature, then by differences, and only links come out. So no link between
+unconnected texts is lost, and no list of pairs is made."""
 
 from __future__ import annotations
 
@@ -159,17 +161,16 @@ def _may_link(percent: int, n1: Column, sig1: Column, n2: Column, sig2: Column)
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (estimate(sig1, sig2) >= _cut(percent))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold. Only the texts of nodes in pairs are read into sets."""
-    wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
+def _node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the nodes ``wanted``: only their texts are read into sets again."""
     of = nodes.join(wanted, "node").select("node", F.col("low._id").alias("_i"), F.col("low._digest").alias("_d"))
     found = docs.join(of, docs["_id"].eqNullSafe(of["_i"]) & (docs["_digest"] == of["_d"])).select("node", "_text")
-    sets = settle(_sets(found.dropDuplicates(["node"]), shingle))
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return (pairs.join(left, "u").join(right, "v")
-            .where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v"))
+    return settle(_sets(found.dropDuplicates(["node"]), shingle))
+
+
+def _reaches(percent: int, nu: Column, nv: Column, differ: Column) -> Column:
+    """Whether sets of these sizes that differ in so many elements reach the threshold."""
+    return 100 * (nu + nv - differ) >= percent * (nu + nv + differ)
 
 
 def _links(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -180,26 +181,33 @@ def _links(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     mates = rows.groupBy("node").agg(F.sum("size").alias("mates"))
     rows = rows.select("key", "node").join(mates, "node")
     hubs = rows.groupBy("key").agg(F.max(F.struct("mates", "node")).alias("hub"))
-    rows = settle(rows.join(hubs, "key").select("key", "node", F.col("hub.node").alias("hub")))
+    rows = settle(rows.join(hubs, "key").select(F.col("hub.node").alias("hub"), "node").where("node <> hub").distinct())
 
-    left = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su"))
-    right = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv"))
+    left = nodes.select(F.col("node").alias("hub"), F.col("n").alias("nu"), F.col("sig").alias("su"))
+    right = nodes.select("node", F.col("n").alias("nv"), F.col("sig").alias("sv"))
     near = _may_link(percent, F.col("nu"), F.col("su"), F.col("nv"), F.col("sv"))
-    stars = rows.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    stars = settle(stars.join(left, "u").join(right, "v").where(near).select("u", "v"))
-    first = settle(_confirmed(stars, nodes, docs, shingle, percent))
-
-    roots = components(first)
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
-    rows = settle(rows.join(mixed, "key").join(nodes.select("node", "n", "sig"), "node"))
-    a = rows.select("key", "hub", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"),
-                    F.col("sig").alias("su"))
-    b = rows.select(F.col("key").alias("key_b"), F.col("node").alias("v"), F.col("root").alias("rv"),
-                    F.col("n").alias("nv"), F.col("sig").alias("sv"))
-    rest = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv"))
-                  & (F.col("u") != F.col("hub")) & (F.col("v") != F.col("hub")) & near).select("u", "v").distinct()
-    return first.unionAll(_confirmed(settle(rest), nodes, docs, shingle, percent))
+    stars = settle(rows.join(left, "hub").join(right, "node").where(near).select("hub", "node", "nu", "nv"))
+    sets = _node_sets(stars.select("node").unionAll(stars.select("hub")).distinct(), nodes, docs, shingle)
+    of_hub = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h"))
+    both = F.size(F.array_intersect("h", "shingles"))
+    first = settle(stars.join(of_hub, "hub").join(sets, "node")
+                   .where(_reaches(percent, F.col("nu"), F.col("nv"), F.col("nu") + F.col("nv") - 2 * both))
+                   .select(F.col("hub").alias("u"), F.col("node").alias("v")))
+
+    rows = rows.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("hub").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("hub")
+    rows = settle(rows.join(mixed, "hub").select("hub", "node", "root"))
+    sets = _node_sets(rows.select("node").unionAll(rows.select("hub")).distinct(), nodes, docs, shingle)
+    of_hub = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h"))
+    differs = F.concat(F.array_except("h", "shingles"), F.array_except("shingles", "h"))
+    rows = settle(rows.join(of_hub, "hub").join(sets, "node").select("hub", "node", "root", differs.alias("d"))
+                  .join(nodes.select("node", "n", "sig"), "node"))
+    a, b = (rows.select(*[F.col(c).alias(c + side) for c in rows.columns]) for side in "uv")
+    sym = F.size("du") + F.size("dv") - 2 * F.size(F.array_intersect("du", "dv"))
+    rest = a.join(b, (F.col("hubu") == F.col("hubv")) & (F.col("nodeu") < F.col("nodev")) & (F.col("rootu") != F.col("rootv"))
+                  & _may_link(percent, F.col("nu"), F.col("sigu"), F.col("nv"), F.col("sigv"))
+                  & _reaches(percent, F.col("nu"), F.col("nv"), sym))
+    return settle(first.unionAll(rest.select(F.col("nodeu").alias("u"), F.col("nodev").alias("v")).distinct()))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
