@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions.text import MASK_TOKEN
-from .vocab import EOS, FIRST_PIECE_ID, MASK, PAD, UNK, WORD_BOUNDARY, _viterbi, word_tokens
+from .subword import bpe, micro, segment, trie
+from .vocab import EOS, FIRST_PIECE_ID, MASK, PAD, UNK, WORD_BOUNDARY, word_tokens
 
 REMEMBERED = 200_000  # segmented words a task keeps; then it starts anew
 
@@ -40,35 +41,32 @@ def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
 
 
 def _word_udf(shared):
+    table: list = []  # the vocabulary as Arrow arrays, made once in a worker
+
     def run(tokens: pa.Array) -> pa.Array:
-        pieces, ids = shared.value
         flat = tokens.flatten()
-        at = pc.index_in(flat, value_set=pa.array(pieces, flat.type))
-        found = pc.fill_null(pc.take(pa.array(ids, pa.int32()), at), UNK)
+        if not table:
+            pieces, ids = shared.value
+            table.extend((pa.array(pieces, flat.type), pa.array(ids, pa.int32())))
+        at = pc.index_in(flat, value_set=table[0])
+        found = pc.fill_null(pc.take(table[1], at), UNK)
         return _lists(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(), found)
 
     return F.arrow_udf(run, ArrayType(IntegerType())).asNondeterministic()
 
 
-def _bpe(word: str, ranks: dict) -> list[str]:
-    pieces = list(word)
-    while len(pieces) > 1:
-        known = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(pieces, pieces[1:])) if a + b in ranks]
-        if not known:
-            break
-        at = min(known)[1]
-        pieces[at:at + 2] = [pieces[at] + pieces[at + 1]]
-    return pieces
-
-
-def _subword_udf(shared, mode: str, max_len: int, width: int):
-    memory: dict[str, list[int]] = {MASK_TOKEN: [MASK]}
+def _subword_udf(shared, mode: str, width: int | None):
+    memory: dict[str, list[int]] = {}
+    model: list = []  # ids by piece, and the trie or the merge ranks, made once in a worker
 
     def ids_of(word: str) -> list[int]:
-        ids, scores = shared.value
-        marked = WORD_BOUNDARY + word
-        pieces = _viterbi(marked, scores, max_len) if mode == "unigram" else _bpe(marked, scores)
-        return [ids.get(x, UNK) for x in pieces]
+        if word == MASK_TOKEN:
+            return [MASK]
+        if not model:
+            ids, scores = shared.value
+            model.extend((ids, trie(scores.items()) if mode == "unigram" else scores))
+        pieces = (segment if mode == "unigram" else bpe)(WORD_BOUNDARY + word, model[1])
+        return [model[0].get(x, UNK) for x in pieces]
 
     def run(tokens: pa.Array) -> pa.Array:
         out = []
@@ -78,23 +76,22 @@ def _subword_udf(shared, mode: str, max_len: int, width: int):
                 if w not in memory:
                     if len(memory) >= REMEMBERED:
                         memory.clear()
-                        memory[MASK_TOKEN] = [MASK]
                     memory[w] = ids_of(w)
                 ids += memory[w]
-                if len(ids) >= width - 1:
+                if width and len(ids) >= width - 1:
                     break
-            out.append(ids[:width - 1])
+            out.append(ids[:width - 1] if width else ids)
         return pa.array(out, pa.list_(pa.int32()))
 
     return F.arrow_udf(run, ArrayType(IntegerType())).asNondeterministic()
 
 
-def encode(df: DataFrame, vocab: DataFrame, cols: dict[str, int], mode: str = "word", id_col: str = "doc_id",
-           with_mask: str | None = None, max_len: int = 16) -> DataFrame:
+def encode(df: DataFrame, vocab: DataFrame, cols: dict[str, int | None], mode: str = "word", id_col: str = "doc_id",
+           with_mask: str | None = None) -> DataFrame:
     """``cols`` maps text column -> width; the result has ``id_col``, ``<col>_ids`` per column (and
-    ``attention_mask`` of ``with_mask``), one row per row. ``mode`` names the vocabulary's model (word, unigram,
-    bpe). Null and empty texts are an end of sequence and padding; words or characters that the vocabulary
-    lacks are the unknown id."""
+    ``attention_mask`` of ``with_mask``), one row per row. A width of None encodes whole texts without padding.
+    ``mode`` names the vocabulary's model (word, unigram, bpe). Null and empty texts are an end of sequence and
+    padding; words or characters that the vocabulary lacks are the unknown id."""
     rows = vocab.collect()  # vocab_size rows
     sc = df.sparkSession.sparkContext
     if mode == "word":
@@ -102,19 +99,22 @@ def encode(df: DataFrame, vocab: DataFrame, cols: dict[str, int], mode: str = "w
         udfs = {w: _word_udf(shared) for w in cols.values()}
     elif mode in ("unigram", "bpe"):
         rows = [r for r in rows if r["id"] >= FIRST_PIECE_ID]
-        scores = ({r["piece"]: r["logp"] for r in rows} if mode == "unigram" else
-                  {r["piece"]: r["rank"] for r in rows if r["rank"] is not None and r["rank"] >= 0})
-        shared = sc.broadcast(({r["piece"]: r["id"] for r in rows}, scores))
-        udfs = {w: _subword_udf(shared, mode, max_len, w) for w in cols.values()}
+        scores = ({r["piece"]: micro(r["logp"]) for r in rows} if mode == "unigram" else
+                  {(r["left"], r["right"]): r["rank"] for r in rows if r["rank"] >= 0})
+        ids = {r["piece"]: r["id"] for r in sorted(rows, key=lambda r: -r["id"])}  # of equal pieces the smallest id
+        shared = sc.broadcast((ids, scores))
+        udfs = {w: _subword_udf(shared, mode, w) for w in cols.values()}
     else:
         raise ValueError(f"unknown model {mode!r}")
     # a word has one piece at least: width - 1 words fill the width
-    staged = df.select(id_col, *[udfs[w](F.slice(word_tokens(c), 1, w - 1)).alias(f"_i_{c}") for c, w in cols.items()])
+    words = {c: word_tokens(c) if w is None else F.slice(word_tokens(c), 1, w - 1) for c, w in cols.items()}
+    staged = df.select(id_col, *[udfs[w](words[c]).alias(f"_i_{c}") for c, w in cols.items()])
     out = [F.col(id_col)]
     for c, w in cols.items():
-        out.append(pad_ids(F.col(f"_i_{c}"), w).alias(f"{c}_ids"))
+        out.append((pad_ids(F.col(f"_i_{c}"), w) if w else F.concat(f"_i_{c}", F.array(F.lit(EOS)))).alias(f"{c}_ids"))
         if with_mask == c:
-            out.append(attention_mask(F.size(f"_i_{c}"), w).alias("attention_mask"))
+            n = F.size(f"_i_{c}")
+            out.append((attention_mask(n, w) if w else F.array_repeat(F.lit(1), n + 1)).alias("attention_mask"))
     return staged.select(*out)
 
 
@@ -124,10 +124,10 @@ def encode_word(df: DataFrame, vocab: DataFrame, cols: dict[str, int], id_col: s
     return encode(df, vocab, cols, "word", id_col, with_mask)
 
 
-def encode_subword(df: DataFrame, vocab: DataFrame, cols: dict[str, int], mode: str = "unigram",
-                   id_col: str = "doc_id", max_len: int = 16, with_mask: str | None = None) -> DataFrame:
+def encode_subword(df: DataFrame, vocab: DataFrame, cols: dict[str, int | None], mode: str = "unigram",
+                   id_col: str = "doc_id", with_mask: str | None = None) -> DataFrame:
     """J3/J5 with a unigram or bpe vocabulary."""
-    return encode(df, vocab, cols, mode, id_col, with_mask, max_len)
+    return encode(df, vocab, cols, mode, id_col, with_mask)
 
 
 def decode(df: DataFrame, vocab: DataFrame, ids_col: str, mode: str = "word", id_col: str = "doc_id",

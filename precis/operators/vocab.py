@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EOS_TOKEN, MASK_TOKEN, PY_WS, split_sentences
 from ..operators import order as O
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_partitions
+from .subword import expected_counts, micro, segment, trie, viterbi
 
 # Special tokens and their ids.
 PAD, EOS, MASK, UNK = 0, 1, 2, 3
@@ -109,137 +110,138 @@ def pair_counts(counts: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------
-# Subword models (J1 c/d): state lives in the distinct-word table, one Spark job per round,
-# lineage cut each round with a reliable checkpoint.
-
-def _viterbi(word: str, logp: dict, max_len: int) -> list[str]:
-    n = len(word)
-    best = [0.0] + [-math.inf] * n
-    back = [0] * (n + 1)
-    for i in range(1, n + 1):
-        for l in range(1, min(max_len, i) + 1):
-            p = logp.get(word[i - l:i])
-            if p is not None and best[i - l] + p > best[i]:
-                best[i] = best[i - l] + p
-                back[i] = i - l
-        if best[i] == -math.inf:               # unknown character: a piece of its own
-            best[i] = best[i - 1] - 1e6
-            back[i] = i - 1
-    out, i = [], n
-    while i > 0:
-        out.append(word[back[i]:i])
-        i = back[i]
-    return out[::-1]
-
-
-def _expected_counts(word: str, logp: dict, max_len: int) -> dict:
-    """Forward-backward over the segmentation lattice of one word: expected piece counts."""
-    n = len(word)
-    alpha = [-math.inf] * (n + 1)
-    alpha[0] = 0.0
-
-    def lse(a, b):
-        if a == -math.inf:
-            return b
-        if b == -math.inf:
-            return a
-        m = max(a, b)
-        return m + math.log(math.exp(a - m) + math.exp(b - m))
-
-    for i in range(1, n + 1):
-        for l in range(1, min(max_len, i) + 1):
-            p = logp.get(word[i - l:i])
-            if p is not None:
-                alpha[i] = lse(alpha[i], alpha[i - l] + p)
-    beta = [-math.inf] * (n + 1)
-    beta[n] = 0.0
-    for i in range(n - 1, -1, -1):
-        for l in range(1, min(max_len, n - i) + 1):
-            p = logp.get(word[i:i + l])
-            if p is not None:
-                beta[i] = lse(beta[i], beta[i + l] + p)
-    z = alpha[n]
-    out: dict = {}
-    if z == -math.inf:
-        return out
-    for i in range(n):
-        for l in range(1, min(max_len, n - i) + 1):
-            piece = word[i:i + l]
-            p = logp.get(piece)
-            if p is not None and alpha[i] > -math.inf and beta[i + l] > -math.inf:
-                out[piece] = out.get(piece, 0.0) + math.exp(alpha[i] + p + beta[i + l] - z)
+# Subword models (J1 c/d): state lives in the distinct-word table and the piece table; each round is a
+# Spark job, its result cut from its lineage with a reliable checkpoint.
+
+def marked_words(counts: DataFrame) -> DataFrame:
+    """(word, freq) with the word boundary marker in front of each word."""
+    return counts.select(F.concat(F.lit(WORD_BOUNDARY), F.col("word")).alias("word"), "freq")
+
+
+def initial_pieces(counts: DataFrame, seed_size: int, max_len: int = 8) -> DataFrame:
+    """(piece, freq): every character, and the ``seed_size`` most frequent longer substrings (ties by piece)."""
+    chars = (marked_words(counts).select(F.explode(F.split("word", CHARS_RE, -1)).alias("piece"), "freq")
+             .groupBy("piece").agg(F.sum("freq").alias("freq")))
+    seeds = seed_pieces(counts, max_len=max_len).where(F.length("piece") > 1)
+    return chars.unionByName(seeds.orderBy(F.col("freq").desc(), "piece").limit(seed_size))
+
+
+class Model:
+    """Pieces (piece, freq) as scores that tasks share: the logarithm of each piece's share, in whole millionths. The
+    trainer bounds their number by ``seed_size`` and the alphabet."""
+
+    def __init__(self, pieces: DataFrame):
+        rows = pieces.select("piece", "freq").collect()
+        total = sum(r["freq"] for r in rows)
+        self.longer = sum(len(r["piece"]) > 1 for r in rows)
+        self.shared = pieces.sparkSession.sparkContext.broadcast([(r["piece"], micro(math.log(r["freq"] / total))) for r in rows])
+
+
+def _summed(words: DataFrame, shared, per_word, ddl: str) -> DataFrame:
+    """Sum over all words of ``per_word(word, trie)`` (piece -> number), times the word's frequency."""
+    def run(batches):
+        pieces = trie(shared.value)
+        for pdf in batches:
+            acc: dict = {}
+            for word, freq in zip(pdf["word"], pdf["freq"]):
+                for piece, n in per_word(word, pieces).items():
+                    acc[piece] = acc.get(piece, 0) + n * freq
+            yield pd.DataFrame({"piece": list(acc), "n": list(acc.values())})
+
+    found = words.mapInPandas(run, f"piece string, n {ddl}")
+    return found.groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def em_round(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """One round of EM over ``words`` (word, freq; marked): (piece, freq), the expected count of each piece under the
+    scores of ``pieces`` (piece, freq). A character stays even where no path uses it."""
+    found = _summed(words, Model(pieces).shared, expected_counts, "double")
+    freq = F.when(F.length("piece") == 1, F.greatest(F.coalesce("n", F.lit(0.0)), F.lit(1e-6))).otherwise(F.col("n"))
+    return pieces.select("piece").join(found, "piece", "left").select("piece", freq.alias("freq")).where("freq > 0")
+
+
+def _best_counts(word: str, pieces: dict) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for piece in segment(word, pieces):
+        out[piece] = out.get(piece, 0) + 1
     return out
 
 
-def train_unigram(counts: DataFrame, vocab_size: int = 16_000, seed_size: int = 200_000, rounds: int = 4,
+def piece_losses(words: DataFrame, pieces: DataFrame, model: Model | None = None) -> DataFrame:
+    """(piece, score, uses, loss): what the likelihood of all words loses, in millionths, if a piece of two characters
+    or more goes. ``uses`` counts it on the best paths; there its second-best segmentation, the best one of its own
+    text without itself, takes its place. Pieces that no best path uses lose nothing."""
+    model = model or Model(pieces)
+    uses = _summed(words, model.shared, _best_counts, "bigint")
+
+    def second(batches):
+        tree = trie(model.shared.value)
+        scores = dict(model.shared.value)
+        for pdf in batches:
+            yield pd.DataFrame({"piece": pdf["piece"], "score": [scores[p] for p in pdf["piece"]],
+                                "other": [viterbi(p, tree, whole=False)[0] for p in pdf["piece"]]})
+
+    longer = pieces.where(F.length("piece") > 1).select("piece").mapInPandas(second, "piece string, score bigint, other bigint")
+    used = F.coalesce("n", F.lit(0))
+    return longer.join(uses, "piece", "left").select(
+        "piece", "score", used.alias("uses"), (used * (F.col("score") - F.col("other"))).alias("loss"))
+
+
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """(piece, id, logp) of a vocabulary's pieces (piece, freq) by frequency, ties by piece, behind the specials."""
+    total = F.lit(pieces.agg(F.sum("freq")).first()[0])
+    order = Window.orderBy(F.col("freq").desc(), "piece")  # vocab_size rows
+    ids = (F.row_number().over(order) + (FIRST_PIECE_ID - 1)).cast("int")
+    rows = pieces.select("piece", ids.alias("id"), F.log(F.col("freq") / total).alias("logp"))
+    specials = pieces.sparkSession.createDataFrame([(p, i, 0.0) for p, i in SPECIALS], "piece string, id int, logp double")
+    return cut_lineage(specials.unionByName(rows).coalesce(1))
+
+
+def _room(counts: DataFrame, vocab_size: int) -> int:
+    """How many pieces of two characters or more a vocabulary holds beside the specials and the characters."""
+    chars = marked_words(counts).select(F.explode(F.split("word", CHARS_RE, -1)).alias("c")).distinct().count()
+    room = vocab_size - FIRST_PIECE_ID - chars
+    if room < 0:
+        raise ValueError(f"vocab_size {vocab_size} does not hold the {chars} characters of the corpus")
+    return room
+
+
+def seed_vocab(counts: DataFrame, vocab_size: int, max_len: int = 8) -> DataFrame:
+    """The unigram vocabulary before any training (piece, id, logp): all characters and the most frequent substrings."""
+    return _numbered(cut_lineage(initial_pieces(counts, _room(counts, vocab_size), max_len)))
+
+
+def train_unigram(counts: DataFrame, vocab_size: int = 16_000, seed_size: int = 200_000, rounds: int = 2,
                   shrink: float = 0.75, max_len: int = 8, max_broadcast: int = 2_000_000) -> DataFrame:
-    """Unigram LM vocabulary by EM over the distinct-word table.
+    """Unigram LM vocabulary (piece, id, logp) over the distinct-word table.
 
-    E-step: ``mapInPandas`` runs forward-backward per distinct word against the current
-    piece log-probabilities (a broadcast of at most ``seed_size`` pieces, checked
-    against ``max_broadcast``); M-step: ``groupBy(piece).sum``; then the vocabulary
-    shrinks by ``shrink`` keeping the highest expected counts (single characters are
-    always kept). Returns (piece, id, logp)."""
+    ``rounds`` rounds of EM, then the pieces shrink to ``shrink`` of their number: those stay whose loss would cost the
+    likelihood most (characters always), and so on down to the target, with EM last. E-steps, best paths and second-best
+    paths run on executors against a broadcast of the pieces (at most ``seed_size`` and the characters, checked against
+    ``max_broadcast``); sums, joins and the cut are Spark aggregates."""
     if seed_size > max_broadcast:
         raise ValueError(f"seed_size {seed_size} exceeds the broadcast bound {max_broadcast}")
-    spark = counts.sparkSession
-    marked = counts.select(F.concat(F.lit(WORD_BOUNDARY), F.col("word")).alias("word"), "freq")
-    marked = cut_lineage(marked)
-    chars = (marked.select(F.explode(F.split("word", CHARS_RE, -1)).alias("piece"), "freq")
-                   .groupBy("piece").agg(F.sum("freq").alias("freq")))
-    seeds = seed_pieces(counts, max_len=max_len).where(F.length("piece") > 1)
-    seeds = seeds.orderBy(F.col("freq").desc(), F.col("piece")).limit(seed_size)
-    cur = chars.unionByName(seeds).groupBy("piece").agg(F.max("freq").alias("freq"))
-    cur_pd = cur.toPandas()     # bounded by seed_size + alphabet (checked above)
-    target = vocab_size - FIRST_PIECE_ID
-    char_set = set(p for p in cur_pd["piece"] if len(p) == 1)
-    if target < len(char_set):
-        raise ValueError(f"vocab_size {vocab_size} does not hold the {len(char_set)} characters of the corpus")
-    done = 0
-    # at least ``rounds`` rounds, and as many as it takes to shrink to the target; the last round re-estimates only
+    # a small table would come back in one partition, and the rounds would run in one task
+    words = cut_lineage(marked_words(counts).repartition(shuffle_partitions(counts.sparkSession), "word"))
+    room = _room(counts, vocab_size)
+    pieces = cut_lineage(initial_pieces(counts, seed_size, max_len))
     while True:
-        done += 1
-        last = len(cur_pd) <= target and done >= rounds
-        total = float(cur_pd["freq"].sum())
-        logp = {p: math.log(max(f, 1e-12) / total) for p, f in zip(cur_pd["piece"], cur_pd["freq"])}
-        bc = spark.sparkContext.broadcast(logp)
-
-        def e_step(batches, bc=bc):
-            lp = bc.value
-            for pdf in batches:
-                acc: dict = {}
-                for w, f in zip(pdf["word"], pdf["freq"]):
-                    for piece, c in _expected_counts(w, lp, max_len).items():
-                        acc[piece] = acc.get(piece, 0.0) + c * f
-                yield pd.DataFrame({"piece": list(acc.keys()), "freq": list(acc.values())})
-
-        expected = (marked.mapInPandas(e_step, "piece string, freq double")
-                          .groupBy("piece").agg(F.sum("freq").alias("freq")))
-        found = expected.toPandas()   # one row per live piece: bounded by the broadcast size
-        bc.unpersist()
-        # a character stays even where no best path uses it any more
-        unused = sorted(char_set - set(found["piece"]))
-        cur_pd = pd.concat([found, pd.DataFrame({"piece": unused, "freq": [1e-6] * len(unused)})], ignore_index=True)
-        if last:
-            break
-        keep_n = max(target, int(len(cur_pd) * shrink))
-        cur_pd["is_char"] = cur_pd["piece"].isin(char_set)
-        cur_pd = cur_pd.sort_values(["is_char", "freq", "piece"], ascending=[False, False, True])
-        cur_pd = cur_pd.head(max(keep_n, len(char_set))).drop(columns="is_char")
-    cur_pd = cur_pd.sort_values(["freq", "piece"], ascending=[False, True])
-    total = float(cur_pd["freq"].sum())
-    cur_pd["logp"] = [math.log(max(f, 1e-12) / total) for f in cur_pd["freq"]]
-    cur_pd["id"] = range(FIRST_PIECE_ID, FIRST_PIECE_ID + len(cur_pd))
-    pieces = spark.createDataFrame(cur_pd[["piece", "id", "logp"]])
-    specials = spark.createDataFrame([(p, i, 0.0) for p, i in SPECIALS], "piece string, id int, logp double")
-    return specials.unionByName(pieces.select("piece", F.col("id").cast("int"), "logp"))
+        for _ in range(rounds):
+            pieces = cut_lineage(em_round(words, pieces))
+        model = Model(pieces)
+        if model.longer <= room:
+            return _numbered(pieces)
+        keep = max(room, int(model.longer * shrink))
+        best = piece_losses(words, pieces, model).orderBy(F.col("loss").desc(), "piece").limit(keep)
+        best = best.select("piece", F.lit(True).alias("kept"))
+        pieces = cut_lineage(pieces.join(best, "piece", "left").where((F.length("piece") == 1) | F.col("kept")).drop("kept"))
 
 
 def train_bpe(counts: DataFrame, vocab_size: int = 16_000, merges_per_round: int = 64) -> DataFrame:
     """BPE: each round counts adjacent symbol pairs over the distinct-word table
     (``groupBy(pair).sum``), takes the most frequent pairs that share no symbol, and
     merges them in every word. The word table is checkpointed each round.
-    Returns (piece, id, rank)."""
+    Returns (piece, id, rank, left, right): a merge joins its left and its right symbol."""
     spark = counts.sparkSession
     words = counts.select(F.split(F.concat(F.lit(WORD_BOUNDARY), F.col("word")), CHARS_RE, -1).alias("sym"), "freq")
     words = cut_lineage(words)
@@ -289,10 +291,10 @@ def train_bpe(counts: DataFrame, vocab_size: int = 16_000, merges_per_round: int
 
         words = cut_lineage(words.mapInPandas(merge, "sym array<string>, freq bigint"))
         bc.unpersist()
-    rows = [(p, FIRST_PIECE_ID + i, -1) for i, p in enumerate(alphabet)]
-    rows += [(a + b, FIRST_PIECE_ID + len(alphabet) + i, i) for i, (a, b) in enumerate(merges)]
-    specials = [(p, i, -1) for p, i in SPECIALS]
-    return spark.createDataFrame(specials + rows, "piece string, id int, rank int")
+    rows = [(p, FIRST_PIECE_ID + i, -1, None, None) for i, p in enumerate(alphabet)]
+    rows += [(a + b, FIRST_PIECE_ID + len(alphabet) + i, i, a, b) for i, (a, b) in enumerate(merges)]
+    specials = [(p, i, -1, None, None) for p, i in SPECIALS]
+    return spark.createDataFrame(specials + rows, "piece string, id int, rank int, left string, right string")
 
 
 def train_vocab(corpus: DataFrame, model_type: str = "unigram", vocab_size: int = 16_000, text_col: str = "text",

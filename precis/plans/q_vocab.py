@@ -10,6 +10,7 @@ from ..session import cut_lineage
 from ..operators import encode as E
 from ..operators import vocab as V
 from ..operators.gsg import gap_sentences
+from ..options import DEFAULT
 from . import sql as S
 from .q_clean import DOCS, _docs
 from .q_gsg import gsg_pairs_sql
@@ -19,6 +20,7 @@ VOCAB = 2000          # word vocabulary size for the checks (the reference defau
 WIDTH = 64            # encoded input width
 LABEL_WIDTH = 32      # encoded label width
 SUB_VOCAB = 400       # subword vocabulary size for the checks
+SUB_WIDTH, SUB_LABELS = DEFAULT.model_max_length, DEFAULT.max_summary_length
 
 _CORPUS_SQL = S.chain(DOCS, "t", S.preset_steps("module", False))
 _WORDS = "'[^" + T.PY_WS[1:-1] + "]+'"
@@ -134,11 +136,85 @@ def decode_word(spark, sf):
     return E.decode_word(e, vocab, "t_ids", out_col="text")
 
 
-# --- subword models: no SQL oracle (iterative); invariants are tested ---------------------------
+# --- subword models: single rounds, losses and segmentation have SQL; the trained models are tested ---------
+
+SEED_PIECES = 1500    # substrings in the model whose EM round and losses are compared with SQL
+_MARKED_SQL = f"SELECT '{V.WORD_BOUNDARY}' || word AS w, freq FROM ({_COUNTS_SQL})"
+_CHARS_SQL = f"SELECT c AS piece, sum(freq) AS freq FROM (SELECT unnest(string_split(w, '')) AS c, freq FROM ({_MARKED_SQL})) GROUP BY c"
+_SEEDS_SQL = ("SELECT piece, sum(freq) AS freq FROM (SELECT freq, unnest(flatten(list_transform(range(1, len(w)), lambda s: "
+              "list_transform(range(2, least(8, len(w) - s + 1) + 1), lambda l: substring(w, s, l))))) AS piece "
+              f"FROM ({_MARKED_SQL})) GROUP BY piece HAVING sum(freq) >= 2 ORDER BY freq DESC, piece")
+
+
+def _model_sql(n: str) -> str:
+    """(piece, freq, score) of the characters and ``n`` substrings."""
+    return ("SELECT piece, freq, CAST(round(ln(freq / sum(freq) OVER ()) * 1000000) AS BIGINT) AS score FROM "
+            f"(SELECT * FROM ({_CHARS_SQL}) UNION ALL (SELECT * FROM ({_SEEDS_SQL}) LIMIT {n}))")
+
+
+# arcs of each text's lattice: the pieces that stand at [s, e)
+_ARCS_SQL = ("SELECT t.w, t.s, t.s + t.l AS e, m.piece, m.score FROM (SELECT w, s, unnest(range(1, least(8, len(w) - s) + 1)) AS l "
+             "FROM (SELECT w, unnest(range(0, len(w))) AS s FROM texts)) t JOIN model m ON m.piece = substring(t.w, t.s + 1, t.l)")
+
+
+def _lattice_sql(n: str, texts: str, arcs: str = "TRUE") -> str:
+    """CTEs model, texts, arcs, ends, and best: the best score and the place before it for every place of a text."""
+    return (f"WITH RECURSIVE model AS MATERIALIZED ({_model_sql(n)}), texts AS MATERIALIZED ({texts}), "
+            f"arcs AS MATERIALIZED (SELECT * FROM ({_ARCS_SQL}) WHERE {arcs}), "
+            "ends AS MATERIALIZED (SELECT w, e, list({'s': s, 'p': score}) AS a FROM arcs GROUP BY w, e), "
+            "steps AS (SELECT w, 0 AS i, [0::BIGINT] AS best, [0::BIGINT] AS back FROM texts UNION ALL "
+            "SELECT w, i + 1, list_append(best, x.c), list_append(back, x.s) FROM (SELECT g.w, g.i, g.best, g.back, "
+            "list_max(list_transform(d.a, lambda z: {'c': g.best[z.s + 1] + z.p, 's': z.s})) AS x "
+            "FROM steps g JOIN ends d ON d.w = g.w AND d.e = g.i + 1)), "
+            "done AS MATERIALIZED (SELECT w, best, back FROM steps WHERE i = len(w)), "
+            "walk AS (SELECT w, len(w) AS e, back[len(w) + 1] AS s, back FROM done UNION ALL "
+            "SELECT w, s, back[s + 1], back FROM walk WHERE s > 0)")
+
+
+def _expected_sql() -> str:
+    """Forward and backward sums over the lattice of every distinct word."""
+    return (f"WITH RECURSIVE model AS MATERIALIZED ({_model_sql(str(SEED_PIECES))}), texts AS MATERIALIZED ({_MARKED_SQL}), "
+            f"arcs AS MATERIALIZED (SELECT w, s, e, piece, exp(score / 1000000.0) AS p FROM ({_ARCS_SQL})), "
+            "ends AS MATERIALIZED (SELECT w, e, list({'s': s, 'p': p}) AS a FROM arcs GROUP BY w, e), "
+            "starts AS MATERIALIZED (SELECT w, s, list({'e': e, 'p': p}) AS a FROM arcs GROUP BY w, s), "
+            "ahead AS (SELECT w, 0 AS i, [1.0::DOUBLE] AS v FROM texts UNION ALL "
+            "SELECT g.w, g.i + 1, list_append(g.v, list_sum(list_transform(d.a, lambda z: g.v[z.s + 1] * z.p))) "
+            "FROM ahead g JOIN ends d ON d.w = g.w AND d.e = g.i + 1), "
+            "rest AS (SELECT w, len(w) AS i, [1.0::DOUBLE] AS v FROM texts UNION ALL "  # v[1] stands for place len, v[2] for len - 1
+            "SELECT g.w, g.i - 1, list_append(g.v, list_sum(list_transform(d.a, lambda z: g.v[len(g.w) - z.e + 1] * z.p))) "
+            "FROM rest g JOIN starts d ON d.w = g.w AND d.s = g.i - 1), "
+            "f AS (SELECT w, v FROM ahead WHERE i = len(w)), b AS (SELECT w, v FROM rest WHERE i = 0), "
+            "found AS (SELECT a.piece, sum(t.freq * f.v[a.s + 1] * a.p * b.v[len(a.w) - a.e + 1] / f.v[len(a.w) + 1]) AS n "
+            "FROM arcs a JOIN texts t ON t.w = a.w JOIN f ON f.w = a.w JOIN b ON b.w = a.w GROUP BY a.piece) "
+            "SELECT piece, round(n, 3) AS expected FROM found")
+
+
+@register("unigram_expected", _expected_sql())
+def unigram_expected(spark, sf):
+    """One EM round from the seed model: the expected count of every piece."""
+    counts = cut_lineage(V.word_counts(_corpus(spark, sf)))
+    pieces = cut_lineage(V.initial_pieces(counts, SEED_PIECES))
+    return V.em_round(V.marked_words(counts), pieces).select("piece", F.round("freq", 3).alias("expected"))
+
+
+@register("unigram_losses", _lattice_sql(
+    str(SEED_PIECES), f"SELECT w FROM ({_MARKED_SQL})") +
+    ", uses AS MATERIALIZED (SELECT substring(k.w, k.s + 1, k.e - k.s) AS piece, CAST(sum(m.freq) AS BIGINT) AS n FROM walk k "
+    f"JOIN ({_MARKED_SQL}) m ON m.w = k.w GROUP BY 1), "
+    "other AS MATERIALIZED (" + _lattice_sql(str(SEED_PIECES), f"SELECT piece AS w FROM ({_model_sql(str(SEED_PIECES))}) WHERE len(piece) > 1",
+                                "e - s < len(w)") + " SELECT w AS piece, best[len(w) + 1] AS other FROM done) "
+    "SELECT m.piece, m.score, coalesce(u.n, 0) AS uses, CAST(coalesce(u.n, 0) * (m.score - o.other) AS BIGINT) AS loss "
+    "FROM model m JOIN other o ON o.piece = m.piece LEFT JOIN uses u ON u.piece = m.piece")
+def unigram_losses(spark, sf):
+    """What the likelihood loses with each piece of the seed model."""
+    counts = cut_lineage(V.word_counts(_corpus(spark, sf)))
+    pieces = cut_lineage(V.initial_pieces(counts, SEED_PIECES))
+    return V.piece_losses(V.marked_words(counts), pieces)
+
 
 @register("vocab_unigram")
 def vocab_unigram(spark, sf):
-    return V.train_unigram(V.word_counts(_corpus(spark, sf)), vocab_size=SUB_VOCAB, seed_size=5000, rounds=3)
+    return V.train_unigram(V.word_counts(_corpus(spark, sf)), vocab_size=SUB_VOCAB, seed_size=5000, rounds=1)
 
 
 @register("vocab_bpe")
@@ -146,12 +222,39 @@ def vocab_bpe(spark, sf):
     return V.train_bpe(V.word_counts(_corpus(spark, sf)), vocab_size=SUB_VOCAB, merges_per_round=64)
 
 
-@register("encode_unigram")
+# the seed vocabulary: ids by frequency, ties by piece; {n}: how many substrings it holds beside the characters
+_ROOM_SQL = f"(SELECT {SUB_VOCAB - V.FIRST_PIECE_ID} - count(*) FROM ({_CHARS_SQL}))"
+
+
+def _segments_sql(col: str) -> str:
+    """(doc_id, ids): the ids of all pieces of a column's words, in order, for the whole text."""
+    words = f"SELECT doc_id, regexp_extract_all({col}, {_WORDS}) AS tk FROM ({_GSG_CLEAN})"
+    return (_lattice_sql(_ROOM_SQL, f"SELECT DISTINCT '{V.WORD_BOUNDARY}' || unnest(tk) AS w FROM ({words})") +
+            ", ids AS (SELECT piece, 3 + row_number() OVER (ORDER BY freq DESC, piece) AS id FROM model), "
+            "seg AS MATERIALIZED (SELECT k.w, list(i.id ORDER BY k.s) AS ids FROM walk k "
+            "JOIN ids i ON i.piece = substring(k.w, k.s + 1, k.e - k.s) GROUP BY k.w) "
+            "SELECT d.doc_id, flatten(list(CASE WHEN d.tok IS NULL THEN [] WHEN d.tok = '<mask_1>' THEN [2] ELSE g.ids END "
+            "ORDER BY d.pos)) AS ids FROM (SELECT doc_id, unnest(range(1, len(tk) + 1)) AS pos, unnest(tk) AS tok "
+            f"FROM ({words}) UNION ALL SELECT doc_id, 0, NULL FROM ({words})) d LEFT JOIN seg g ON g.w = '{V.WORD_BOUNDARY}' || d.tok "
+            "GROUP BY d.doc_id")
+
+
+def _padded_sql(width: int) -> str:
+    return (f"array_to_string(ids[1:{width - 1}] || [1] || list_transform(range({width} - least(len(ids), {width - 1}) - 1), "
+            "lambda x: 0), ',')")
+
+
+@register("encode_unigram",
+          f"SELECT i.doc_id, i.ids AS input_ids, i.mask, l.ids AS labels FROM (SELECT doc_id, {_padded_sql(SUB_WIDTH)} AS ids, "
+          f"array_to_string(list_transform(range({SUB_WIDTH}), lambda k: CASE WHEN k < least(len(ids) + 1, {SUB_WIDTH}) THEN 1 "
+          f"ELSE 0 END), ',') AS mask FROM ({_segments_sql('input')})) i JOIN (SELECT doc_id, {_padded_sql(SUB_LABELS)} AS ids "
+          f"FROM ({_segments_sql('labels')})) l ON l.doc_id = i.doc_id")
 def encode_unigram(spark, sf):
+    """Gap-sentence pairs encoded with the seed vocabulary (a trained one has no SQL) at the default widths."""
     corpus = _corpus_saved(spark, sf)
-    vocab = V.train_unigram(V.word_counts(corpus), vocab_size=SUB_VOCAB, seed_size=5000, rounds=3)
+    vocab = V.seed_vocab(cut_lineage(V.word_counts(corpus)), SUB_VOCAB)
     g = _gsg_clean(spark, sf, corpus)
-    e = E.encode_subword(g, vocab, {"input": WIDTH, "labels": LABEL_WIDTH}, mode="unigram", with_mask="input")
+    e = E.encode_subword(g, vocab, {"input": SUB_WIDTH, "labels": SUB_LABELS}, mode="unigram", with_mask="input")
     return e.select("doc_id", _csv("input_ids").alias("input_ids"), _csv("attention_mask").alias("mask"),
                     _csv("labels_ids").alias("labels"))
 
@@ -159,11 +262,10 @@ def encode_unigram(spark, sf):
 @register("decode_unigram",
           f"SELECT doc_id, array_to_string(regexp_extract_all(t, {_WORDS}), ' ') AS text FROM ({_CORPUS_SQL})")
 def decode_unigram(spark, sf):
-    """J6 on subwords: whole texts (the width is the longest one's) come back as their words joined by spaces."""
+    """J6 on subwords: whole texts, unpadded, come back as their words joined by spaces."""
     corpus = _corpus_saved(spark, sf)
-    vocab = V.train_vocab(corpus, "unigram", SUB_VOCAB, seed_size=5000, rounds=3)
-    width = (corpus.agg(F.max(F.length("text"))).first()[0] or 0) * 2 + 2
-    ids = E.encode(corpus, vocab, {"text": width}, "unigram")
+    vocab = V.train_vocab(corpus, "unigram", SUB_VOCAB, seed_size=5000, rounds=1)
+    ids = E.encode(corpus, vocab, {"text": None}, "unigram")
     return E.decode(ids, vocab, "text_ids", "unigram")
 
 

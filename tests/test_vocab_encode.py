@@ -1,8 +1,11 @@
+import collections
 import math
+import random
 
 from pyspark.sql import functions as F
 
 from precis.operators import encode as E
+from precis.operators import subword as S
 from precis.operators import vocab as V
 
 
@@ -35,7 +38,7 @@ def test_truncation_keeps_width(spark):
 
 def test_unigram_invariants(spark):
     c = _corpus(spark)
-    vocab = V.train_unigram(V.word_counts(c), vocab_size=30, seed_size=500, rounds=3)
+    vocab = V.train_unigram(V.word_counts(c), vocab_size=30, seed_size=500, rounds=2)
     rows = vocab.collect()
     pieces = [r for r in rows if r.id >= 4]
     assert len(rows) <= 30
@@ -72,3 +75,117 @@ def test_encoding_of_odd_rows(spark):
     got = E.encode(odd, vocab, {"t": 4}, with_mask="t").collect()
     assert sorted((r.doc_id or "", r.attention_mask) for r in got) == [("", [1, 1, 1, 0]), ("a", [1, 0, 0, 0]), ("a", [1, 0, 0, 0])]
     assert E.encode(odd.limit(0), vocab, {"t": 4}).collect() == []
+
+
+def _slow_bpe(word, ranks):
+    symbols = list(word)
+    while True:
+        known = [(ranks[p], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
+        if not known:
+            return symbols
+        i = min(known)[1]
+        symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
+
+
+def _all_segmentations(word, pieces):
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        if word[:n] in pieces:
+            yield from ([word[:n]] + rest for rest in _all_segmentations(word[n:], pieces))
+
+
+def _random_pieces(rng):
+    pieces = {c: S.micro(-rng.randint(2, 9)) for c in "ab"}
+    pieces |= {"".join(rng.choices("ab", k=rng.randint(2, 5))): S.micro(-rng.randint(1, 9)) for _ in range(rng.randint(0, 8))}
+    return pieces
+
+
+def test_bpe_by_heap_equals_the_plain_loop():
+    rng = random.Random(1)
+    for _ in range(1500):
+        symbols, ranks = list("abc"), {}
+        for rank in range(rng.randint(0, 12)):
+            pair = rng.choice(symbols), rng.choice(symbols)
+            ranks.setdefault(pair, rank)
+            symbols.append("".join(pair))
+        word = "".join(rng.choices("abc", k=rng.randint(0, 14)))
+        assert S.bpe(word, ranks) == _slow_bpe(word, ranks)
+
+
+def test_viterbi_and_expected_counts_equal_all_segmentations():
+    rng = random.Random(2)
+    for _ in range(300):
+        pieces, word = _random_pieces(rng), "".join(rng.choices("ab", k=rng.randint(1, 9)))
+        ways = list(_all_segmentations(word, pieces))
+        # of equal scores the shortest last piece, then the one before it, ..
+        best = max(ways, key=lambda w: (sum(pieces[p] for p in w), [-len(p) for p in reversed(w)]))
+        tree = S.trie(pieces.items())
+        assert S.segment(word, tree) == best
+        weights = [math.exp(sum(pieces[p] for p in w) / S.MICRO) for w in ways]
+        want = collections.Counter()
+        for w, weight in zip(ways, weights):
+            for p in w:
+                want[p] += weight / sum(weights)
+        got = S.expected_counts(word, tree)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+        if len(word) > 1:
+            others = [w for w in ways if len(w) > 1]
+            assert S.viterbi(word, tree, whole=False)[0] == max(sum(pieces[p] for p in w) for w in others)
+
+
+def test_very_long_words_and_unknown_characters():
+    rng = random.Random(3)
+    tree = S.trie(_random_pieces(rng).items())
+    word = "".join(rng.choices("ab", k=200_000))
+    assert "".join(S.segment(word, tree)) == word
+    assert "".join(S.bpe(word, {("a", "b"): 0, ("ab", "ab"): 1, ("a", "a"): 2})) == word
+    assert S.segment("zabz", tree)[0] == "z" and S.expected_counts("zab", tree) == {}
+    assert S.segment("", tree) == [] and S.bpe("", {}) == []
+
+
+def test_losses_are_what_the_likelihood_loses(spark):
+    """On words that are single pieces with uses of their own, taking a piece out costs exactly its loss."""
+    counts = V.word_counts(_corpus(spark)).cache()
+    pieces = V.initial_pieces(counts, 40).cache()
+    words = {r.word: r.freq for r in V.marked_words(counts).collect()}
+    rows = {r.piece: r.freq for r in pieces.collect()}
+    scores = {p: S.micro(math.log(f / sum(rows.values()))) for p, f in rows.items()}
+
+    def best(without=None):
+        tree = S.trie((p, s) for p, s in scores.items() if p != without)
+        return sum(f * S.viterbi(w, tree)[0] for w, f in words.items())
+
+    whole = best()
+    got = V.piece_losses(V.marked_words(counts), pieces).collect()
+    assert {r.piece for r in got} == {p for p in rows if len(p) > 1}
+    for r in got:
+        assert r.loss >= 0 and r.loss >= whole - best(r.piece)  # the words may find a better way round than the piece's own
+        assert r.uses or r.loss == 0
+    assert sum(r.loss == whole - best(r.piece) for r in got) > len(got) / 2
+
+
+def test_em_raises_the_likelihood(spark):
+    counts = V.word_counts(_corpus(spark)).cache()
+    words, pieces = V.marked_words(counts), V.initial_pieces(counts, 40)
+
+    def likelihood(pieces):
+        rows = {r.piece: r.freq for r in pieces.collect()}
+        total = sum(rows.values())
+        out = 0.0
+        for r in words.collect():
+            ways = _all_segmentations(r.word, rows)
+            out += r.freq * math.log(sum(math.prod(rows[p] / total for p in w) for w in ways))
+        return out
+
+    once = V.em_round(words, pieces).cache()
+    assert likelihood(pieces) < likelihood(once) <= likelihood(V.em_round(words, once)) + 1e-6
+
+
+def test_unpadded_ids_come_back_whole(spark):
+    c = _corpus(spark)
+    vocab = V.seed_vocab(V.word_counts(c), 40)
+    enc = E.encode(c, vocab, {"text": None}, "unigram", with_mask="text")
+    assert all(r.text_ids[-1] == 1 and r.attention_mask == [1] * len(r.text_ids) and 0 not in r.text_ids for r in enc.collect())
+    back = {r.doc_id: r.text for r in E.decode(enc, vocab, "text_ids", "unigram").collect()}
+    assert back == {r.doc_id: r.text for r in c.collect()}
