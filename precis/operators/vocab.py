@@ -237,64 +237,103 @@ def train_unigram(counts: DataFrame, vocab_size: int = 16_000, seed_size: int =
         pieces = cut_lineage(pieces.join(best, "piece", "left").where((F.length("piece") == 1) | F.col("kept")).drop("kept"))
 
 
-def train_bpe(counts: DataFrame, vocab_size: int = 16_000, merges_per_round: int = 64) -> DataFrame:
-    """BPE: each round counts adjacent symbol pairs over the distinct-word table
-    (``groupBy(pair).sum``), takes the most frequent pairs that share no symbol, and
-    merges them in every word. The word table is checkpointed each round.
-    Returns (piece, id, rank, left, right): a merge joins its left and its right symbol."""
-    spark = counts.sparkSession
-    words = counts.select(F.split(F.concat(F.lit(WORD_BOUNDARY), F.col("word")), CHARS_RE, -1).alias("sym"), "freq")
-    words = cut_lineage(words)
-    alphabet = [r["s"] for r in words.select(F.explode("sym").alias("s")).distinct().orderBy("s").collect()]
-    merges: list[tuple[str, str]] = []
-    target = vocab_size - FIRST_PIECE_ID - len(alphabet)
-    if target < 0:
-        raise ValueError(f"vocab_size {vocab_size} does not hold the {len(alphabet)} characters of the corpus")
-    while len(merges) < target:
-        n = F.size("sym")
-        z = F.arrays_zip(F.slice("sym", 1, F.greatest(n - 1, F.lit(0))).alias("a"),
-                         F.slice("sym", 2, F.greatest(n - 1, F.lit(0))).alias("b"))
-        pc = (words.select("freq", F.explode(z).alias("p"))
-                   .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-                   .agg(F.sum("freq").alias("freq")))
-        top = pc.where(F.col("freq") >= 2).orderBy(F.col("freq").desc(), "a", "b").limit(merges_per_round * 4).collect()
-        chosen, used = [], set()
-        for r in top:
-            if r["a"] in used or r["b"] in used:
-                continue
-            chosen.append((r["a"], r["b"]))
-            used.update((r["a"], r["b"]))
-            if len(chosen) >= min(merges_per_round, target - len(merges)):
-                break
-        if not chosen:
+def _adjacent(words: DataFrame) -> DataFrame:
+    """(a, b, prev, next, freq) of every two neighbours in every word's symbols ``sym``; null at the word's ends."""
+    n = F.size("sym")
+    at = F.explode(F.expr("sequence(1, size(sym) - 1)"))
+    return words.where(n > 1).select("sym", "freq", at.alias("i")).select(
+        F.expr("get(sym, i - 1)").alias("a"), F.expr("get(sym, i)").alias("b"), F.expr("get(sym, i - 2)").alias("prev"),
+        F.expr("get(sym, i + 1)").alias("next"), "freq")
+
+
+def _certain(top: list, symbols: set[str]) -> list:
+    """The first of the pairs in order that share no symbol and make no symbol that exists: until one of them makes a new
+    pair, merging the earlier ones changes neither their counts nor their order."""
+    out, used = [], set()
+    for r in top:
+        if used & {r["a"], r["b"]} or (out and r["a"] + r["b"] in symbols):
+            break
+        out.append(r)
+        used |= {r["a"], r["b"], r["a"] + r["b"]}
+        if r["a"] + r["b"] in symbols:
+            break
+    return out
+
+
+def _first_merges(words: DataFrame, batch: list) -> list:
+    """Those of the certain pairs that come before any pair that the merges make. A new pair (symbol, a + b) or
+    (a + b, symbol) occurs no more often than ``symbol`` stands beside a, b now, so a pair may follow while its count
+    is over all such counts of the pairs before it."""
+    if len(batch) < 2:
+        return batch
+    chosen = F.broadcast(words.sparkSession.createDataFrame([(r["a"], r["b"]) for r in batch], "a string, b string"))
+    sides = _adjacent(words).join(chosen, ["a", "b"]).select(
+        "a", "b", "freq", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("prev").alias("by")),
+                                            F.struct(F.lit(1).alias("side"), F.col("next").alias("by")))).alias("s"))
+    beside = sides.where("s.by IS NOT NULL").groupBy("a", "b", "s").agg(F.sum("freq").alias("n"))
+    most = {(r["a"], r["b"]): r["n"] for r in beside.groupBy("a", "b").agg(F.max("n").alias("n")).collect()}
+    out, new = [], 0
+    for r in batch:
+        if out and r["freq"] <= new:
+            break
+        out.append(r)
+        new = max(new, most.get((r["a"], r["b"]), 0))
+    return out
+
+
+def merge_pairs(symbols: list[str], merges: set[tuple[str, str]]) -> list[str]:
+    """The symbols with every occurrence of the pairs (no two share a symbol) merged, leftmost first."""
+    out, i = [], 0
+    while i < len(symbols):
+        if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) in merges:
+            out.append(symbols[i] + symbols[i + 1])
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
+
+
+def bpe_merges(counts: DataFrame, merges: int, min_freq: int = 2, at_once: int = 256) -> list[tuple[str, str, int]]:
+    """The first ``merges`` merges (left, right, count) of byte-pair encoding over the distinct-word table, as one
+    merge at a time gives them: the most frequent pair of neighbours (ties by left, then right symbol; a count
+    weighs words by frequency) is merged in all words, then pairs are counted anew; fewer where no pair occurs
+    ``min_freq`` times.
+
+    A round counts all pairs, then merges as many of the first ``at_once`` as surely come next in that order (see
+    ``_certain`` and ``_first_merges``), so the result does not depend on ``at_once``. Only those pairs reach the driver."""
+    words = marked_words(counts).select(F.split("word", CHARS_RE, -1).alias("sym"), "freq")
+    words = cut_lineage(words.repartition(shuffle_partitions(counts.sparkSession), "sym"))
+    symbols = {r["c"] for r in words.select(F.explode("sym").alias("c")).distinct().collect()}  # the alphabet
+    found: list[tuple[str, str, int]] = []
+    while len(found) < merges:
+        pairs = _adjacent(words).groupBy("a", "b").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= min_freq)
+        top = pairs.orderBy(F.col("freq").desc(), "a", "b").limit(at_once).collect()
+        batch = _first_merges(words, _certain(top, symbols)[:merges - len(found)])
+        if not batch:
             break
-        merges.extend(chosen)
-        table = {a + "\u0000" + b: a + b for a, b in chosen}
-        bc = spark.sparkContext.broadcast(table)
+        found += [(r["a"], r["b"], r["freq"]) for r in batch]
+        symbols |= {r["a"] + r["b"] for r in batch}
+        now = {(r["a"], r["b"]) for r in batch}
 
-        def merge(batches, bc=bc):
-            t = bc.value
+        def merge(batches, now=now):
             for pdf in batches:
-                out = []
-                for sym in pdf["sym"]:
-                    s = list(sym)
-                    res, i = [], 0
-                    while i < len(s):
-                        if i + 1 < len(s) and (s[i] + "\u0000" + s[i + 1]) in t:
-                            res.append(t[s[i] + "\u0000" + s[i + 1]])
-                            i += 2
-                        else:
-                            res.append(s[i])
-                            i += 1
-                    out.append(res)
-                yield pd.DataFrame({"sym": out, "freq": pdf["freq"]})
+                yield pd.DataFrame({"sym": [merge_pairs(list(x), now) for x in pdf["sym"]], "freq": pdf["freq"]})
 
         words = cut_lineage(words.mapInPandas(merge, "sym array<string>, freq bigint"))
-        bc.unpersist()
-    rows = [(p, FIRST_PIECE_ID + i, -1, None, None) for i, p in enumerate(alphabet)]
-    rows += [(a + b, FIRST_PIECE_ID + len(alphabet) + i, i, a, b) for i, (a, b) in enumerate(merges)]
-    specials = [(p, i, -1, None, None) for p, i in SPECIALS]
-    return spark.createDataFrame(specials + rows, "piece string, id int, rank int, left string, right string")
+    return found
+
+
+def train_bpe(counts: DataFrame, vocab_size: int = 16_000, min_freq: int = 2) -> DataFrame:
+    """BPE vocabulary (piece, id, rank, left, right): the characters, then the merges in their order; a merge joins its
+    left and its right symbol. Two merges may make one piece: encoding takes the first one's id."""
+    chars = marked_words(counts).select(F.explode(F.split("word", CHARS_RE, -1)).alias("c")).distinct()
+    alphabet = [r["c"] for r in chars.orderBy("c").collect()]
+    merges = bpe_merges(counts, _room(counts, vocab_size), min_freq)
+    rows = [(p, i, -1, None, None) for p, i in SPECIALS]
+    rows += [(p, FIRST_PIECE_ID + i, -1, None, None) for i, p in enumerate(alphabet)]
+    rows += [(a + b, FIRST_PIECE_ID + len(alphabet) + i, i, a, b) for i, (a, b, _) in enumerate(merges)]
+    return counts.sparkSession.createDataFrame(rows, "piece string, id int, rank int, left string, right string")
 
 
 def train_vocab(corpus: DataFrame, model_type: str = "unigram", vocab_size: int = 16_000, text_col: str = "text",

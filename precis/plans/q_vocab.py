@@ -20,6 +20,7 @@ VOCAB = 2000          # word vocabulary size for the checks (the reference defau
 WIDTH = 64            # encoded input width
 LABEL_WIDTH = 32      # encoded label width
 SUB_VOCAB = 400       # subword vocabulary size for the checks
+BPE_VOCAB = 140       # characters and some 100 merges: the SQL takes one at a time
 SUB_WIDTH, SUB_LABELS = DEFAULT.model_max_length, DEFAULT.max_summary_length
 
 _CORPUS_SQL = S.chain(DOCS, "t", S.preset_steps("module", False))
@@ -217,9 +218,29 @@ def vocab_unigram(spark, sf):
     return V.train_unigram(V.word_counts(_corpus(spark, sf)), vocab_size=SUB_VOCAB, seed_size=5000, rounds=1)
 
 
-@register("vocab_bpe")
+# words as runs of <symbol> marks, so that a merge is one replacement of all its occurrences
+_BPE_SQL = (
+    "WITH RECURSIVE chars AS MATERIALIZED (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i FROM (SELECT DISTINCT "
+    f"unnest(string_split(w, '')) AS c FROM ({_MARKED_SQL}))), "
+    f"start AS MATERIALIZED (SELECT list({{'w': list_aggregate(list_transform(string_split(w, ''), lambda c: chr(1) || c || chr(2)), "
+    f"'string_agg', ''), 'f': freq::BIGINT}}) AS ws FROM ({_MARKED_SQL})), "
+    "merged AS (SELECT 0 AS step, ws, NULL::VARCHAR AS a, NULL::VARCHAR AS b FROM start UNION ALL "
+    "SELECT step + 1, list_transform(ws, lambda x: {'w': replace(x.w, chr(1) || p.a || chr(2) || chr(1) || p.b || chr(2), "
+    "chr(1) || p.a || p.b || chr(2)), 'f': x.f}), p.a, p.b FROM (SELECT step, ws, (SELECT {'a': a, 'b': b} FROM ("
+    "SELECT s[k] AS a, s[k + 1] AS b, f FROM (SELECT s, f, unnest(range(1, len(s))) AS k FROM (SELECT "
+    "string_split(x.w[2:-2], chr(2) || chr(1)) AS s, x.f AS f FROM (SELECT unnest(m.ws) AS x)))) GROUP BY a, b HAVING sum(f) >= 2 "
+    "ORDER BY sum(f) DESC, a, b LIMIT 1) AS p FROM merged m WHERE step < "
+    f"{BPE_VOCAB - V.FIRST_PIECE_ID} - (SELECT count(*) FROM chars)) WHERE p IS NOT NULL) "
+    "SELECT piece, CAST(id AS INTEGER) AS id, CAST(rank AS INTEGER) AS rank FROM ("
+    "SELECT '<pad>' AS piece, 0 AS id, -1 AS rank UNION ALL SELECT '</s>', 1, -1 UNION ALL SELECT '<mask_1>', 2, -1 UNION ALL "
+    f"SELECT '<unk>', 3, -1 UNION ALL SELECT c, {V.FIRST_PIECE_ID} + i, -1 FROM chars UNION ALL "
+    f"SELECT a || b, {V.FIRST_PIECE_ID} + (SELECT count(*) FROM chars) + step - 1, step - 1 FROM merged WHERE step > 0)")
+
+
+@register("vocab_bpe", _BPE_SQL)
 def vocab_bpe(spark, sf):
-    return V.train_bpe(V.word_counts(_corpus(spark, sf)), vocab_size=SUB_VOCAB, merges_per_round=64)
+    """Characters and merges; the merges are the sequential ones (SQL takes them one at a time)."""
+    return V.train_bpe(V.word_counts(_corpus(spark, sf)), vocab_size=BPE_VOCAB).select("piece", "id", "rank")
 
 
 # the seed vocabulary: ids by frequency, ties by piece; {n}: how many substrings it holds beside the characters

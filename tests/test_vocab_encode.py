@@ -51,7 +51,7 @@ def test_unigram_invariants(spark):
 
 def test_bpe_invariants(spark):
     c = _corpus(spark)
-    vocab = V.train_bpe(V.word_counts(c), vocab_size=30, merges_per_round=4)
+    vocab = V.train_bpe(V.word_counts(c), vocab_size=30)
     rows = vocab.collect()
     assert len(rows) <= 30
     enc = E.encode_subword(c, vocab, {"text": 24}, mode="bpe").collect()
@@ -189,3 +189,24 @@ def test_unpadded_ids_come_back_whole(spark):
     assert all(r.text_ids[-1] == 1 and r.attention_mask == [1] * len(r.text_ids) and 0 not in r.text_ids for r in enc.collect())
     back = {r.doc_id: r.text for r in E.decode(enc, vocab, "text_ids", "unigram").collect()}
     assert back == {r.doc_id: r.text for r in c.collect()}
+
+
+def test_merges_equal_one_at_a_time(spark):
+    rng = random.Random(4)
+    for _ in range(3):
+        words = {"".join(rng.choices("abcd", k=rng.randint(1, 9))): rng.randint(1, 6) for _ in range(60)} | {"aaaaa": 3, "abab": 2}
+        counts = spark.createDataFrame(list(words.items()), "word string, freq long")
+        state = [(list(V.WORD_BOUNDARY + w), f) for w, f in words.items()]
+        want = []
+        while len(want) < 40:
+            pairs = collections.Counter()
+            for symbols, f in state:
+                for p in zip(symbols, symbols[1:]):
+                    pairs[p] += f
+            pairs = {p: n for p, n in pairs.items() if n >= 2}
+            if not pairs:
+                break
+            (a, b), n = min(pairs.items(), key=lambda x: (-x[1], x[0]))
+            want.append((a, b, n))
+            state = [(V.merge_pairs(symbols, {(a, b)}), f) for symbols, f in state]
+        assert V.bpe_merges(counts, 40) == want
