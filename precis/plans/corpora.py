@@ -106,9 +106,15 @@ def pretrain_records(docs: DataFrame, line_ids_col: str, vocab: DataFrame, lang:
                      mode: str = "contiguous", model: str = "word") -> DataFrame:
     """Crawl corpus -> L3 pairs -> encoded fixed-width ids (``model``: the vocabulary's, word, unigram or
     bpe) -> shard ids (in id order; ``mode`` contiguous or strided). Write with ``sinks.write_shards``."""
+    pairs = prepare_oscar(docs, line_ids_col, lang, id_col, text_col, opts)
+    return pair_records(pairs, vocab, id_col, opts, mode, model)
+
+
+def pair_records(pairs: DataFrame, vocab: DataFrame, id_col: str = "id", opts: Options = DEFAULT, mode: str = "strided",
+                 model: str = "word") -> DataFrame:
+    """Pairs (id, input, labels) -> encoded fixed-width ids -> shard ids. Write with ``sinks.write_mode_shards``."""
     from ..operators.encode import encode
     from ..operators.order import assign_shards
-    pairs = prepare_oscar(docs, line_ids_col, lang, id_col, text_col, opts)
     enc = encode(pairs, vocab, {"input": opts.model_max_length, "labels": opts.max_summary_length}, model,
                  id_col, "input")
     enc = enc.select(id_col, F.col("input_ids"), "attention_mask", F.col("labels_ids").alias("labels"))

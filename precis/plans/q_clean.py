@@ -9,6 +9,8 @@ from ..functions import nested as N
 from ..functions import text as T
 from ..operators import filters as FL
 from ..operators.gsg import gap_sentences
+from ..sources import readers as RD
+from . import corpora as C
 from . import derived as D
 from . import sql as S
 from .registry import register
@@ -37,6 +39,29 @@ def scan_filter_null(spark, sf):
     return FL.not_null(_docs(spark, sf)).select("doc_id", "lang", "source", "n_chars")
 
 
+@register("read_ids", "SELECT md5(text) || '-' || (row_number() OVER (PARTITION BY text ORDER BY doc_id) - 1) AS doc_id, text "
+          "FROM documents WHERE text IS NOT NULL")
+def read_ids(spark, sf):
+    """A2: the scan with ids that follow from the texts."""
+    return RD.read_docs(spark, f"{sf}/documents.parquet")
+
+
+@register("read_splits", "SELECT 'train' AS split, text FROM documents UNION ALL SELECT 'test', text FROM benchmark")
+def read_splits(spark, sf):
+    """A3 and A5: files by split, of which two are chosen."""
+    files = {"train": [f"{sf}/documents.parquet"], "test": [f"{sf}/benchmark.parquet"], "other": [f"{sf}/conversations.parquet"]}
+    return C.select_splits(RD.read_splits(spark, files, fmt="parquet"), ("train", "test")).select("split", "text")
+
+
+@register("columns_to_rows", "SELECT doc_id, unnest(l) AS line, unnest(list_transform(l, lambda x: length(x)))::INTEGER AS size "
+          "FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)")
+def columns_to_rows(spark, sf):
+    """Lists of equal length, a document's lines and their sizes, as rows."""
+    line = F.split("text", "\n", -1)
+    lists = _docs(spark, sf).where("text IS NOT NULL").select("doc_id", line.alias("line"), F.transform(line, F.length).alias("size"))
+    return RD.columns_to_rows(lists, ["line", "size"], keep=["doc_id"])
+
+
 # --- C1 .. C12 one at a time -------------------------------------------------------------
 
 @register("clean_lower", S.chain(DOCS, "t", [S.s_lower]))

@@ -13,8 +13,8 @@ from ..operators.gsg import gap_sentences
 from ..options import DEFAULT
 from . import sql as S
 from .q_clean import DOCS, _docs
-from .q_gsg import gsg_pairs_sql
-from .registry import register
+from .q_gsg import gsg_pairs_sql, rouge_n_sql
+from .registry import ORACLE, register
 
 VOCAB = 2000          # word vocabulary size for the checks (the reference default is 16,000)
 WIDTH = 64            # encoded input width
@@ -334,3 +334,64 @@ def pretrain_records(spark, sf):
     r = C.pretrain_records(d, "meta_li", vocab, lang="en", opts=opts)
     return r.select("doc_id", _csv("input_ids").alias("input_ids"), _csv("attention_mask").alias("mask"),
                     _csv("labels").alias("labels"), "shard")
+
+
+# --- L4 + B5: pairs -> encoded shard records --------------------------------------------------------
+
+def _xlsum_records_sql() -> str:
+    pairs = ORACLE["prep_xlsum"]
+    inp = _encode_sql(f"SELECT doc_id, input FROM ({pairs})", "input", SUB_WIDTH, True)
+    lab = _encode_sql(f"SELECT doc_id, labels FROM ({pairs})", "labels", SUB_LABELS, False)
+    n = f"(SELECT CAST(ceil(count(*) / {_REC_ROWS}) AS BIGINT) FROM ({pairs}))"
+    return (f"SELECT i.doc_id, i.ids AS input_ids, i.mask, l.ids AS labels, "
+            f"CAST((row_number() OVER (ORDER BY i.doc_id) - 1) % {n} AS INTEGER) AS shard "
+            f"FROM ({inp}) i JOIN ({lab}) l ON i.doc_id = l.doc_id")
+
+
+@register("xlsum_records", _xlsum_records_sql())
+def xlsum_records(spark, sf):
+    """Cleaned and cut pairs, encoded at the default widths, in strided shards."""
+    from dataclasses import replace as _replace
+
+    from . import corpora as C
+    from .registry import QUERIES
+    pairs = cut_lineage(QUERIES["prep_xlsum"](spark, sf))
+    vocab = V.word_vocab(V.word_counts(_corpus_saved(spark, sf)), VOCAB)
+    r = C.pair_records(pairs, vocab, "doc_id", _replace(DEFAULT, rows_per_shard=_REC_ROWS))
+    return r.select("doc_id", _csv("input_ids").alias("input_ids"), _csv("attention_mask").alias("mask"),
+                    _csv("labels").alias("labels"), "shard")
+
+
+# --- L8 from encoded records: decode, extract candidates, score, report ------------------------------
+
+_DECODED = "SELECT doc_id, string_agg(tok, ' ' ORDER BY pos) AS {c} FROM (SELECT doc_id, unnest(range(1, len(tk) + 1)) AS pos, " \
+           "unnest(tk) AS tok FROM (SELECT doc_id, (regexp_extract_all({c}, {w}))[1:{n}] AS tk FROM ({src}))) s " \
+           "JOIN ({vocab}) v ON v.piece = s.tok AND v.id >= 4 GROUP BY doc_id"
+
+
+def _decoded_sql() -> str:
+    pairs = ORACLE["prep_xlsum"]
+    a, b = (_DECODED.format(c=c, w=_WORDS, n=n - 1, src=pairs, vocab=_VOCAB_SQL) for c, n in (("input", SUB_WIDTH), ("labels", SUB_LABELS)))
+    both = (f"SELECT p.doc_id, coalesce(i.input, '') AS pred, coalesce(l.labels, '') AS gold FROM ({pairs}) p "
+            f"LEFT JOIN ({a}) i ON i.doc_id = p.doc_id LEFT JOIN ({b}) l ON l.doc_id = p.doc_id")
+    # the prediction: the article's first words, as many as the labels' width holds
+    src = f"SELECT doc_id, array_to_string((string_split(pred, ' '))[1:{SUB_LABELS - 1}], ' ') AS pred, gold FROM ({both})"
+    return (f"SELECT s.doc_id, s.gold, s.pred, r1.rouge1, r2.rouge2, rl.rougeL FROM ({src}) s "
+            f"JOIN ({rouge_n_sql(src, 1, key='doc_id')}) r1 ON r1.doc_id = s.doc_id "
+            f"JOIN ({rouge_n_sql(src, 2, key='doc_id')}) r2 ON r2.doc_id = s.doc_id "
+            f"JOIN ({S.rouge_l_sql(src, 'pred', 'gold', ['doc_id'])}) rl ON rl.doc_id = s.doc_id")
+
+
+@register("eval_decoded", _decoded_sql())
+def eval_decoded(spark, sf):
+    """Encoded records are decoded again; the first words of each article are scored against its decoded summary."""
+    from ..operators import rouge as R
+    from . import corpora as C
+    from .registry import QUERIES
+    pairs = cut_lineage(QUERIES["prep_xlsum"](spark, sf))
+    vocab = V.word_vocab(V.word_counts(_corpus_saved(spark, sf)), VOCAB)
+    records = cut_lineage(C.pair_records(pairs, vocab, "doc_id"))
+    article = E.decode(records, vocab, "input_ids", out_col="article")
+    gold = E.decode(records, vocab, "labels", out_col="gold")
+    pred = T.truncate_words(F.col("article"), SUB_LABELS - 1, "space").alias("pred")
+    return R.score_pairs(article.join(gold, "doc_id").select("doc_id", "gold", pred), "doc_id")

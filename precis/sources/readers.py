@@ -9,21 +9,40 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..schemas import RAW_JSON_TEXT
 
 
+def content_ids(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``df`` with an id that follows from the text alone: its MD5 and, for the copies of one text, their number from 0
+    (``<md5>-0``, ``<md5>-1``, ..). The same rows in other files, or split in another way, get the same ids.
+
+    Copies are alike, so any numbering will do: a row's number is its place among the copies in its input partition plus
+    the copies in earlier partitions. A text that fills a third of the table is so dealt by partition, not by text."""
+    rows = df.withColumn("_digest", F.md5(F.col(text_col))).withColumn("_part", F.spark_partition_id())
+    here = Window.partitionBy("_digest", "_part")
+    counts = rows.groupBy("_digest", "_part").agg(F.count("*").alias("_n"))
+    # one row for each partition that holds the text; only texts in several partitions need an offset
+    before = Window.partitionBy("_digest").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.sum("_n").over(before)).where("_before IS NOT NULL").select("_digest", "_part", "_before")
+    numbered = rows.withColumn("_at", F.row_number().over(here.orderBy("_digest")) - 1)
+    number = F.col("_at") + F.coalesce("_before", F.lit(0))
+    return numbered.join(offsets, ["_digest", "_part"], "left").withColumn(
+        id_col, F.concat_ws("-", "_digest", number.cast("string"))).drop("_digest", "_part", "_at", "_before")
+
+
 def read_docs(spark: SparkSession, path: str | list[str], fmt: str = "parquet", text_col: str = "text",
               id_col: str | None = None, schema: StructType | str | None = None,
-              options: dict | None = None) -> DataFrame:
+              options: dict | None = None, ids: str = "content") -> DataFrame:
     """A1/A2: JSON lines (plain, gzip or zstd -- decompressed by Spark's codecs) or
     Parquet; keeps rows whose text is not NULL. Output (doc_id, text).
 
-    Without an id column the id is ``monotonically_increasing_id()``: it depends only on
-    the input splits, which are the same on every recomputation of the same files."""
+    ``id_col`` names an id of any type, taken as it is. Without one, ``ids`` says what ids are made of: ``content``
+    (see ``content_ids``; one shuffle) or ``file`` (Parquet: the file's name and the row's place in it; no shuffle, the
+    same for every split of the same files)."""
     reader = spark.read.options(**(options or {}))
     if fmt == "json":
         df = reader.schema(schema or RAW_JSON_TEXT).json(path)
@@ -34,8 +53,16 @@ def read_docs(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
     else:
         raise ValueError(fmt)
     df = df.where(F.col(text_col).isNotNull())
-    ident = F.col(id_col).cast("bigint") if id_col else F.monotonically_increasing_id()
-    return df.select(ident.alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col).alias("text")
+    if id_col:
+        return df.select(F.col(id_col).alias("doc_id"), text)
+    if ids == "file":
+        if fmt != "parquet":
+            raise ValueError("only Parquet rows have a place in their file")
+        return df.select(F.concat_ws(":", "_metadata.file_name", F.col("_metadata.row_index").cast("string")).alias("doc_id"), text)
+    if ids != "content":
+        raise ValueError(f"unknown ids {ids!r}")
+    return content_ids(df.select(text)).select("doc_id", "text")
 
 
 def read_splits(spark: SparkSession, files: dict[str, list[str]], schema: StructType | str | None = None,

@@ -142,3 +142,46 @@ def test_remaining_sinks_and_text_source(spark):
     assert spark.read.text(f"{d}/b9").count() == 3
     txt = RD.read_docs(spark, f"{d}/b9", fmt="text")
     assert txt.count() == 3 and txt.columns == ["doc_id", "text"]
+
+
+def test_ids_do_not_follow_the_layout(spark):
+    d = _tmp()
+    texts = ["same"] * 40 + [f"text {i % 7}" for i in range(30)] + ["", "once", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    df.repartition(2).write.parquet(f"{d}/few")
+    df.repartition(9).write.parquet(f"{d}/many")
+    one, other = (sorted(map(tuple, RD.read_docs(spark, f"{d}/{x}").collect())) for x in ("few", "many"))
+    assert one == other and len({i for i, _ in one}) == len(one) == 72
+    assert [i.split("-")[1] for i, t in one if t == "once"] == ["0"]
+    files = RD.read_docs(spark, f"{d}/few", ids="file")
+    assert len({r.doc_id for r in files.collect()}) == 72 and "Exchange" not in files._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_of_any_type_are_kept(spark):
+    d = _tmp()
+    spark.createDataFrame([("a", "x"), ("", "y"), (None, "z")], "id string, text string").write.parquet(f"{d}/p")
+    got = RD.read_docs(spark, f"{d}/p", id_col="id")
+    assert got.schema["doc_id"].dataType.simpleString() == "string"
+    assert sorted((r.doc_id or "", r.text) for r in got.collect()) == [("", "y"), ("", "z"), ("a", "x")]
+
+
+def test_a_write_that_fails_midway_resumes_by_its_manifest(spark):
+    import shutil
+    d = _tmp()
+    df = spark.range(100).select("id", (F.col("id") % 4).cast("int").alias("shard"))
+    bad = df.withColumn("id", F.when(F.col("shard") == 2, F.raise_error(F.lit("lost")).cast("bigint")).otherwise(F.col("id")))
+    try:
+        SK.write_mode_shards(bad, f"{d}/s", "train")
+        raise AssertionError("the write of shard 2 must fail")
+    except Exception as e:
+        assert "lost" in str(e)
+    assert set(SK.read_manifest(spark, f"{d}/s")) == {"train_0", "train_1"}
+    assert SK.write_mode_shards(df, f"{d}/s", "train") == ["train_2", "train_3"]
+    assert SK.write_mode_shards(df, f"{d}/s", "train") == []
+    spark.range(3).write.mode("overwrite").parquet(f"{d}/s/train_1")  # another job's rows
+    os.remove(f"{d}/s/train_3/_SUCCESS")
+    assert SK.write_mode_shards(df, f"{d}/s", "train") == ["train_1", "train_3"]
+    assert SK.write_mode_shards(df.where("shard = 0"), f"{d}/s", "val") == ["val_0"]
+    back = SK.read_mode_shards(spark, f"{d}/s", "train", [3, 0])
+    assert sorted((r.place, r.id % 4) for r in back.collect()) == [(0, 3)] * 25 + [(1, 0)] * 25
+    assert sum(SK.read_mode_shards(spark, f"{d}/s", "train", [i]).count() for i in range(4)) == 100
