@@ -8,6 +8,8 @@ the capacity. Pieces are numbered within their length in Spark, and each looks i
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 import zlib
 from itertools import repeat
@@ -46,7 +48,14 @@ class WordIds:
         if self.tok is None:
             from tokenizers import Tokenizer
             self.tok = Tokenizer.from_str(self.json)
-            self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+            self.tok.encode_special_tokens = True  # added tokens are found in the raw text, before it is lower-cased
+            self.added = {}
+            for t in json.loads(self.json)["added_tokens"]:
+                if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]:
+                    raise ValueError(f"added token {t['content']!r} is not matched as it stands")
+                self.added[b" " + t["content"].encode()] = t["id"]  # as a word: the space keeps it apart from all others
+            found = b"|".join(re.escape(t[1:]) for t in sorted(self.added, key=len, reverse=True))
+            self.split_added = re.compile(b"(" + found + b")").split if found else None
         self.index: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
@@ -78,9 +87,20 @@ class WordIds:
         k = self.index[word] if word in self.index else self._add(word)
         return self.flat[self.at[k]:self.at[k] + self.size[k]]
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """The text's lower-cased words; an added token, which splits the text wherever it stands, is a word too."""
+        if self.tok is None:
+            self._start()
+        parts = self.split_added(text) if self.split_added else [text]
+        if len(parts) == 1:
+            return text.translate(_LOWER).split()
+        return [w for i, p in enumerate(parts) for w in ([b" " + p] if i % 2 else p.translate(_LOWER).split())]
+
     def _add(self, word: bytes) -> int:
         body = word.rstrip(_TRAIL)
-        if body != word and body[-1:].isalnum():  # an ASCII letter or digit before ASCII punctuation ends a piece
+        if word in self.added:
+            ids = [self.added[word]]
+        elif body != word and body[-1:].isalnum():  # an ASCII letter or digit before ASCII punctuation ends a piece
             ids = np.concatenate((self._known(body), self._known(word[len(body):])))
         else:
             ids = self._ids(word)
@@ -125,9 +145,9 @@ class WordIds:
                 if counts:
                     yield from flush()
                     words, counts, held = [], [], 0
-                yield np.concatenate([self._encode(part.translate(_LOWER).split())[0] for part in _slices(d)])
+                yield np.concatenate([self._encode(self._words(part))[0] for part in _slices(d)])
                 continue
-            w = d.translate(_LOWER).split()
+            w = self._words(d)
             words += w
             counts.append(len(w))
             held += len(d)

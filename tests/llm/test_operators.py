@@ -32,7 +32,8 @@ def texts():
     out = [prose(rng, rng.randint(1, 150)) for _ in range(40)]
     out += [prose(rng, 30) + "\n" + shared + " " + prose(rng, 40) for _ in range(5)]
     out += [base, base, base.replace("the", "The", 1), base + " end", base.upper()]
-    out += [None, "", "  \n ", "x", "x", "a" * 5000, "ab " * 900, prose(rng, 20000), "tab\tand\x0bmore", "É" * 500]
+    out += [None, "", "  \n ", "x", "x", "a" * 5000, "ab " * 900, prose(rng, 20000), "tab\tand\x0bmore", "É" * 500,
+            "a <|endoftext|> b", "x<|startoftext|>Y<|ENDOFTEXT|>z"]
     return out
 
 
@@ -124,7 +125,6 @@ def tokenizer_path():
 def test_pieces_equal_the_tokenizer(docs):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     want = []
     for i, t in rows_of(docs.select("doc_id", "text")):
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
@@ -136,7 +136,6 @@ def test_pieces_equal_the_tokenizer(docs):
 def test_word_ids_on_odd_words():
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     words = ["it's", "'s.", "x.y", "a...", "?!", "1.", "12,", "ÀÉ", "é", "İ", "ß.", "日本。", "<|endoftext|>", "\x1cab", "a b",
              "don't!", "ǅ", "ŉ", "ﬁ", "Σας", "--", ".'s", "\x01", "naïve,", "퟿", "ª", "º.", "Å"]
     rng = random.Random(1)
