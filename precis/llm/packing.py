@@ -24,7 +24,7 @@ from .common import ragged, settle, shuffle_partitions, texts
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TRAIL = b".,;:!?|"
-_SLICE = 4 << 20  # bytes of text tokenised at once
+_SLICE = 2 << 20  # bytes of text tokenised at once
 
 # byte-level alphabet of the tokenizer family: printable bytes stand for themselves, the rest for 256, 257, ..
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,7 +38,7 @@ class WordIds:
     Travels to the workers as a broadcast variable (the tokenizer's JSON text); the memory of words is rebuilt
     there. Beyond ``max_words`` it forgets the words met once, so that it stays bounded."""
 
-    def __init__(self, tokenizer_json: str, max_words: int = 500_000):
+    def __init__(self, tokenizer_json: str, max_words: int = 400_000):
         self.json, self.max_words, self.tok = tokenizer_json, max_words, None
 
     def __getstate__(self):
