@@ -3,9 +3,10 @@
 A seed reads some words of a window and ignores the others, so a substituted word at an ignored place leaves the
 window's hash as it is. SEEDS lose nothing: wherever words are substituted, a stretch of LEAST matches net of substitutions
 holds a whole window with one of them (``tests/llm`` walks through all patterns), so no overlap goes without a hit. The
-hashes of all windows of all items and all documents under every seed are joined; around each
-hit the item and the document are laid side by side and scored word by word (a match adds one, a substitution takes one
-away); the best stretch counts as the overlap. Whole texts are read, and nothing is shuffled but the verified hits.
+hashes of all windows of all items and all documents under every seed are joined. A hit that follows on a hit of its seed
+one word before goes at once; for those that start a run the whole item and the document are laid side by side and scored
+word by word (a match adds one, a substitution takes one away); the best stretch counts as the overlap. Whole texts are
+read, and nothing is shuffled but scores.
 
 Item seeds are broadcast in blocks of bounded size; more items mean more blocks, each with a pass over the documents."""
 
@@ -19,10 +20,7 @@ from pyspark.sql import functions as F
 from .common import settle
 
 SPAN = 10
-MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 5, 6, 8, 9))  # words that the SQL reads of a window of SPAN
-# words read here: the first two are parts of MASKS, so hits of MASKS are among the hits
-SEEDS = ((0, 1, 3, 7), (0, 5, 6, 9), (0, 2, 7, 9), (0, 1, 3, 6), (0, 3, 4, 5))
-AROUND = 32  # words laid side by side on each side of a hit
+SEEDS = ((0, 1, 3, 7), (0, 5, 6, 9), (0, 2, 7, 9), (0, 1, 3, 6), (0, 3, 4, 5))  # words read of a window of SPAN
 LEAST = 10  # matches less substitutions that make an overlap
 BLOCK = 500_000  # item seeds broadcast at once
 NOT_WORD = r"[\x00-/:-@\[-`{-\x7f]+"  # ASCII that is no letter or digit
@@ -37,29 +35,30 @@ def _hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(hashes: str) -> Column:
-    """Hashes of every window under every seed, seed by seed."""
-    last = F.size(hashes) - SPAN
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-
-    def under(k: int, seed: tuple[int, ...]) -> Column:
-        return F.transform(at, lambda i: F.xxhash64(F.lit(k), *[F.get(hashes, i + o) for o in seed]))
-
-    return F.concat(*[under(k, seed) for k, seed in enumerate(SEEDS)])
+def _windows(df: DataFrame, keep: list[str], at: str) -> DataFrame:
+    """One row per window and seed: ``keep``, _h, ``at`` (first word), _k (number of the seed) and seed (hash)."""
+    last = F.size("_h") - SPAN
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    rows = df.select(*keep, "_h", F.explode(starts).alias(at))
+    hashes = [F.xxhash64(F.lit(k), *[F.get("_h", F.col(at) + o) for o in seed]) for k, seed in enumerate(SEEDS)]
+    return rows.select(*keep, "_h", at, F.posexplode(F.array(*hashes)).alias("_k", "seed"))
 
 
-def _windows(df: DataFrame, keep: list[str], at: str) -> DataFrame:
-    """One row per window and seed: ``keep``, _h, ``at`` (first word) and seed."""
-    rows = df.select(*keep, "_h", F.posexplode(_seeds("_h")).alias("_pos", "seed"))
-    return rows.withColumn(at, F.pmod(F.col("_pos"), F.size("_h") - SPAN + 1)).drop("_pos")
+def _starts_run() -> Column:
+    """Whether the same seed does not match one word before. Kept short: the join's generated method has to be one that
+    the JVM compiles (8,000 bytes)."""
+    places = F.get(F.array(*[F.array(*map(F.lit, seed)) for seed in SEEDS]), F.col("_k"))
+    same = [F.get("_h", F.col("p") - 1 + F.get(places, F.lit(j))) == F.get("_item", F.col("q") - 1 + F.get(places, F.lit(j)))
+            for j in range(len(SEEDS[0]))]
+    return ~F.coalesce(reduce(Column.__and__, same), F.lit(False))
 
 
 def _overlap() -> Column:
-    """Best score of a stretch around the hit, and its number of matches."""
-    low = F.greatest(F.lit(0), F.col("q") - AROUND)
-    high = F.least(F.size("_item"), F.col("q") + SPAN + AROUND) - 1
-    same = F.transform(F.sequence(low, high), lambda i: F.coalesce(
-        F.get("_item", i) == F.get("_h", i + F.col("p") - F.col("q")), F.lit(False)))
+    """Best score of a stretch of all word pairs that lie side by side when word q of the item lies beside word p."""
+    low = F.greatest(F.lit(0), F.col("q") - F.col("p"))
+    length = F.least(F.size("_item"), F.size("_h") + F.col("q") - F.col("p")) - low
+    same = F.zip_with(F.slice("_item", low + 1, length), F.slice("_h", low + F.col("p") - F.col("q") + 1, length),
+                      lambda a, b: a == b)
 
     def step(s, match):
         now = F.greatest(F.lit(0), s["now"] + F.when(match, 1).otherwise(-1))
@@ -71,11 +70,12 @@ def _overlap() -> Column:
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(_id, _digest, item_id, overlap, n_items) for each text that holds benchmark passages: the item with the largest
-    overlap (then the smallest id) and how many items overlap. _digest is a hash of the text, so that rows that
-    repeat an id are told apart.
+    overlap (then the smallest id, of any type) and how many items overlap. _digest is a hash of the text, so that rows
+    that repeat an id are told apart.
 
-    An overlap is LEAST matches net of substitutions in a row of word pairs, of which AROUND on each side of a hit are
-    looked at. Items and texts under SPAN words have no windows and never match, nor could they reach LEAST; null texts are empty; repeated items and rows count once; empty tables give no rows."""
+    An overlap is LEAST matches net of substitutions in a row of word pairs, of any length. Items and texts under SPAN
+    words have no windows and never match, nor could they reach LEAST; null texts are empty; repeated items and rows count
+    once; empty tables give no rows."""
     item_rows = settle(items.select(F.col(item_col).alias("item_id"), _hashes(F.col(item_text)).alias("_h"))
                        .where(F.size("_h") >= SPAN).distinct()
                        .withColumn("_n", F.xxhash64("item_id", "_h")))
@@ -87,20 +87,22 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     for k in range(blocks):
         block = item_rows.where(F.pmod("_n", F.lit(blocks)) == k)
         seeds = _windows(block, ["_n"], "q").select("seed", "q", "_n")
-        texts_ = block.select("_n", "item_id", F.col("_h").alias("_item"))
+        texts_ = block.select(F.col("_n").alias("_m"), "item_id", F.col("_h").alias("_item"))
         hits = (_windows(doc_rows, ["_id", "_digest"], "p")
                 .join(F.broadcast(seeds), "seed")  # BLOCK rows or about
-                .join(F.broadcast(texts_), "_n"))
-        found.append(hits.select("_id", "_digest", "item_id", _overlap().alias("overlap")).where(F.col("overlap") >= LEAST))
-    best = reduce(DataFrame.unionAll, found).groupBy("_id", "_digest", "item_id").agg(F.max("overlap").alias("overlap"))
+                .join(F.broadcast(texts_), (F.col("_n") == F.col("_m")) & _starts_run()))
+        found.append(hits.select("_id", "_digest", "item_id", _overlap().alias("overlap")))
+    best = (reduce(DataFrame.unionAll, found).groupBy("_id", "_digest", "item_id").agg(F.max("overlap").alias("overlap"))
+            .where(F.col("overlap") >= LEAST))
     return best.groupBy("_id", "_digest").agg(
-        F.max(F.struct("overlap", (-F.col("item_id")).alias("i"))).alias("top"), F.count("*").alias("n_items")).select(
-        "_id", "_digest", (-F.col("top.i")).alias("item_id"), F.col("top.overlap").alias("overlap"), "n_items")
+        F.min_by("item_id", F.struct(-F.col("overlap"), F.col("item_id"))).alias("item_id"),
+        F.max("overlap").alias("overlap"), F.count("*").alias("n_items"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   **settings) -> DataFrame:
-    """(``id_col``, contaminated, item_id, overlap, n_items) for every row; the last three are null or 0 if clean."""
+    """(``id_col``, contaminated, item_id, overlap, n_items) for every row; the last three are null or 0 if clean. Null and
+    empty texts are clean; repeated rows stay; no documents give no rows, and without items all rows are clean."""
     found = overlaps(docs, items, id_col, text_col, **settings)
     rows = docs.select(F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_d"))
     return (rows.join(found, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")), "left")
@@ -111,7 +113,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       **settings) -> DataFrame:
-    """The rows of ``docs`` without benchmark passages, all columns as they are."""
+    """The rows of ``docs`` without benchmark passages, all columns as they are. Null and empty texts stay, repeated rows
+    stay or go together; an empty table stays empty, and without items all rows stay."""
     found = overlaps(docs, items, id_col, text_col, **settings)
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(id_col).alias("_i"),
                          F.xxhash64(text_col).alias("_d"))

@@ -1,33 +1,24 @@
 """Query of the benchmark decontamination, with its SQL."""
 
 from .common import table
-from .decontaminate import AROUND, LEAST, MASKS, NOT_WORD, SPAN, contamination
+from .decontaminate import LEAST, NOT_WORD, contamination
 from .registry import register
 
-
-def _windows(source: str, key: str) -> str:
-    masks = "\nUNION ALL ".join(
-        f"SELECT {key}, {k} AS mask, unnest(range(1, len(w) - {SPAN} + 2)) AS p, "
-        f"unnest(list_transform(range(1, len(w) - {SPAN} + 2), lambda i: [{', '.join(f'w[i + {o}]' for o in m)}])) AS seed "
-        f"FROM {source} WHERE len(w) >= {SPAN}" for k, m in enumerate(MASKS))
-    return masks
-
-
 _PATTERN = NOT_WORD.replace("\\x00", "\\x01")  # DuckDB's texts hold no NUL
+_WORDS = f"list_filter(string_split_regex(lower(coalesce(text, '')), '{_PATTERN}'), lambda x: x <> '')"
+# Without seeds: all equal words of a text and an item, way by way to lay one beside the other (shift). Of matches i to j of
+# a way, in order, j - i + 1 count for and the other places between them against a stretch.
 SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(lower(coalesce(text, '')),
-             '{_PATTERN}'), lambda x: x <> '') AS w FROM documents),
-i AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{_PATTERN}'), lambda x: x <> '') AS w
-      FROM benchmark),
-ds AS ({_windows('d', 'doc_id')}),
-s AS ({_windows('i', 'item_id')}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.p AS p, s.p AS q FROM ds JOIN s ON ds.mask = s.mask AND ds.seed = s.seed),
-side AS (SELECT hits.doc_id, hits.item_id, list_transform(
-    range(greatest(1, q - {AROUND}), least(len(i.w), q + {SPAN} + {AROUND} - 1) + 1),
-    lambda k: CASE WHEN k + p - q >= 1 AND i.w[k] = d.w[k + p - q] THEN 1 ELSE -1 END) AS m
-  FROM hits JOIN d USING (doc_id) JOIN i USING (item_id)),
-scored AS (SELECT doc_id, item_id, max(list_reduce(list_prepend([0, 0], list_transform(m, lambda x: [x, 0])),
-    lambda a, x: [greatest(0, a[1] + x[1]), greatest(a[2], a[1] + x[1])])[2]) AS overlap FROM side GROUP BY ALL),
+WITH d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p
+           FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+i AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+pairs AS (SELECT doc_id, item_id, p - q AS shift, p, count(*) OVER (PARTITION BY doc_id, item_id, p - q) AS n
+          FROM d JOIN i USING (word)),
+ranked AS (SELECT doc_id, item_id, shift, p, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) AS j
+           FROM pairs WHERE n >= {LEAST}),
+stretches AS (SELECT doc_id, item_id, 2 * j - p + 1
+                - min(2 * j - p) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) AS score FROM ranked),
+scored AS (SELECT doc_id, item_id, max(score) AS overlap FROM stretches GROUP BY ALL),
 best AS (SELECT doc_id, arg_min(item_id, (-overlap, item_id)) AS item_id, max(overlap) AS overlap, count(*) AS n_items
          FROM scored WHERE overlap >= {LEAST} GROUP BY doc_id)
 SELECT doc_id, best.overlap IS NOT NULL AS contaminated, item_id, coalesce(overlap, 0)::INT AS overlap,

@@ -385,7 +385,6 @@ def test_seeds_miss_no_pattern_of_substitutions():
                 assert state[1] < decontaminate.LEAST
                 seen.add(state)
                 todo.append(state)
-    assert all(any(set(s) <= set(m) for s in decontaminate.SEEDS) for m in decontaminate.MASKS)
 
 
 def test_decontamination_against_scores_alone(spark):
@@ -415,6 +414,26 @@ def test_decontamination_against_scores_alone(spark):
     assert got == want and 100 < len(want) < len(rows)
 
 
+def test_decontamination_scores_whole_passages_and_takes_any_item_id(spark):
+    rng = random.Random(13)
+    passage = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    other = [w if i % 7 else f"y{i}" for i, w in enumerate(passage)]
+    df = spark.createDataFrame([("b", " ".join(passage), 1), ("a", " ".join(passage), 1), ("c", " ".join(other), 1),
+                                (None, " ".join(passage[:40]), 1)], "item_id string, text string, _h int")
+    rows = [(1, "x " * 50 + " ".join(passage) + " x" * 50, 7), (2, " ".join(passage[150:]), 7), (3, "x " * 300, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n int")
+    got = {r.doc_id: (r.item_id, r.overlap, r.n_items) for r in contamination(docs, df).collect()}
+    assert got == {1: ("a", 200, 4), 2: ("a", 50, 3), 3: (None, 0, 0)}
+
+
+def test_decontamination_of_a_periodic_text(spark):
+    """20,000 equal words beside 100 equal words: every way to lay them is scored once."""
+    docs = spark.createDataFrame([(1, "w " * 20_000), (2, "v w " * 5_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "w " * 100), (2, "v w " * 30)], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.overlap, r.n_items) for r in contamination(docs, items).collect()}
+    assert got == {1: (1, 100, 1), 2: (2, 60, 1)}
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(300, 8))

@@ -40,7 +40,7 @@ def test_stages_on_an_empty_table_and_odd_rows(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
 
 
@@ -55,24 +55,22 @@ def _worst_passage(model, text):
 
 
 def _contaminated(text, items):
-    """Whether an item's window agrees with the text's at a mask's places and the stretch around scores enough."""
-    h = [w for w in re.split(decontaminate.NOT_WORD, text.lower()) if w]
-    seeds = {}
-    for p in range(len(h) - decontaminate.SPAN + 1):
-        for k, mask in enumerate(decontaminate.MASKS):
-            seeds.setdefault((k, *[h[p + o] for o in mask]), []).append(p)
+    """Whether a stretch of a way to lay an item beside the text scores enough, without seeds."""
+    at = {}
+    for p, w in enumerate(w for w in re.split(decontaminate.NOT_WORD, text.lower()) if w):
+        at.setdefault(w, []).append(p)
     for item in items:
-        for q in range(len(item) - decontaminate.SPAN + 1):
-            for k, mask in enumerate(decontaminate.MASKS):
-                for p in seeds.get((k, *[item[q + o] for o in mask]), ()):
-                    now = best = 0
-                    for i in range(max(0, q - decontaminate.AROUND),
-                                   min(len(item), q + decontaminate.SPAN + decontaminate.AROUND)):
-                        j = i + p - q
-                        now = max(0, now + (1 if 0 <= j < len(h) and h[j] == item[i] else -1))
-                        best = max(best, now)
-                    if best >= decontaminate.LEAST:
-                        return True
+        ways = {}
+        for q, w in enumerate(item):
+            for p in at.get(w, ()):
+                ways.setdefault(p - q, []).append(q)
+        for places in ways.values():
+            now, before = 0, None
+            for q in places:
+                now = 1 + max(0, now - (q - before - 1)) if before is not None else 1
+                before = q
+                if now >= decontaminate.LEAST:
+                    return True
     return False
 
 
