@@ -53,18 +53,27 @@ def _starts_run() -> Column:
     return ~F.coalesce(reduce(Column.__and__, same), F.lit(False))
 
 
+def _side_by_side(hits: DataFrame) -> DataFrame:
+    """_a and _b: all words of item and document that lie side by side when word q lies beside word p. Cut out before
+    the row leaves the join, so that no row carries a whole document."""
+    shift = F.col("p") - F.col("q")
+    low = F.greatest(F.lit(0), -shift)
+    length = F.least(F.size("_item"), F.size("_h") - shift) - low
+    return hits.select("_id", "_digest", "item_id", F.slice("_item", low + 1, length).alias("_a"),
+                       F.slice("_h", low + shift + 1, length).alias("_b"))
+
+
 def _overlap() -> Column:
-    """Best score of a stretch of all word pairs that lie side by side when word q of the item lies beside word p."""
-    low = F.greatest(F.lit(0), F.col("q") - F.col("p"))
-    length = F.least(F.size("_item"), F.size("_h") + F.col("q") - F.col("p")) - low
-    same = F.zip_with(F.slice("_item", low + 1, length), F.slice("_h", low + F.col("p") - F.col("q") + 1, length),
-                      lambda a, b: a == b)
+    """Best score of a stretch of _a and _b; null where they are too short for one (_a and _b stand here twice each, so
+    that the optimizer leaves them in a projection of their own, inside the generated code)."""
+    same = F.zip_with("_a", "_b", lambda a, b: a == b)
 
     def step(s, match):
         now = F.greatest(F.lit(0), s["now"] + F.when(match, 1).otherwise(-1))
         return F.struct(now.alias("now"), F.greatest(s["best"], now).alias("best"))
 
-    return F.aggregate(same, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), step, lambda s: s["best"])
+    best = F.aggregate(same, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), step, lambda s: s["best"])
+    return F.when((F.size("_a") >= LEAST) & (F.size("_b") >= LEAST), best)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -91,7 +100,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         hits = (_windows(doc_rows, ["_id", "_digest"], "p")
                 .join(F.broadcast(seeds), "seed")  # BLOCK rows or about
                 .join(F.broadcast(texts_), (F.col("_n") == F.col("_m")) & _starts_run()))
-        found.append(hits.select("_id", "_digest", "item_id", _overlap().alias("overlap")))
+        found.append(_side_by_side(hits).select("_id", "_digest", "item_id", _overlap().alias("overlap")))
     best = (reduce(DataFrame.unionAll, found).groupBy("_id", "_digest", "item_id").agg(F.max("overlap").alias("overlap"))
             .where(F.col("overlap") >= LEAST))
     return best.groupBy("_id", "_digest").agg(
