@@ -61,6 +61,67 @@ def with_index(df: DataFrame, id_col: str, seed: int, buckets: int | None = None
     return out.drop("_okey", "_bucket", "_rn", "_off", "_total")
 
 
+def nth_key(df: DataFrame, key_col: str, n: int, digits: int = 4, few: int = 10_000) -> str | None:
+    """The ``n``-th smallest hash (from 1, repeats counted) of a hex column; None where the table has fewer rows.
+
+    Radix selection: rows are counted by their next ``digits`` hex digits (at most 16 ** digits numbers, summed per
+    partition first), and only the digits that hold the n-th row are looked into further. One pass over the keys does for
+    up to some 6e8 rows; no row is moved but the last ``few`` at most."""
+    if n < 1:
+        return None
+    prefix, width = "", 32
+    while len(prefix) < width:
+        rows = df.where(F.col(key_col).startswith(prefix)) if prefix else df
+        head = F.substring(key_col, 1, len(prefix) + digits).alias("head")
+        counts = sorted((r["head"], r["n"]) for r in rows.groupBy(head).agg(F.count(F.lit(1)).alias("n")).collect())
+        for head, count in counts:
+            if n <= count:
+                break
+            n -= count
+        else:
+            return None
+        prefix = head
+        if count <= few:
+            last = df.where(F.col(key_col).startswith(prefix)).select(key_col).orderBy(key_col).limit(n).collect()
+            return last[-1][0]
+    return prefix
+
+
+def batched_splits(df: DataFrame, id_col: str, val_size: int, batch_size: int, seed: int,
+                   buckets: int | None = None) -> DataFrame:
+    """G2-G5 in one exchange of the rows: adds split ('validation': the first ``val_size`` rows of the seeded order), and in
+    each split batch_id, pos and batch_order as ``batch_rows`` gives them (seeds + 1 and + 3; last partial batch
+    dropped).
+
+    The split needs no position, only the hash of the last validation row (``nth_key``), so a row's split is known before
+    the exchange, and one index keyed (split, hash) gives its place. Rows that repeat the id of the last validation row
+    are all validation rows, so no id stands in both splits. An empty table gives no rows."""
+    b = buckets or shuffle_partitions(df.sparkSession)
+    keyed = df.withColumn("_okey", order_key(id_col, seed))
+    last = nth_key(keyed.select("_okey"), "_okey", val_size)
+    if last is None:
+        inside = F.lit(val_size > 0)
+    else:
+        inside = F.col("_okey") <= F.lit(last)
+    split = F.when(inside, F.lit("validation")).otherwise(F.lit("train"))
+    place = F.when(F.col("split") == "validation", order_key(id_col, seed + 1)).otherwise(order_key(id_col, seed + 3))
+    placed = keyed.withColumn("split", split).withColumn("_okey", place).withColumn("_bucket", _bucket(F.col("_okey"), b))
+    ranked = placed.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy("split", "_bucket").orderBy("_okey", id_col)))
+    counts = ranked.groupBy("split", "_bucket").agg(F.max("_rn").alias("_n"))
+    earlier = Window.partitionBy("split").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("split", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
+                            F.sum("_n").over(Window.partitionBy("split")).alias("_total"))   # 2B rows
+    i = F.col("_off") + F.col("_rn") - 1
+    out = (ranked.join(F.broadcast(offsets), ["split", "_bucket"])
+                 .withColumn("batch_id", F.floor(i / batch_size).cast("bigint"))
+                 .withColumn("pos", F.pmod(i, F.lit(batch_size)).cast("int"))
+                 .where(F.col("batch_id") < F.floor(F.col("_total") / batch_size)))
+    after = F.when(F.col("split") == "validation", order_key(F.col("batch_id"), seed + 2)).otherwise(
+        order_key(F.col("batch_id"), seed + 4))
+    return out.withColumn("batch_order", after).drop("_okey", "_bucket", "_rn", "_off", "_total")
+
+
 def assign_shards(df: DataFrame, id_col: str, rows_per_shard: int, mode: str = "contiguous",
                   seed: int | None = None, idx_col: str = "idx") -> DataFrame:
     """shard = floor(idx / rows_per_shard) (contiguous) or idx % ceil(n / rows_per_shard)

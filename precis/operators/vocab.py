@@ -38,26 +38,22 @@ def word_tokens(text_col) -> "F.Column":
 
 def sample_sentences(docs: DataFrame, n: int, seed: int, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """The first ``n`` sentences of a seeded hash order (exact). A hash threshold
-    keeps about 1.2n candidates (the hash is uniform), then the exact distributed
-    index is taken over the candidates only; the threshold is widened if too few pass."""
+    """The first ``n`` sentences of a seeded hash order (exact; all, if there are fewer). The hash of the n-th one
+    comes from counts by hash prefix (``order.nth_key``); sentences below it are in, and of those that share it (the
+    same document id and number, repeated) as many as make up n."""
     sents = docs.select(F.col(id_col).alias("doc_id"),
                         F.posexplode(split_sentences(F.col(text_col))).alias("sid", "sentence"))
     keyed = sents.withColumn("skey", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("sid").cast("string")))
-    h60 = F.conv(F.substring(O.order_key("skey", seed), 1, 15), 16, 10).cast("double") / float(2 ** 60)
-    total = keyed.count()
-    if total == 0:
-        return keyed.select("doc_id", "sid", "sentence")
-    frac = min(1.0, 1.2 * n / total + 64.0 / total)
-    while True:
-        # the candidates (about 1.2n rows) are written once to the shared checkpoint
-        # folder: counting and indexing them does not scan the corpus again
-        cand = cut_lineage(keyed.where(h60 < F.lit(frac))) if frac < 1.0 else keyed
-        if frac >= 1.0 or cand.count() >= n:
-            break
-        frac = min(1.0, frac * 2)
-    idx = O.with_index(cand, "skey", seed)
-    return idx.where(F.col("idx") < n).select("doc_id", "sid", "sentence")
+    hashed = keyed.withColumn("_hash", O.order_key("skey", seed))
+    last = O.nth_key(hashed.select("_hash"), "_hash", n)
+    if last is None:
+        return keyed.where(F.lit(n > 0)).select("doc_id", "sid", "sentence")
+    # some n rows, written once to the shared checkpoint folder instead of a scan of the corpus for each use
+    near = cut_lineage(hashed.where(F.col("_hash") <= F.lit(last)))
+    over = near.where(F.col("_hash") == F.lit(last))
+    short = n - near.where(F.col("_hash") < F.lit(last)).count()
+    kept = near.where(F.col("_hash") < F.lit(last)).unionByName(over.orderBy("skey", "sentence").limit(short))
+    return kept.select("doc_id", "sid", "sentence")
 
 
 def word_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:

@@ -13,12 +13,8 @@ from ..sources.readers import union_corpora
 def training_table(corpora: dict[str, DataFrame], val_size: int, batch_size: int, seed: int,
                    id_col: str = "doc_id") -> DataFrame:
     """(split, corpus, doc_id, batch_id, pos, batch_order). Rows are keyed by
-    'corpus:id' so ids may repeat across corpora."""
+    'corpus:id' so ids may repeat across corpora. The rows are exchanged once."""
     u = union_corpora(corpora).withColumn(
         "row_key", F.concat_ws(":", F.col("corpus"), F.col(id_col).cast("string")))
-    indexed = O.with_index(u, "row_key", seed, idx_col="gi")
-    val = O.batch_rows(indexed.where(F.col("gi") < val_size), "row_key", batch_size, seed + 1)
-    train = O.batch_rows(indexed.where(F.col("gi") >= val_size), "row_key", batch_size, seed + 3)
-    cols = ["corpus", id_col, "batch_id", "pos", "batch_order"]
-    return (val.select(F.lit("validation").alias("split"), *cols)
-               .unionByName(train.select(F.lit("train").alias("split"), *cols)))
+    out = O.batched_splits(u, "row_key", val_size, batch_size, seed)
+    return out.select("split", "corpus", id_col, "batch_id", "pos", "batch_order")

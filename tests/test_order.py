@@ -53,3 +53,30 @@ def test_index_by_string_id(spark):
     df = spark.createDataFrame([(i,) for i in ids], "doc_id string")
     got = sorted((r.idx, r.doc_id) for r in O.with_index_by_id(df, "doc_id", buckets=16).collect())
     assert [i for _, i in got] == sorted(ids) and [n for n, _ in got] == list(range(len(ids)))
+
+
+def test_nth_key_is_the_nth_smallest(spark):
+    rows = [(i,) for i in range(300)] + [(7,)] * 40
+    keyed = spark.createDataFrame(rows, "id int").select(O.order_key("id", 5).alias("k"))
+    want = sorted(r[0] for r in keyed.collect())
+    for n in (1, 2, 150, 340):
+        assert O.nth_key(keyed, "k", n, digits=1, few=4) == want[n - 1] == O.nth_key(keyed, "k", n)
+    seven = want.index(spark.range(1).select(O.order_key(F.lit(7), 5)).first()[0]) + 1
+    assert O.nth_key(keyed, "k", seven + 40, digits=1, few=4) == want[seven + 39]
+    assert O.nth_key(keyed, "k", 341) is None and O.nth_key(keyed, "k", 0) is None
+    assert O.nth_key(keyed.where("false"), "k", 1) is None
+
+
+def test_batched_splits_equal_the_stepwise_operators_in_one_exchange(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("idx"))
+    for val in (0, 70, 500, 900):
+        got = {tuple(r) for r in O.batched_splits(df, "id", val, 16, 9).select("split", "id", "batch_id", "pos", "batch_order").collect()}
+        train, first = O.split_fixed(df.drop("idx"), "id", val, 9)
+        want = {("validation", *r) for r in O.batch_rows(first, "id", 16, 10).select("id", "batch_id", "pos", "batch_order").collect()}
+        want |= {("train", *r) for r in O.batch_rows(train, "id", 16, 12).select("id", "batch_id", "pos", "batch_order").collect()}
+        assert got == want, val
+    again = df.union(df.where("id = '3'")).union(spark.createDataFrame([(None, 2)], "id string, idx int"))
+    sides = O.batched_splits(again, "id", 200, 1, 9).select("id", "split").distinct().groupBy("id").count()
+    assert sides.where("count > 1").count() == 0
+    assert O.batched_splits(again, "id", 200, 1, 9).count() == 502
+    assert O.batched_splits(df.where("false"), "id", 70, 16, 9).count() == 0

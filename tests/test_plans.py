@@ -52,3 +52,11 @@ def test_abbreviations(spark):
     abbr = df.select(T.split_sentences("t", ("dr", "e.g"))).first()[0]
     assert plain == ["Dr.", "Smith came.", "He left.", "E.g.", "this.", "Ok."]
     assert abbr == ["Dr. Smith came.", "He left.", "E.g. this.", "Ok."]
+
+
+def test_training_table_exchanges_its_rows_once(spark):
+    from precis.plans.q_order import training_table
+    plan = _plan(training_table(spark, SF))
+    # by (split, bucket); the other two are the 2B counts of the buckets
+    assert plan.count("Exchange hashpartitioning(split") + plan.count("Exchange hashpartitioning(_bucket") <= 3
+    assert plan.count("Exchange ") <= 4
