@@ -7,6 +7,7 @@ scale (1,000 documents at sf0.01); the operators take them as arguments.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Window
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import order as O
+from ..session import ensure_checkpoint_dir
+from ..sources.positions import lookup_positions, write_indexed
 from . import derived as D
 from . import sql as S
 from .q_clean import _docs
@@ -109,14 +112,25 @@ def union_corpora(spark, sf):
     return U({c: d.where(F.col("lang") == l).select("doc_id", "n_chars") for c, l in _CORPORA.items()})
 
 
-@register("lookup_index",
-          "SELECT doc_id, idx, text FROM (SELECT doc_id, text, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) "
-          "AS idx FROM documents WHERE lang = 'de') WHERE idx IN (0, 7, 42)")
+_LOOKUP_SQL = ("SELECT doc_id, idx, text FROM (SELECT doc_id, text, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) "
+               "AS idx FROM documents WHERE lang = 'de') WHERE idx IN (0, 7, 42)")
+
+
+@register("lookup_index", _LOOKUP_SQL)
 def lookup_index(spark, sf):
     d = _docs(spark, sf).where(F.col("lang") == "de").select("doc_id", "text")
     return O.with_index_by_id(d, "doc_id").where(F.col("idx").isin(0, 7, 42)).select("doc_id", "idx", "text")
 
 
+@register("lookup_stored", _LOOKUP_SQL)
+def lookup_stored(spark, sf):
+    """F7 on a table that keeps a position index: it is written once, a lookup reads only the files that hold its rows."""
+    d = _docs(spark, sf).where(F.col("lang") == "de").select("doc_id", "text")
+    path = f"{ensure_checkpoint_dir(spark)}/positions-{uuid.uuid4().hex}"
+    write_indexed(d, path, rows_per_file=ROWS_PER_SHARD)
+    return lookup_positions(spark, path, [0, 7, 42]).select("doc_id", "idx", "text")
+
+
 @register("sample_sentences",
           f"SELECT doc_id, CAST(sid AS INTEGER) AS sid, sentence FROM (SELECT doc_id, unnest(range(len(s))) AS sid, "
           f"unnest(s) AS sentence FROM (SELECT doc_id, {S.s_sentences('text')} AS s FROM documents)) "
