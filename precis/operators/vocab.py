@@ -333,9 +333,12 @@ def train_bpe(counts: DataFrame, vocab_size: int = 16_000, min_freq: int = 2) ->
 
 
 def train_vocab(corpus: DataFrame, model_type: str = "unigram", vocab_size: int = 16_000, text_col: str = "text",
-                **settings) -> DataFrame:
-    """The vocabulary (piece, id, and logp or rank) of the texts for ``model_type`` word, unigram or bpe."""
+                sample: int | None = None, seed: int = 42, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The vocabulary (piece, id, and logp or rank) of the texts for ``model_type`` word, unigram or bpe; with
+    ``sample``, of that many of their sentences (G7: the first in a seeded hash order, all if there are fewer)."""
     trainers = {"word": word_vocab, "unigram": train_unigram, "bpe": train_bpe}
     if model_type not in trainers:
         raise ValueError(f"unknown model {model_type!r}")
+    if sample is not None:
+        corpus, text_col = sample_sentences(corpus, sample, seed, id_col, text_col), "sentence"
     return trainers[model_type](word_counts(corpus, text_col), vocab_size, **settings)

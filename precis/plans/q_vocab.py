@@ -73,6 +73,20 @@ def vocab_word(spark, sf):
     return V.word_vocab(V.word_counts(_corpus(spark, sf)), VOCAB)
 
 
+SAMPLED = 5000        # sentences that the sampled vocabulary is trained on
+_SAMPLED_SQL = (f"SELECT sentence FROM (SELECT doc_id, unnest(range(len(s))) AS sid, unnest(s) AS sentence FROM (SELECT doc_id, "
+                f"{S.s_sentences('text')} AS s FROM documents)) ORDER BY md5(CAST(doc_id AS VARCHAR) || ':' || "
+                f"CAST(sid AS VARCHAR) || '|{DEFAULT.seed}'), doc_id, sid LIMIT {SAMPLED}")
+_SAMPLED_COUNTS = (f"SELECT w AS word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(sentence, {_WORDS})) AS w "
+                   f"FROM ({_SAMPLED_SQL})) GROUP BY w")
+
+
+@register("vocab_sampled", f"SELECT piece, CAST(id AS INTEGER) AS id FROM ({_VOCAB_SQL.replace(_COUNTS_SQL, _SAMPLED_COUNTS)})")
+def vocab_sampled(spark, sf):
+    """J1 on G7: the trainer draws its sentences itself."""
+    return V.train_vocab(_docs(spark, sf), "word", VOCAB, sample=SAMPLED, seed=DEFAULT.seed)
+
+
 def _encode_sql(src: str, col: str, width: int, mask: bool) -> str:
     """src yields (doc_id, <col>); ids csv (+ mask csv)."""
     toks = f"(regexp_extract_all({col}, {_WORDS}))[1:{width - 1}]"

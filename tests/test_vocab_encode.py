@@ -210,3 +210,18 @@ def test_merges_equal_one_at_a_time(spark):
             want.append((a, b, n))
             state = [(V.merge_pairs(symbols, {(a, b)}), f) for symbols, f in state]
         assert V.bpe_merges(counts, 40) == want
+
+
+def test_train_on_a_sample_of_sentences(spark):
+    rows = [(i, f"w{i} gemeinsam. zweiter w{i}b satz! Ende") for i in range(40)] + [(99, None), (100, "")]
+    c = spark.createDataFrame(rows, "doc_id int, text string")
+    chosen = V.sample_sentences(c, 30, 5).collect()
+    assert len(chosen) == 30
+    words = {w for r in chosen for w in r.sentence.split()}
+    got = {r.piece for r in V.train_vocab(c, "word", 500, sample=30, seed=5).collect()}
+    assert got == words | {"<pad>", "</s>", "<mask_1>", "<unk>"}
+    everything = {w for _, t in rows for w in (t or "").split()}
+    assert {r.piece for r in V.train_vocab(c, "word", 500, sample=10_000).collect()} >= everything
+    twice = c.union(c)
+    assert V.sample_sentences(twice, 31, 5).count() == 31
+    assert V.sample_sentences(c, 0, 5).count() == 0 and V.sample_sentences(c.where("false"), 3, 5).count() == 0
