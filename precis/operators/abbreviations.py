@@ -60,11 +60,15 @@ def split_after(c: Column | str, abbreviations: Sequence[str]) -> Column:
     Null text: null; empty or blank text: no sentence."""
     t = F.col(c) if isinstance(c, str) else c
     pieces = F.split(t, "(?<=[.!?])(?=" + PY_WS + ")", -1)
-    known = list(abbreviations) or [""]
+    known = sorted(set(abbreviations) - {""})
+    last_word = "(?<![^" + PY_WS[1:-1] + "])([^" + PY_WS[1:-1] + r"]*)\.$"   # tried at word starts alone
 
     def closed(piece: Column) -> Column:
-        last = F.lower(F.btrim(F.regexp_extract(piece, "([^" + PY_WS[1:-1] + r"]*)\.$", 1), F.lit(EDGE)))
-        return F.when((last != "") & last.isin(known), piece).otherwise(F.concat(piece, F.lit("\u0001")))
+        end = F.concat(piece, F.lit("\u0001"))
+        if not known:
+            return end
+        last = F.lower(F.btrim(F.regexp_extract(piece, last_word, 1), F.lit(EDGE)))
+        return F.when(piece.endswith(".") & last.isin(known), piece).otherwise(end)
 
     joined = F.array_join(F.transform(pieces, closed), "")
     sentences = F.split(joined, "\u0001(?:" + PY_WS + "+|$)", -1)
