@@ -2,9 +2,10 @@
 
 A paragraph (a line of text) is its sparse set of word 1- to 3-grams, of those that occur in any template. A multinomial
 logistic regression has a class for each licence family and one for unknown paragraphs. It learns families from
-stretches of the templates and unknown from a bounded sample of the corpus's own paragraphs; another part of the sample
-calibrates the unknown class: the least family probability that counts lies above what unlicensed paragraphs reach.
-A prediction holds if the paragraph also has enough of the n-grams of one of that family's templates."""
+stretches of the templates and unknown from all paragraphs of the corpus, equal sets as one row with their number; a third
+of them is kept from it and calibrates the unknown class: the least family probability that counts lies above what
+unlicensed paragraphs reach. A prediction holds if the paragraph also has enough of the n-grams of one of that family's
+templates."""
 
 from __future__ import annotations
 
@@ -20,8 +21,6 @@ from .decontaminate import words
 from .license_texts import TEMPLATES
 
 UNKNOWN = "unknown"
-SAMPLE_DOCS = 2000  # documents whose paragraphs stand for the unknown class
-SAMPLE_PARAGRAPHS = 6000
 FOUND = 0.6  # share of a template's 2-grams that confirms it
 FLOOR = 0.5
 
@@ -52,9 +51,26 @@ def _stretches(templates: DataFrame) -> DataFrame:
     return cut.select("family", F.slice("words", F.col("at"), F.col("size")).alias("words")).distinct()
 
 
+def _vocabulary(spark: SparkSession) -> list[str]:
+    return sorted(r[0] for r in _grams(_templates(spark)).select(F.explode("grams")).distinct().collect())  # fixed texts
+
+
+def paragraph_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, paragraph, size, hash, grams) of all paragraphs: how many words, a hash of them, and the set of n-grams that
+    occur in any template. A run of words that no template holds is cut to two blanks first: no such n-gram spans it."""
+    vocabulary = _vocabulary(docs.sparkSession)
+    known = [g for g in vocabulary if " " not in g]
+    marked = F.array_join(F.transform("words", lambda w: F.when(w.isin(known), w).otherwise(F.lit(""))), " ")
+    short = paragraphs(docs, id_col, text_col).select(
+        "_id", "paragraph", F.size("words").alias("size"), F.xxhash64("words").alias("hash"),
+        F.split(F.regexp_replace(marked, " {3,}", "  "), " ").alias("words"))
+    found = F.array_sort(F.array_distinct(F.filter("grams", lambda g: g.isin(vocabulary))))
+    return _grams(short).select("_id", "paragraph", "size", "hash", found.alias("grams"))
+
+
 def _similar(df: DataFrame) -> DataFrame:
-    """``df`` (pairs, family or not) with ``similarity``: the 2-grams shared with one template (of the row's family, if it
-    has one) as a share of the shorter one's, of 3 at least; the largest of all templates."""
+    """``df`` (size, grams, family or not) with ``similarity``: the 2-grams shared with one template (of the row's family,
+    if it has one) as a share of the shorter one's, of 3 at least; the largest of all templates."""
     spark = df.sparkSession
     known = _grams(_templates(spark)).select("family", F.array_distinct("pairs").alias("_pairs"))
     if "family" in df.columns:
@@ -64,8 +80,8 @@ def _similar(df: DataFrame) -> DataFrame:
         every = [r["_pairs"] for r in known.collect()]
         df = df.withColumn("_all", F.array(*[F.array(*map(F.lit, p)) for p in every]))
     return df.withColumn("similarity", F.array_max(F.transform(
-        "_all", lambda t: F.size(F.array_intersect("pairs", t))
-        / F.greatest(F.lit(3), F.least(F.size(t), F.size("pairs")))))).drop("_all")
+        "_all", lambda t: F.size(F.array_intersect("grams", t))
+        / F.greatest(F.lit(3), F.least(F.size(t), F.col("size") - 1))))).drop("_all")
 
 
 class Classifier:
@@ -75,7 +91,7 @@ class Classifier:
         self.stages, self.families, self.least = stages, families, least
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """``df`` (words, grams) with ``family`` and ``probability`` of the likeliest family (unknown apart)."""
+        """``df`` (grams) with ``family`` and ``probability`` of the likeliest family (unknown apart)."""
         scored = self.stages.transform(df).withColumn("_p", F.slice(vector_to_array("_probability"), 1, len(self.families)))
         return (scored.withColumn("probability", F.array_max("_p"))
                 .withColumn("family", F.element_at(F.array(*map(F.lit, self.families)),
@@ -84,38 +100,42 @@ class Classifier:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Train on the templates and on SAMPLE_PARAGRAPHS paragraphs at most of the SAMPLE_DOCS documents with the smallest
-    hashed id. Sampled paragraphs that hold half of a template's 2-grams count for neither side."""
-    spark = docs.sparkSession
+    """Train on the templates and on all paragraphs of ``docs``, see ``fit_grams``."""
+    return fit_grams(settle(paragraph_grams(docs, id_col, text_col)))
+
+
+def fit_grams(rows: DataFrame) -> Classifier:
+    """Train on the templates and on all of ``rows`` (see ``paragraph_grams``; read once): paragraphs with equal sets and
+    equal lengths are one row with their number, which weighs it. Those that hold half of a template's 2-grams count
+    for neither side."""
+    spark = rows.sparkSession
     templates = _templates(spark)
     families = sorted(TEMPLATES)
     number = F.create_map(*[x for i, f in enumerate([*families, UNKNOWN]) for x in (F.lit(f), F.lit(float(i)))])
-    vocabulary = sorted(r[0] for r in _grams(templates).select(F.explode("grams")).distinct().collect())  # fixed texts
-    order = F.xxhash64(id_col)
-    share = min(1.0, 2 * SAMPLE_DOCS / max(1, docs.count()))  # about twice the sample reaches the task that orders it
-    sample = docs.where(order <= 2 * int(share * 2**63) - 2**63 - 1).orderBy(order, id_col).limit(SAMPLE_DOCS)
-    lines = (paragraphs(sample, id_col, text_col).withColumn("_order", F.xxhash64("words"))
-             .dropDuplicates(["_order"]).orderBy("_order").limit(SAMPLE_PARAGRAPHS))
-    lines = _similar(_grams(lines)).where(F.col("similarity") < 0.5)
-    lines = lines.select("words", "grams", (F.pmod("_order", F.lit(3)) == 0).alias("_later")).persist()
+    longest = templates.agg(F.max(F.size("words"))).first()[0]  # a length beyond it changes no similarity
+    # a third of the different paragraphs, by their words, calibrates
+    later = (F.pmod("hash", F.lit(3)) == 0).alias("_later")
+    sets = rows.groupBy("grams", F.least("size", F.lit(longest)).alias("size"), later).agg(F.count("*").alias("n"))
+    lines = settle(_similar(sets).where(F.col("similarity") < 0.5).groupBy("grams", "_later").agg(F.sum("n").alias("n")))
     known = _grams(_stretches(templates)).select("family", "grams")
-    rows = known.unionByName(lines.where("NOT _later").select(F.lit(UNKNOWN).alias("family"), "grams"))
-    rows = rows.withColumn("label", number[F.col("family")])
-    # a paragraph without any known n-gram is unknown, whatever the sample has
-    rows = rows.unionByName(spark.range(1).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("grams"),
-                                                  F.lit(float(len(families))).alias("label")))
-    rows = settle(rows.coalesce(2))  # bounded: the templates and the sample; every step of the fit reads it
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    learned = known.withColumn("n", F.lit(1).cast("bigint")).unionByName(
+        lines.where("NOT _later").select(F.lit(UNKNOWN).alias("family"), "grams", "n"))
+    learned = learned.withColumn("label", number[F.col("family")])
+    # a paragraph without any known n-gram is unknown, whatever the corpus has
+    learned = learned.unionByName(spark.range(1).select(
+        F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("grams"), F.lit(1).cast("bigint").alias("n"),
+        F.lit(float(len(families))).alias("label")))
+    learned = settle(learned)  # every step of the fit reads it
+    counts = {r["label"]: r["n"] for r in learned.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     weight = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(1000.0 / n))])
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "_features")
+    vectors = CountVectorizerModel.from_vocabulary(_vocabulary(spark), "grams", "_features")
     vectors.setBinary(True)
     model = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_weight", probabilityCol="_probability",
                                rawPredictionCol="", predictionCol="", family="multinomial", regParam=1e-3, maxIter=60
-                               ).fit(vectors.transform(rows.withColumn("_weight", weight[F.col("label")])))
+                               ).fit(vectors.transform(learned.withColumn("_weight", weight[F.col("label")] * F.col("n"))))
     found = Classifier(PipelineModel([vectors, model]), families, FLOOR)
     top = found.predict(lines.where("_later").select("grams")).agg(F.max("probability")).first()[0]
     found.least = max(FLOOR, min(0.99, (top or 0.0) + 0.01))
-    lines.unpersist()
     return found
 
 
@@ -123,7 +143,11 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     """(``id_col``, paragraph, family, probability, similarity): one row for each paragraph that holds a licence notice,
     in every row of ``docs``. Null and empty texts have no paragraphs; repeated rows are scanned each; other columns
     go; an empty table gives no rows."""
-    rows = _grams(paragraphs(docs, id_col, text_col))
+    return scan_grams(paragraph_grams(docs, id_col, text_col), model, id_col)
+
+
+def scan_grams(rows: DataFrame, model: Classifier, id_col: str = "doc_id") -> DataFrame:
+    """As ``scan``, for all of ``rows`` (see ``paragraph_grams``)."""
     likely = model.predict(rows).where(F.col("probability") >= model.least)
     return (_similar(likely).where(F.col("similarity") >= FOUND)
             .select(F.col("_id").alias(id_col), "paragraph", "family", F.round("probability", 6).alias("probability"),

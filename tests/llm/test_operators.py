@@ -503,3 +503,24 @@ def test_license_scan(spark, nothing):
     got = {(r.doc_id, r.paragraph, r.family) for r in licenses.scan(docs, model).collect()}
     assert got == {(100, 0, "apache"), (103, 2, "mit"), (None, 0, "reserved")}
     assert licenses.scan(nothing, licenses.fit(nothing)).count() == 0
+
+
+def test_licenses_learn_from_every_paragraph(spark):
+    """Paragraphs beyond the first 2,000 documents (or 6,000 paragraphs) in any order count, each as often as it occurs."""
+    from precis.llm import licenses
+    docs = spark.range(7000).selectExpr("id AS doc_id", "concat('the license of car ', id, '\nno ', id, ' part of it') AS text")
+    seen = []
+    plain = licenses.LogisticRegression.fit
+
+    def fit(self, df, *args):
+        seen.append({r.label: r.n for r in df.groupBy("label").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()})
+        return plain(self, df, *args)
+
+    licenses.LogisticRegression.fit = fit
+    try:
+        licenses.fit(docs)
+    finally:
+        licenses.LogisticRegression.fit = plain
+    unknown = seen[0][float(len(licenses.TEMPLATES))]
+    later = docs.selectExpr("explode(split(text, '\n')) AS t").selectExpr("xxhash64(split(t, ' ')) AS h").where("pmod(h, 3) = 0")
+    assert unknown == 14000 - later.count() + 1 and unknown > 9000
