@@ -65,11 +65,20 @@ def lower_text(c) -> Column:                                    # C1
 # first), so that branch may require a run start; with the scheme any start is allowed.
 # Matches end where a run ends (the last group's class contains the run class), so the
 # look-behind also holds for every search that follows a match.
-LINK_RE_SPARK = r"(?:(https?://)|(?<![\p{Nd}a-z.-]))([\p{Nd}a-z.-]+)\.([a-z.]{2,6})([/\p{L}\p{N}_.-]*)"
+# A run without a dot is left after one look at it, a text without a dot before two of [a-z.] at once.
+LINK_RE_SPARK = r"(?:(https?://)|(?<![\p{Nd}a-z.-]))(?=[\p{Nd}a-z-]*+\.)([\p{Nd}a-z.-]+)\.([a-z.]{2,6})([/\p{L}\p{N}_.-]*)"
+PY_WS_CHARS = "".join(chr(i) for i in range(0x3001) if re.fullmatch(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), PY_WS), chr(i)))
+# The same matches as DIGIT_DOT_RE, with the dot as the first test.
+DIGIT_DOT_RE_SPARK = r"\.(?:(?<=[0-9#]\.)|(?=[0-9]))"
+
+
+def _where(c, holds, change) -> Column:
+    """``change(c)`` for the rows where ``holds(c)``, else ``c``, which is evaluated once, also if it comes from a UDF."""
+    return F.transform(F.array(_col(c)), lambda s: F.when(holds(s), change(s)).otherwise(s))[0]
 
 
 def remove_links(c) -> Column:                                  # C2
-    return F.regexp_replace(_col(c), LINK_RE_SPARK, "")
+    return _where(c, lambda s: s.rlike(r"\.[a-z.]{2}"), lambda s: F.regexp_replace(s, LINK_RE_SPARK, ""))
 
 
 def unescape_amp(c) -> Column:                                  # C3
@@ -94,12 +103,13 @@ def remove_headline(c, delim: str) -> Column:                   # C6
     the first delimiter, then turn the remaining delimiters into spaces (no delimiter:
     unchanged). A column referenced several times is evaluated several times when it
     comes from a nondeterministic UDF, so this matters after the fold."""
-    removed = F.regexp_replace(_col(c), "(?s)^.*?" + _java_quote(delim), "")
-    return F.replace(removed, F.lit(delim), F.lit(" "))
+    first = "(?s)^.*?" + _java_quote(delim)
+    return _where(c, lambda s: s.contains(delim),
+                  lambda s: F.replace(F.regexp_replace(s, first, ""), F.lit(delim), F.lit(" ")))
 
 
 def empty_parens(c) -> Column:                                  # C7
-    return F.regexp_replace(_col(c), PARENS_RE, "$1$2")
+    return _where(c, lambda s: s.contains("(") | s.contains("|"), lambda s: F.regexp_replace(s, PARENS_RE, "$1$2"))
 
 
 def strip_punct(c, keep_commas: bool = False) -> Column:        # C8
@@ -107,7 +117,7 @@ def strip_punct(c, keep_commas: bool = False) -> Column:        # C8
 
 
 def remove_digit_dots(c) -> Column:                             # C9
-    return F.regexp_replace(_col(c), DIGIT_DOT_RE, "")
+    return F.regexp_replace(_col(c), DIGIT_DOT_RE_SPARK, "")
 
 
 def collapse_ws(c) -> Column:                                   # C10
@@ -115,7 +125,7 @@ def collapse_ws(c) -> Column:                                   # C10
 
 
 def drop_short_sentences(c, min_len: int = 11) -> Column:       # C11
-    pieces = F.split(_col(c), "[.]", -1)
+    pieces = F.split(_col(c), r"\.", -1)
     return F.array_join(F.filter(pieces, lambda s: F.length(F.trim(s)) >= min_len), ".")
 
 
@@ -149,10 +159,11 @@ def clean_preset(c, preset: str = "module", is_news: bool = True) -> Column:
 # --- D: counts and truncation ------------------------------------------------
 
 def words(c) -> Column:
-    """``str.split()``: runs of non-whitespace. Splitting on whitespace runs and
-    dropping the empty edge pieces is several times faster in Spark than extracting the
-    runs with a negated Unicode class."""
-    return F.array_remove(F.split(_col(c), PY_WS + "+", -1), "")
+    """``str.split()``: runs of non-whitespace. Splitting on single spaces, once all
+    whitespace is one, and dropping the empty pieces is several times faster in Spark than
+    extracting the runs with a negated Unicode class."""
+    spaced = F.translate(_col(c), PY_WS_CHARS, " " * len(PY_WS_CHARS))
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def word_count(c) -> Column:                                    # D1c: len(x.split())

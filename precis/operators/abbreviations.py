@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PY_WS, words
+from ..functions.text import PY_WS, PY_WS_CHARS, words
 
 # Fixed values of the published method: the share of periods after an abbreviation, and the least score.
 AFTER_ABBREVIATION = 0.99
@@ -26,11 +26,12 @@ HAS_LETTER = r"\p{L}"
 def period_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n, n_period): how often each lower-cased word occurs, and how often with a final period, which is not part
     of ``word``. Words without a letter stand together as the empty word; null texts have none."""
-    token = docs.select(F.explode(words(text_col)).alias("raw")).select(F.lower(F.btrim("raw", F.lit(EDGE))).alias("token"))
+    raw = docs.select(F.explode(words(text_col)).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    token = raw.select(F.lower(F.btrim("raw", F.lit(EDGE))).alias("token"), "n")  # once a distinct token
     period = F.col("token").endswith(".")
     word = F.when(F.col("token").rlike(HAS_LETTER), F.when(period, F.expr("left(token, length(token) - 1)")).otherwise(F.col("token")))
     return token.groupBy(F.coalesce(word, F.lit("")).alias("word")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(period).alias("n_period"))
+        F.sum("n").alias("n"), F.sum(F.when(period, F.col("n")).otherwise(F.lit(0))).alias("n_period"))
 
 
 def abbreviation_scores(counts: DataFrame) -> DataFrame:
@@ -67,9 +68,10 @@ def split_after(c: Column | str, abbreviations: Sequence[str]) -> Column:
         end = F.concat(piece, F.lit("\u0001"))
         if not known:
             return end
-        last = F.lower(F.btrim(F.regexp_extract(piece, last_word, 1), F.lit(EDGE)))
+        tail = F.substring_index(piece, " ", -1)  # a space ends a word: the pattern sees no more than the last one
+        last = F.lower(F.btrim(F.regexp_extract(tail, last_word, 1), F.lit(EDGE)))
         return F.when(piece.endswith(".") & last.isin(known), piece).otherwise(end)
 
     joined = F.array_join(F.transform(pieces, closed), "")
     sentences = F.split(joined, "\u0001(?:" + PY_WS + "+|$)", -1)
-    return F.filter(sentences, lambda s: ~s.rlike("^" + PY_WS + "*$"))
+    return F.filter(sentences, lambda s: F.length(F.ltrim(s, F.lit(PY_WS_CHARS))) > 0)
