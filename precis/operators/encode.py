@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions.text import MASK_TOKEN
+from .batches import in_slices
 from .subword import bpe, micro, segment, trie
 from .vocab import EOS, FIRST_PIECE_ID, MASK, PAD, UNK, WORD_BOUNDARY, word_tokens
 
@@ -52,38 +53,45 @@ def _word_udf(shared):
         found = pc.fill_null(pc.take(table[1], at), UNK)
         return _lists(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(), found)
 
-    return F.arrow_udf(run, ArrayType(IntegerType())).asNondeterministic()
+    return F.arrow_udf(in_slices(run), ArrayType(IntegerType())).asNondeterministic()
 
 
 def _subword_udf(shared, mode: str, width: int | None):
-    memory: dict[str, list[int]] = {}
+    memory: dict[str, bytes] = {}  # ids as 32-bit numbers
     model: list = []  # ids by piece, and the trie or the merge ranks, made once in a worker
 
-    def ids_of(word: str) -> list[int]:
+    def ids_of(word: str) -> bytes:
         if word == MASK_TOKEN:
-            return [MASK]
+            return np.array([MASK], np.int32).tobytes()
         if not model:
             ids, scores = shared.value
             model.extend((ids, trie(scores.items()) if mode == "unigram" else scores))
         pieces = (segment if mode == "unigram" else bpe)(WORD_BOUNDARY + word, model[1])
-        return [model[0].get(x, UNK) for x in pieces]
+        return np.array([model[0].get(x, UNK) for x in pieces], np.int32).tobytes()
 
     def run(tokens: pa.Array) -> pa.Array:
-        out = []
-        for words in tokens.to_pylist():
-            ids: list[int] = []
-            for w in words or ():
-                if w not in memory:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[w] = ids_of(w)
-                ids += memory[w]
-                if width and len(ids) >= width - 1:
-                    break
-            out.append(ids[:width - 1] if width else ids)
-        return pa.array(out, pa.list_(pa.int32()))
-
-    return F.arrow_udf(run, ArrayType(IntegerType())).asNondeterministic()
+        coded = tokens.flatten().dictionary_encode()  # every different word once a slice
+        found = []
+        for w in coded.dictionary.to_pylist():
+            if w not in memory:
+                if len(memory) >= REMEMBERED:
+                    memory.clear()
+                memory[w] = ids_of(w)
+            found.append(memory[w])
+        pieces = np.array([len(x) // 4 for x in found], np.int64)
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(pieces[word])))  # ids before each word
+        upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))))
+        sizes = np.diff(ends[upto])
+        first = (np.cumsum(pieces) - pieces)[word]
+        ids = np.frombuffer(b"".join(found), np.int32)[np.arange(ends[-1]) + np.repeat(first - ends[:-1], pieces[word])]
+        if width:
+            short = np.minimum(sizes, width - 1)
+            ids = ids[np.arange(len(ids)) - np.repeat(ends[upto[:-1]], sizes) < np.repeat(short, sizes)]
+            sizes = short
+        return _lists(sizes, pa.array(ids, pa.int32()))
+
+    return F.arrow_udf(in_slices(run), ArrayType(IntegerType())).asNondeterministic()
 
 
 def encode(df: DataFrame, vocab: DataFrame, cols: dict[str, int | None], mode: str = "word", id_col: str = "doc_id",
@@ -140,13 +148,14 @@ def decode(df: DataFrame, vocab: DataFrame, ids_col: str, mode: str = "word", id
     def run(ids: pa.Array) -> pa.Array:
         numbers, pieces = shared.value
         at = pc.index_in(ids.flatten(), value_set=pa.array(numbers, ids.type.value_type))
-        return _lists(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(), pc.take(pa.array(pieces, pa.string()), at))
-
-    words = F.arrow_udf(run, ArrayType(StringType())).asNondeterministic()(F.col(ids_col))
-    if mode == "word":
-        text = F.array_join(words, " ")  # nulls, the special ids, are left out
-    else:
-        text = F.ltrim(F.replace(F.array_join(words, ""), F.lit(WORD_BOUNDARY), F.lit(" ")))
+        upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
+        known = np.concatenate(([0], np.cumsum(at.is_valid().to_numpy(zero_copy_only=False))))  # special ids are left out
+        lists = _lists(np.diff(known[upto]), pc.take(pa.array(pieces, pa.string()), at.drop_null()))
+        return pc.binary_join(lists, " " if mode == "word" else "")
+
+    text = F.arrow_udf(in_slices(run), StringType()).asNondeterministic()(F.col(ids_col))
+    if mode != "word":
+        text = F.ltrim(F.replace(text, F.lit(WORD_BOUNDARY), F.lit(" ")))
     return df.select(id_col, text.alias(out_col))
 
 

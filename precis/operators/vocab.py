@@ -217,6 +217,7 @@ def train_unigram(counts: DataFrame, vocab_size: int = 16_000, seed_size: int =
     ``max_broadcast``); sums, joins and the cut are Spark aggregates."""
     if seed_size > max_broadcast:
         raise ValueError(f"seed_size {seed_size} exceeds the broadcast bound {max_broadcast}")
+    counts = cut_lineage(counts)  # read several times: the corpus is not
     # a small table would come back in one partition, and the rounds would run in one task
     words = cut_lineage(marked_words(counts).repartition(shuffle_partitions(counts.sparkSession), "word"))
     room = _room(counts, vocab_size)
@@ -323,6 +324,7 @@ def bpe_merges(counts: DataFrame, merges: int, min_freq: int = 2, at_once: int =
 def train_bpe(counts: DataFrame, vocab_size: int = 16_000, min_freq: int = 2) -> DataFrame:
     """BPE vocabulary (piece, id, rank, left, right): the characters, then the merges in their order; a merge joins its
     left and its right symbol. Two merges may make one piece: encoding takes the first one's id."""
+    counts = cut_lineage(counts)  # read several times: the corpus is not
     chars = marked_words(counts).select(F.explode(F.split("word", CHARS_RE, -1)).alias("c")).distinct()
     alphabet = [r["c"] for r in chars.orderBy("c").collect()]
     merges = bpe_merges(counts, _room(counts, vocab_size), min_freq)
