@@ -68,8 +68,11 @@ def lower_text(c) -> Column:                                    # C1
 # A run without a dot is left after one look at it, a text without a dot before two of [a-z.] at once.
 LINK_RE_SPARK = r"(?:(https?://)|(?<![\p{Nd}a-z.-]))(?=[\p{Nd}a-z-]*+\.)([\p{Nd}a-z.-]+)\.([a-z.]{2,6})([/\p{L}\p{N}_.-]*)"
 PY_WS_CHARS = "".join(chr(i) for i in range(0x3001) if re.fullmatch(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), PY_WS), chr(i)))
+ASCII_WS = r"[\t-\r\x1C-\x1F]"  # of these, the ASCII ones beside the space
 # The same matches as DIGIT_DOT_RE, with the dot as the first test.
 DIGIT_DOT_RE_SPARK = r"\.(?:(?<=[0-9#]\.)|(?=[0-9]))"
+# Runs of WS, but for those that are one space already.
+WS_RUN_RE = WS + r"{2,}|[\t\n\x0B\f\r\x1C-\x1F]"
 
 
 def _where(c, holds, change) -> Column:
@@ -78,7 +81,14 @@ def _where(c, holds, change) -> Column:
 
 
 def remove_links(c) -> Column:                                  # C2
-    return _where(c, lambda s: s.rlike(r"\.[a-z.]{2}"), lambda s: F.regexp_replace(s, LINK_RE_SPARK, ""))
+    """No link holds a line end: the pattern is run on those lines alone that may have one."""
+    with_dot = r"\.[a-z.]{2}"
+
+    def per_line(s: Column) -> Column:
+        return F.array_join(F.transform(F.split(s, "\n", -1), lambda line: F.when(
+            line.rlike(with_dot), F.regexp_replace(line, LINK_RE_SPARK, "")).otherwise(line)), "\n")
+
+    return _where(c, lambda s: s.rlike(with_dot), per_line)
 
 
 def unescape_amp(c) -> Column:                                  # C3
@@ -121,7 +131,7 @@ def remove_digit_dots(c) -> Column:                             # C9
 
 
 def collapse_ws(c) -> Column:                                   # C10
-    return F.trim(F.regexp_replace(_col(c), WS + "+", " "))
+    return F.trim(F.regexp_replace(_col(c), WS_RUN_RE, " "))
 
 
 def drop_short_sentences(c, min_len: int = 11) -> Column:       # C11
@@ -161,8 +171,8 @@ def clean_preset(c, preset: str = "module", is_news: bool = True) -> Column:
 def words(c) -> Column:
     """``str.split()``: runs of non-whitespace. Splitting on single spaces, once all
     whitespace is one, and dropping the empty pieces is several times faster in Spark than
-    extracting the runs with a negated Unicode class."""
-    spaced = F.translate(_col(c), PY_WS_CHARS, " " * len(PY_WS_CHARS))
+    extracting the runs with a negated Unicode class. A text whose only whitespace is the space is split as it is."""
+    spaced = _where(c, lambda s: (F.octet_length(s) != F.length(s)) | s.rlike(ASCII_WS), lambda s: F.translate(s, PY_WS_CHARS, " " * len(PY_WS_CHARS)))
     return F.array_remove(F.split(spaced, " ", -1), "")
 
 
@@ -180,7 +190,7 @@ def truncate_words(c, n: int = 500, mode: str = "ws") -> Column:
     pieces of ``split(' ')`` (empty pieces count)."""
     t = _col(c)
     if mode == "space":
-        return F.array_join(F.slice(F.split(t, " ", -1), 1, n), " ")
+        return F.array_join(F.slice(F.split(t, " ", n + 1), 1, n), " ")
     ws = words(t)
     return F.when(F.size(ws) >= n, F.array_join(F.slice(ws, 1, n), " ")).otherwise(t)
 
