@@ -1,7 +1,8 @@
 """Encoding and decoding (J2-J7), row by row: nothing is shuffled, so a very common word is no hot key.
 
 The vocabulary (``vocab_size`` rows, bounded by its trainer) is broadcast to the tasks. ``word`` mode looks whole
-words up. ``unigram`` and ``bpe`` segment words into subword pieces; a task remembers the words it has segmented.
+words up. ``unigram`` and ``bpe`` segment words into subword pieces: ``unigram`` the different words of a slice at once,
+``bpe`` one by one, and a task remembers those it has segmented.
 
 Output widths are fixed: ids truncated to ``width - 1``, then end-of-sequence, then
 padding (id 0) up to ``width``; the attention mask is 1 for real tokens.
@@ -18,7 +19,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions.text import MASK_TOKEN
 from .batches import in_slices
-from .subword import bpe, micro, segment, trie
+from .subword import Segmenter, bpe, micro
 from .vocab import EOS, FIRST_PIECE_ID, MASK, PAD, UNK, WORD_BOUNDARY, word_tokens
 
 REMEMBERED = 200_000  # segmented words a task keeps; then it starts anew
@@ -57,38 +58,55 @@ def _word_udf(shared):
 
 
 def _subword_udf(shared, mode: str, width: int | None):
-    memory: dict[str, bytes] = {}  # ids as 32-bit numbers
-    model: list = []  # ids by piece, and the trie or the merge ranks, made once in a worker
+    memory: dict[str, bytes] = {}  # bpe: ids as 32-bit numbers
+    model: list = []  # unigram: the segmenter; bpe: ids by piece and the merge ranks; made once in a worker
 
-    def ids_of(word: str) -> bytes:
+    def merged(word: str) -> bytes:
         if word == MASK_TOKEN:
             return np.array([MASK], np.int32).tobytes()
-        if not model:
-            ids, scores = shared.value
-            model.extend((ids, trie(scores.items()) if mode == "unigram" else scores))
-        pieces = (segment if mode == "unigram" else bpe)(WORD_BOUNDARY + word, model[1])
-        return np.array([model[0].get(x, UNK) for x in pieces], np.int32).tobytes()
+        ids, ranks = shared.value
+        return np.array([ids.get(x, UNK) for x in bpe(WORD_BOUNDARY + word, ranks)], np.int32).tobytes()
 
-    def run(tokens: pa.Array) -> pa.Array:
-        coded = tokens.flatten().dictionary_encode()  # every different word once a slice
+    def by_merges(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = []
-        for w in coded.dictionary.to_pylist():
+        for w in words.to_pylist():
             if w not in memory:
                 if len(memory) >= REMEMBERED:
                     memory.clear()
-                memory[w] = ids_of(w)
+                memory[w] = merged(w)
             found.append(memory[w])
-        pieces = np.array([len(x) // 4 for x in found], np.int64)
+        return np.array([len(x) // 4 for x in found], np.int64), np.frombuffer(b"".join(found), np.int32)
+
+    def by_pieces(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not model:
+            ids, scores = shared.value
+            model.append(Segmenter(scores, ids, UNK, WORD_BOUNDARY))
+        pieces, ids = model[0](words)
+        mask = pc.index(words, MASK_TOKEN).as_py()
+        if mask >= 0:  # one id of its own
+            first = pieces[:mask].sum()
+            ids = np.concatenate((ids[:first], [MASK], ids[first + pieces[mask]:])).astype(np.int32)
+            pieces[mask] = 1
+        return pieces, ids
+
+    def run(tokens: pa.Array) -> pa.Array:
+        coded = tokens.flatten().dictionary_encode()  # every different word once a slice
+        pieces, ids = (by_pieces if mode == "unigram" else by_merges)(coded.dictionary)
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        lists = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.concatenate(([0], np.cumsum(lists)))
+        first = np.cumsum(pieces) - pieces
         ends = np.concatenate(([0], np.cumsum(pieces[word])))  # ids before each word
-        upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))))
         sizes = np.diff(ends[upto])
-        first = (np.cumsum(pieces) - pieces)[word]
-        ids = np.frombuffer(b"".join(found), np.int32)[np.arange(ends[-1]) + np.repeat(first - ends[:-1], pieces[word])]
-        if width:
-            short = np.minimum(sizes, width - 1)
-            ids = ids[np.arange(len(ids)) - np.repeat(ends[upto[:-1]], sizes) < np.repeat(short, sizes)]
-            sizes = short
+        if width:  # words behind the width are left before their ids are looked up
+            within = np.flatnonzero(ends[:-1] - np.repeat(ends[upto[:-1]], lists) < width - 1)
+            word, sizes = word[within], np.minimum(sizes, width - 1)
+            owner = np.repeat(np.arange(len(lists)), lists)[within]
+            held = np.bincount(owner, pieces[word], len(lists)).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(pieces[word])))
+        ids = ids[np.arange(ends[-1]) + np.repeat(first[word] - ends[:-1], pieces[word])]
+        if width:  # and what the last word has behind it
+            ids = ids[np.arange(len(ids)) - np.repeat(np.cumsum(held) - held, held) < np.repeat(sizes, held)]
         return _lists(sizes, pa.array(ids, pa.int32()))
 
     return F.arrow_udf(in_slices(run), ArrayType(IntegerType())).asNondeterministic()

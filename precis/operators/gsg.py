@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import MASK_TOKEN, PY_WS, split_sentences
 from ..options import DEFAULT, Options
-from .batches import in_parts, token_codes
+from .batches import bytes_through, in_parts, token_codes
 
 
 def gsg_sizes(m: Column, rate: float, return_mask_rate: float) -> tuple[Column, Column]:
@@ -49,13 +49,16 @@ def draw_key(doc_id: Column, j: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
+_WORD_BYTES = np.frombuffer(bytes(b if chr(b).isalnum() and b < 128 else 32 for b in range(256)).lower(), np.uint8)
+
+
 def _rank_batch(sents: pa.Array, k: pa.Array, drawn: pa.Array) -> pa.Array:
     """Per document a list of (overlap, n_tok, rank, selected, masked), one for each sentence."""
     size = pc.list_value_length(sents).to_numpy()
     start = np.cumsum(size) - size
     row = np.repeat(np.arange(len(size)), size)
     flat = sents.flatten()
-    words, owner, n_words = token_codes(pc.ascii_lower(pc.replace_substring_regex(flat, "[^a-zA-Z0-9]+", " ")))
+    words, owner, n_words = token_codes(bytes_through(flat, _WORD_BYTES))
     pair, count = np.unique(owner * n_words + words, return_counts=True)
     sentence, word = pair // n_words, pair % n_words
     _, group = np.unique(row[sentence] * n_words + word, return_inverse=True)

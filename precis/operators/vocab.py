@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,12 +115,58 @@ def marked_words(counts: DataFrame) -> DataFrame:
     return counts.select(F.concat(F.lit(WORD_BOUNDARY), F.col("word")).alias("word"), "freq")
 
 
+def _pieces_of(words: DataFrame, shortest: int, longest: int, triples=None) -> DataFrame:
+    """(piece, freq) of all substrings of ``words`` (word, freq) with ``shortest`` to ``longest`` characters; ``triples``
+    (a broadcast set): of those alone whose every three characters side by side are in it."""
+    def run(batches):
+        for b in batches:
+            acc: dict = {}
+            for word, freq in zip(b.column("word").to_pylist(), b.column("freq").to_pylist()):
+                n, end = len(word), [len(word)] * len(word)
+                if triples is not None:  # where the last piece from each character on ends
+                    known, far = triples.value, 0
+                    for i in reversed(range(n - 2)):
+                        far = (far or i + 3) if word[i:i + 3] in known else 0
+                        end[i] = far
+                for i in range(n - shortest + 1):
+                    for e in range(i + shortest, min(i + longest, end[i]) + 1):
+                        acc[word[i:e]] = acc.get(word[i:e], 0) + freq
+            yield pa.RecordBatch.from_arrays([pa.array(acc, pa.string()), pa.array(acc.values(), pa.int64())],
+                                             names=["piece", "freq"])
+
+    found = words.mapInArrow(run, "piece string, freq bigint")
+    return found.groupBy("piece").agg(F.sum("freq").alias("freq"))
+
+
+def frequent_pieces(counts: DataFrame, size: int, max_len: int = 8, min_freq: int = 2,
+                    max_broadcast: int = 2_000_000) -> DataFrame:
+    """(piece, freq): the ``size`` most frequent of ``seed_pieces`` with two characters or more (ties by piece).
+
+    A piece is no more frequent than any part of it, so one that is among the first has no three characters side by side
+    that are rarer than the last of the first among the pieces of two and three characters. Where more such triples are
+    left than a broadcast should hold, all pieces are counted."""
+    words = marked_words(counts)
+    order = (F.col("freq").desc(), "piece")
+    if max_len < 4 or size <= 0:
+        return _pieces_of(words, 2, max_len).where(F.col("freq") >= min_freq).orderBy(*order).limit(max(0, size))
+    short = cut_lineage(_pieces_of(words, 2, 3).where(F.col("freq") >= min_freq))
+    least = short.orderBy(*order).limit(size).agg(F.count("*").alias("n"), F.min("freq").alias("least")).first()
+    least = least["least"] if least["n"] == size else min_freq
+    triples = [r["piece"] for r in short.where((F.length("piece") == 3) & (F.col("freq") >= least))
+               .select("piece").limit(max_broadcast + 1).collect()]
+    if len(triples) > max_broadcast:
+        long = seed_pieces(counts, max_len, min_freq).where(F.length("piece") > 3)
+    else:
+        shared = counts.sparkSession.sparkContext.broadcast(frozenset(triples))
+        long = _pieces_of(words, 4, max_len, shared).where(F.col("freq") >= least)
+    return short.unionByName(long).orderBy(*order).limit(size)
+
+
 def initial_pieces(counts: DataFrame, seed_size: int, max_len: int = 8) -> DataFrame:
     """(piece, freq): every character, and the ``seed_size`` most frequent longer substrings (ties by piece)."""
     chars = (marked_words(counts).select(F.explode(F.split("word", CHARS_RE, -1)).alias("piece"), "freq")
              .groupBy("piece").agg(F.sum("freq").alias("freq")))
-    seeds = seed_pieces(counts, max_len=max_len).where(F.length("piece") > 1)
-    return chars.unionByName(seeds.orderBy(F.col("freq").desc(), "piece").limit(seed_size))
+    return chars.unionByName(frequent_pieces(counts, seed_size, max_len))
 
 
 class Model:

@@ -105,3 +105,15 @@ def test_sentence_split_looks_at_the_last_word_alone(spark):
     assert "substring_index" in docs.select(split)._jdf.queryExecution().optimizedPlan().toString()
     plan = A.period_counts(docs, "t")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [raw" in plan  # tokens are counted before they are trimmed
+
+
+def test_cleaning_takes_one_pass_less_with_the_same_result(spark):
+    rng = random.Random(4)
+    marks = [chr(i) for i in range(128)] + list("  ..,,55##__\n\t\x1c") * 4
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 60))) for _ in range(3000)] + [None, "", " ", "."]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    for commas in (False, True):
+        chain = T.collapse_ws(T.remove_digit_dots(T.strip_punct("t", commas)))
+        assert docs.where(~chain.eqNullSafe(T.ascii_punct_to_spaces("t", commas))).count() == 0
+    plan = docs.select(T.clean_preset(F.col("t"), "module"))._jdf.queryExecution().optimizedPlan().toString()
+    assert T.ASCII_RUN_RE in plan and T.PUNCT_RE not in plan

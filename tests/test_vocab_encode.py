@@ -2,6 +2,7 @@ import collections
 import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from precis.operators import encode as E
@@ -225,3 +226,50 @@ def test_train_on_a_sample_of_sentences(spark):
     twice = c.union(c)
     assert V.sample_sentences(twice, 31, 5).count() == 31
     assert V.sample_sentences(c, 0, 5).count() == 0 and V.sample_sentences(c.where("false"), 3, 5).count() == 0
+
+
+def test_words_side_by_side_equal_one_by_one():
+    rng = random.Random(11)
+    for n in range(40):
+        scores = _random_pieces(rng)
+        if n % 4:
+            scores |= {"▁": S.micro(-3), "▁a": S.micro(-2)}
+        ids = {p: V.FIRST_PIECE_ID + i for i, p in enumerate(scores)}
+        words = ["".join(rng.choices("abzé日", (6, 6, 1, 1, 1), k=rng.choice((0, 1, 2, 5, 9, 31, 32, 33, 60)))) for _ in range(50)]
+        tree = S.trie(scores.items())
+        want = [[ids.get(x, V.UNK) for x in S.segment("▁" + w, tree)] for w in words]
+        for cells in (S.Segmenter.CELLS, 0):
+            side = type("Side", (S.Segmenter,), {"CELLS": cells})(scores, ids, V.UNK, "▁")
+            sizes, found = side(pa.array(["left out", *words]).slice(1))
+            assert sizes.tolist() == [len(x) for x in want] and found.tolist() == sum(want, [])
+    sizes, found = side(pa.array([], pa.string()))
+    assert not len(sizes) and not len(found)
+
+
+def test_words_are_segmented_together(spark, monkeypatch):
+    """A word of its own is no turn of a Python loop: only long ones go one by one."""
+    alone = []
+    monkeypatch.setattr(S, "segment", lambda word, tree: alone.append(word) or [word])
+    side = S.Segmenter({"a": -1, "b": -2, "ab": -1}, {"a": 4, "b": 5, "ab": 6}, V.UNK, "▁")
+    sizes, ids = side(pa.array(["ab", "b", "a" * 40]))
+    assert alone == ["▁" + "a" * 40] and sizes.tolist() == [2, 2, 1] and ids.tolist() == [V.UNK, 6, V.UNK, 5, V.UNK]
+
+
+def test_frequent_pieces_are_the_first_of_all(spark):
+    rng = random.Random(2)
+    words = {"".join(rng.choices("abcé", (5, 3, 1, 1), k=rng.randint(1, 12))): rng.randint(1, 9) for _ in range(300)}
+    counts = spark.createDataFrame(list(words.items()), "word string, freq bigint").cache()
+    every = sorted(((r.freq, r.piece) for r in V.seed_pieces(counts).collect() if len(r.piece) > 1), key=lambda x: (-x[0], x[1]))
+    for size, most in ((1, 2_000_000), (40, 2_000_000), (40, 3), (400, 2_000_000), (10**6, 2_000_000)):
+        got = sorted(((r.freq, r.piece) for r in V.frequent_pieces(counts, size, max_broadcast=most).collect()), key=lambda x: (-x[0], x[1]))
+        assert got == every[:size], (size, most)
+    short = [x for x in every if len(x[1]) < 4]
+    assert {(r.freq, r.piece) for r in V.frequent_pieces(counts, 10**6, max_len=3).collect()} == set(short)
+    assert V.frequent_pieces(counts, 0).collect() == [] and V.frequent_pieces(counts.limit(0), 5).collect() == []
+
+
+def test_rare_longer_pieces_are_not_shuffled(spark):
+    """Of pieces that hold a rare triple none is counted."""
+    counts = spark.createDataFrame([("abcdefgh", 100), ("zyxwvuts", 1)], "word string, freq bigint")
+    shared = spark.sparkContext.broadcast(frozenset(["abc", "bcd", "cde"]))
+    assert {r.piece for r in V._pieces_of(counts, 4, 8, shared).collect()} == {"abcd", "bcde", "abcde"}
