@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from precis.functions import text as T
 from precis.operators import abbreviations as A
 from precis.operators import encode as E
 from precis.operators import vocab as V
-from precis.operators.batches import in_slices
+from precis.operators.batches import in_parts, in_slices
 
 SF001 = "/root/testdata/sf0.001"
 
@@ -117,3 +118,22 @@ def test_cleaning_takes_one_pass_less_with_the_same_result(spark):
         assert docs.where(~chain.eqNullSafe(T.ascii_punct_to_spaces("t", commas))).count() == 0
     plan = docs.select(T.clean_preset(F.col("t"), "module"))._jdf.queryExecution().optimizedPlan().toString()
     assert T.ASCII_RUN_RE in plan and T.PUNCT_RE not in plan
+
+
+def test_kernels_give_freed_memory_back(monkeypatch):
+    """A worker keeps nothing of a batch: of 40 MB of parts none is left to the pool once the batch is done."""
+    given = []
+
+    class Pool:
+        def release_unused(self):
+            given.append(pa.total_allocated_bytes())
+
+    monkeypatch.setattr("precis.operators.batches.pa.default_memory_pool", Pool)
+    before = pa.total_allocated_bytes()
+    wide = lambda part: pa.array(np.zeros(len(part) * 1000))
+    lists = pa.array([[1]] * 5000, pa.list_(pa.int32()))
+    for run in (in_parts(wide), in_slices(wide, 512)):
+        out = run(lists)
+        assert len(out) == 5_000_000
+        assert len(given) == 1 and given.pop() - before < 1.5 * out.nbytes  # the joined result, the parts are gone
+        del out
