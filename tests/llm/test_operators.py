@@ -206,6 +206,21 @@ def test_chat_round_trip(spark):
 
 # ---- suffix arrays ------------------------------------------------------------------------------------------------
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    """Words are no measure: what two texts share goes where it has 400 bytes, and stays where it has fewer."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.choice((2, 4, 5, 6, 8))))
+    passages = [" ".join(word() for _ in range(n)) for n in range(51, 96, 2) for _ in range(2)]
+    rows = [(2 * i + k, f"{word()}{k}[{p}]{k}{word()}") for i, p in enumerate(passages) for k in (0, 1)]
+    left = {r.doc_id: r.text for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shared = [len(p) + 2 for p in passages]  # with the brackets
+    assert min(shared) < 380 and max(shared) > 480
+    for i, (p, n) in enumerate(zip(passages, shared)):
+        for k in (0, 1):
+            before = rows[2 * i + k][1]
+            assert left[2 * i + k] == (before.replace(f"[{p}]", "") if n >= 400 else before), n
+
+
 def test_suffix_array_is_sorted():
     rng = random.Random(1)
     for n in range(120):
