@@ -229,6 +229,29 @@ def test_suffix_array_is_sorted():
         assert got.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_suffix_array_of_wanted_suffixes_is_sorted():
+    rng = random.Random(4)
+    for n in range(120):
+        t = bytes(rng.choice(b"abc\xff" if n % 2 else b"ab") for _ in range(rng.randint(1, 90))) * rng.randint(1, 3)
+        wanted = np.array([rng.random() < n / 120 for _ in t])
+        got = suffix.suffix_array(np.frombuffer(t, np.uint8), max(8, len(t)), wanted).tolist()
+        assert [i for i in got if wanted[i]] == sorted(np.flatnonzero(wanted).tolist(), key=lambda i: t[i:])
+        assert len(got) == len(set(got))
+
+
+def test_suffixes_that_start_no_window_are_not_sorted(monkeypatch):
+    """Of regions with few windows little more than these is sorted directly, not half of all bytes."""
+    rng = random.Random(4)
+    regions = [prose(rng, 150).encode()[:440] for _ in range(50)]
+    regions += [r[20:30] + regions[0][30:430] + r[:5] for r in regions[1:9]]
+    sizes, direct = [], suffix._sorted_directly
+    monkeypatch.setattr(suffix, "_sorted_directly", lambda w, pos, d: sizes.append(len(pos)) or direct(w, pos, d))
+    got = suffix.repeated_windows(regions, 400)
+    seen = collections.Counter(r[i:i + 400] for r in regions for i in range(len(r) - 399))
+    assert [x.tolist() for x in got] == [[i for i in range(len(r) - 399) if seen[r[i:i + 400]] > 1] for r in regions]
+    assert sum(sizes) < 1.2 * sum(len(r) - 399 for r in regions)
+
+
 def brute_spans(data, length):
     seen = collections.Counter(t[i:i + length] for t in data for i in range(len(t) - length + 1))
     out = []
